@@ -1,0 +1,6 @@
+"""Queries over the test tables, one for each operator, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
