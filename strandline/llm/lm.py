@@ -121,8 +121,8 @@ def _levels(deepest: DataFrame) -> DataFrame:
     return out
 
 
-def trie(deepest: DataFrame) -> DataFrame:
-    """(order, ctx, sym, n, total, distinct, mass): counts of each symbol and of its context.
+def trie(deepest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (order, ctx, sym, n) and contexts (order, ctx, total, distinct, mass).
 
     ``mass`` is what the parent context (one byte shorter) has counted of the
     symbols seen in this one.
@@ -131,9 +131,9 @@ def trie(deepest: DataFrame) -> DataFrame:
     parent = nodes.select((F.col("order") + 1).alias("order"), F.col("ctx").alias("pctx"), "sym", F.col("n").alias("pn"))
     mask = F.expr("shiftleft(1L, cast(8 * (order - 1) as int)) - 1")
     with_parent = nodes.withColumn("pctx", F.when(F.col("order") > 0, F.col("ctx").bitwiseAND(mask)).otherwise(F.lit(0)))
-    joined = materialize(with_parent.join(parent, ["order", "pctx", "sym"], "left"), "parents")
-    context = joined.groupBy("order", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.coalesce(F.sum("pn"), F.lit(0)).alias("mass"))
-    return joined.join(materialize(context, "contexts"), ["order", "ctx"]).select("order", "ctx", "sym", "n", "total", "distinct", "mass")
+    joined = with_parent.join(parent, ["order", "pctx", "sym"], "left")
+    contexts = joined.groupBy("order", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.coalesce(F.sum("pn"), F.lit(0)).alias("mass"))
+    return nodes, materialize(contexts, "contexts")
 
 
 class Scorer:
@@ -170,20 +170,19 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _tables(rows: pa.Table) -> list[dict[str, np.ndarray]]:
+def _tables(nodes: pa.Table, contexts: pa.Table) -> list[dict[str, np.ndarray]]:
     """Sorted arrays of each order; a sentinel keeps empty levels simple to search."""
-    c = {n: rows.column(n).to_numpy() for n in ("order", "ctx", "sym", "n", "total", "distinct", "mass")}
-    out = []
     last = np.array([np.iinfo(np.uint64).max], np.uint64)
+    numbers = lambda table, name, at: np.append(table.column(name).to_numpy()[at], 1)
+    out = []
     for order in range(ORDER + 1):
-        mine = np.flatnonzero(c["order"] == order)
-        key = c["ctx"][mine].astype(np.uint64) << np.uint64(8) | c["sym"][mine].astype(np.uint64)
-        mine, key = mine[np.argsort(key)], np.sort(key)
-        ctx = key >> np.uint64(8)
-        lead = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else np.zeros(0, np.int64)
-        one = mine[lead]
-        pad = lambda x: np.append(x, 1).astype(float)
-        out.append({"key": np.append(key, last), "n": pad(c["n"][mine]), "ctx": np.append(ctx[lead], last), "total": np.append(c["total"][one], 0).astype(float), "distinct": np.append(c["distinct"][one], 0).astype(float), "mass": np.append(c["mass"][one], 0).astype(float)})
+        at = np.flatnonzero(nodes.column("order").to_numpy() == order)
+        key = nodes.column("ctx").to_numpy()[at].astype(np.uint64) << np.uint64(8) | nodes.column("sym").to_numpy()[at].astype(np.uint64)
+        by_key = np.argsort(key)
+        here = np.flatnonzero(contexts.column("order").to_numpy() == order)
+        ctx = contexts.column("ctx").to_numpy()[here].astype(np.uint64)
+        by_ctx = here[np.argsort(ctx)]
+        out.append({"key": np.append(key[by_key], last), "n": numbers(nodes, "n", at[by_key]), "ctx": np.append(np.sort(ctx), last)} | {c: numbers(contexts, c, by_ctx) for c in ("total", "distinct", "mass")})
     return out
 
 
@@ -201,11 +200,11 @@ class Base:
         return np.where(self.keys[at] == tokens, self.counts[at], 0)
 
 
-#: Bytes that one row of the trie or of the unigram counts takes when collected.
-NODE_BYTES = 48
+#: Bytes that a node, a context and a token take when collected.
+NODE_BYTES, CONTEXT_BYTES, TOKEN_BYTES = 28, 36, 16
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, block_bytes: int = 160 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, block_bytes: int = 96 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with crc32(id) mod ``modulus`` equal to ``remainder`` are held out of training.
@@ -214,9 +213,10 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, block_byt
     rows = docs.select(docs[doc_id].alias("doc_id"), held_out_column(docs[doc_id], modulus, remainder).alias("held_out"), docs[text].alias("text"))
     counts = materialize(_counts(rows.where(~F.col("held_out")).select("text")), "counts")
     tokens = counts.where("kind = 0").select("key", "n")
-    nodes = materialize(trie(counts.where("kind = 1").select("key", "n")), "trie")
+    nodes, contexts = trie(counts.where("kind = 1").select("key", "n"))
     n_all, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    blocks = max(1, -(-(nodes.count() + v) * NODE_BYTES // block_bytes))
+    size = nodes.count() * NODE_BYTES + contexts.count() * CONTEXT_BYTES + v * TOKEN_BYTES
+    blocks = max(1, -(-size // block_bytes))
     # every context of a gram ends in the same byte before the symbol, except the empty one
     part = F.pmod(F.xxhash64(F.col("ctx").bitwiseAND(F.lit(255).cast("long"))), F.lit(blocks))
 
@@ -224,9 +224,9 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, block_byt
     out = rows
     in_block = [int(r.b) for r in spark.range(256).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "id").orderBy("id").collect()]
     for block in range(blocks):
-        mine = nodes.where((F.col("order") == 0) | (part == block)).toArrow()
+        mine = [t.where((F.col("order") == 0) | (part == block)).toArrow() for t in (nodes, contexts)]
         words = tokens.where(F.pmod(F.col("key"), F.lit(blocks)) == block).toArrow()
-        shared = spark.sparkContext.broadcast((_tables(mine), words.column(0).to_numpy().view(np.uint64), words.column(1).to_numpy()))
+        shared = spark.sparkContext.broadcast((_tables(*mine), words.column(0).to_numpy().view(np.uint64), words.column(1).to_numpy()))
         out = out.mapInArrow(_pass(shared, np.array(in_block) == block, blocks, block, schema), schema)
     log_total = math.log10(n_all + v + 1)
     return out.select(

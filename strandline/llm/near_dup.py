@@ -298,7 +298,10 @@ def classify(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 2
     buckets = _buckets(nodes)
     candidates = nodes.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("rep.th").alias("th"))
     texts = keyed.select("th", "text").join(candidates, "th").select("fp", "text")
-    sets = materialize(_set_rows(texts, width, weights), "sets").dropDuplicates(["fp"])
+    sets = _set_rows(texts, width, weights)
+    if not rows_.groupBy("th").count().where("count > 1").isEmpty():  # rows that are there twice gave their set twice
+        sets = sets.dropDuplicates(["fp"])
+    sets = materialize(sets, "sets")
     roots = _links(buckets, sets, least, weights)
 
     placed = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep", "copies")
