@@ -1,7 +1,8 @@
 r"""Toxicity scores by a character n-gram linear classifier scaled by naive Bayes ratios.
 
 Features are the distinct character n-grams (``SIZES`` code points, A-Z
-lower-cased) of a whole text, hashed into ``2**BITS`` places. Over all labelled
+lower-cased, all white space a blank, one blank before and after the text) of a
+whole text, hashed into ``2**BITS`` places. Over all labelled
 training rows the number of documents of each class that hold a feature gives
 its log-count ratio ``r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2))``, P and Q
 being the class sizes. Features whose ratio is far from 0 for its standard error
@@ -28,17 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import Texts, chunks, mix
+from strandline.llm._text import SPACE, Texts, chunks, mix
 from strandline.storage import materialize
 
-SIZES, BITS = (4, 5, 6), 20
+SIZES, BITS = (4, 5, 6, 8), 20
 
 
 def features(part: Texts, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, feature) pairs of some texts, in order; only features flagged in ``wanted``."""
-    lead = (part.buf & 0xC0) != 0x80
-    bounds = np.append(0, np.cumsum(lead))[part.offs]
-    points = np.frombuffer(part.buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    ends = np.sort(np.concatenate([part.offs[:-1], part.offs[1:]]))
+    buf = np.insert(np.where(SPACE[part.buf], np.uint8(0x20), part.buf), ends, 0x20)
+    lead = (buf & 0xC0) != 0x80
+    bounds = np.append(0, np.cumsum(lead))[part.offs + 2 * np.arange(part.n + 1)]
+    points = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     doc = np.repeat(np.arange(part.n), np.diff(bounds))
     code = mix(points.astype(np.uint64) + np.uint64(0xC4A2))
     g, n, found = code, 1, []
@@ -135,7 +138,7 @@ def _sample(train: DataFrame, r: np.ndarray, max_rows: int, n0: int, n1: int) ->
     return [x.values.to_numpy() for x in table.column("f")], (table.column("y").to_numpy() > 0).astype(float)
 
 
-def fit(train: DataFrame, min_z: float = 4.0, max_features: int = 1 << 16, max_rows: int = 20_000, penalty: float = 1e-3, steps: int = 400) -> Model:
+def fit(train: DataFrame, min_z: float = 4.0, max_features: int = 1 << 16, max_rows: int = 20_000, penalty: float = 1e-4, steps: int = 400) -> Model:
     counts = _document_counts(train).toArrow()
     r, n0, n1 = _ratios(counts, min_z, max_features)
     if not n0 or not n1:
@@ -149,13 +152,23 @@ def fit(train: DataFrame, min_z: float = 4.0, max_features: int = 1 << 16, max_r
     value = r[kept][col]
     # each class weighs as it does in all rows
     weight = np.where(y > 0, n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1)) / (n0 + n1)
-    size = np.bincount(row, value**2, minlength=len(rows)).max(initial=1.0) + 1
-    w, b = _descend(row, col, value, y, weight, len(kept), penalty, 4 / size, steps)
+    rate = 1 / (_curvature(row, col, value, weight, len(kept)) + penalty)
+    w, b = _descend(row, col, value, y, weight, len(kept), penalty, rate, steps)
     weights = np.zeros(1 << BITS)
     weights[kept] = w * r[kept]
     return Model(weights, b)
 
 
+def _curvature(row, col, value, weight, n, rounds: int = 30) -> float:
+    """A little above the greatest curvature of the loss, by power iteration."""
+    v = np.ones(n + 1)
+    for _ in range(rounds):
+        v /= np.linalg.norm(v)
+        z = weight * (v[-1] + np.bincount(row, value * v[col], minlength=len(weight)))
+        v = np.append(np.bincount(col, value * z[row], minlength=n), z.sum())
+    return 1.1 * float(np.linalg.norm(v)) / 4
+
+
 def _descend(row, col, value, y, weight, n, penalty, rate, steps) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps; the intercept is not penalised."""
     w, b = np.zeros(n), 0.0
