@@ -2,5 +2,336 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline import wire
+from strandline.config import Limits
+from strandline.functions import datatypes, paths, payload
+from strandline.operators import completeness, integrity, provenance, shape, transactions, validate
+from strandline.plans import generated, sql
+from strandline.sources import binary_format, delta, text_format
+from strandline.storage import materialize
+from strandline.streaming import decoder
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES = sql.ORACLES
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.addressed(generated.events(spark, sf_dir))
+
+
+def _with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir).join(F.broadcast(generated.streams(spark)), "stream_id")  # GROUPS rows
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that several branches of one query read."""
+    return materialize(generated.events(spark, sf_dir), "events")
+
+
+def _md5(c) -> F.Column:
+    return F.md5(F.encode(c, "UTF-8"))
+
+
+@query
+def project_events(spark, sf_dir):
+    return generated.events(spark, sf_dir).select("stream_id", "ordinal", "path", "header", "kind", "value", "identity")
+
+
+@query
+def address_planes(spark, sf_dir):
+    return _rows(spark, sf_dir).groupBy("stream_id", "plane").agg(F.count("*").alias("events"), F.countDistinct("address").alias("addresses"))
+
+
+@query
+def path_segments(spark, sf_dir):
+    segs = F.col("segs")
+    return _rows(spark, sf_dir).select("stream_id", "ordinal", "address", F.array_join(segs, "|").alias("segs"), F.size(segs).alias("depth"), paths.parent(F.col("address"), segs).alias("parent"))
+
+
+@query
+def path_prefixes(spark, sf_dir):
+    exploded = _rows(spark, sf_dir).select("stream_id", "plane", F.explode(paths.prefixes(F.col("segs"))).alias("prefix"))
+    return exploded.groupBy("stream_id", "plane", "prefix").agg(F.count("*").alias("events"))
+
+
+@query
+def path_limits(spark, sf_dir):
+    found = validate.event_diagnostics(_with_context(spark, sf_dir), Limits(max_path_depth=2, max_path_characters=14))
+    own = found.where("code = 'AES_LIMIT_EXCEEDED' and field in ('path', 'header')")
+    return own.select("stream_id", "record", "counter", "observed")
+
+
+@query
+def invalid_values(spark, sf_dir):
+    return validate.event_diagnostics(_with_context(spark, sf_dir), Limits()).select("stream_id", "record", "code")
+
+
+@query
+def header_order(spark, sf_dir):
+    return validate.header_order(_rows(spark, sf_dir)).select("stream_id", "record")
+
+
+@query
+def first_occurrences(spark, sf_dir):
+    return validate.first_index(_rows(spark, sf_dir))
+
+
+@query
+def duplicate_paths(spark, sf_dir):
+    rows = shape.addressed(_written(spark, sf_dir))
+    return validate.duplicate_paths(rows, validate.first_index(rows)).select("stream_id", "record", "path", "first_record")
+
+
+def _parents(spark, sf_dir, code: str) -> DataFrame:
+    rows = shape.addressed(_written(spark, sf_dir))
+    return validate.parents(rows, validate.first_index(rows)).where(F.col("code") == code)
+
+
+@query
+def missing_parents(spark, sf_dir):
+    return _parents(spark, sf_dir, "AES_MISSING_PARENT").select("stream_id", "record", "path", "required_path")
+
+
+@query
+def incompatible_parents(spark, sf_dir):
+    return _parents(spark, sf_dir, "AES_INCOMPATIBLE_PARENT").select("stream_id", "record", "path", "required_path")
+
+
+@query
+def node_heads(spark, sf_dir):
+    """Line quantities as node heads: all of them stand under something that is no node."""
+    rows = shape.addressed(_written(spark, sf_dir)).withColumn("kind", F.when(F.col("address").endswith("]") & (F.col("plane") == "path"), "NodeHead").otherwise(F.col("kind")))
+    return validate.parents(rows, validate.first_index(rows)).where("code = 'AES_INVALID_NODE_HEAD'").select("stream_id", "record", "path")
+
+
+@query
+def missing_references(spark, sf_dir):
+    rows = shape.addressed(_written(spark, sf_dir))
+    return validate.missing_references(rows, validate.first_index(rows)).select("stream_id", "record", "required_path")
+
+
+@query
+def duplicate_identities(spark, sf_dir):
+    return validate.duplicate_identities(shape.addressed(_written(spark, sf_dir))).select("stream_id", "record", "first_record")
+
+
+@query
+def nesting_depth(spark, sf_dir):
+    rows, limits = shape.addressed(_written(spark, sf_dir)), Limits(max_value_nesting_depth=1)
+    return validate.nesting(rows, validate.first_index(rows), limits).select("stream_id", "record", "observed")
+
+
+@query
+def list_items(spark, sf_dir):
+    return validate.item_counts(validate.first_index(_rows(spark, sf_dir)), Limits(max_list_items=5)).select("stream_id", "record", "observed")
+
+
+@query
+def limit_counts(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return validate.stream_diagnostics(generated.streams(spark), rows, Limits(max_events=100)).where("counter = 'max_events'").select("stream_id", "observed")
+
+
+@query
+def missing_prefixes(spark, sf_dir):
+    return completeness.missing_prefixes(_written(spark, sf_dir))
+
+
+def _diagnostics(spark, sf_dir) -> DataFrame:
+    return validate.validate(_written(spark, sf_dir), generated.streams(spark), Limits(max_events=10**9))
+
+
+@query
+def stream_verdicts(spark, sf_dir):
+    return validate.verdicts(generated.streams(spark), _diagnostics(spark, sf_dir))
+
+
+@query
+def diagnostic_counts(spark, sf_dir):
+    return _diagnostics(spark, sf_dir).groupBy("stream_id", "code").agg(F.count("*").alias("n"))
+
+
+@query
+def record_bytes(spark, sf_dir):
+    return generated.events(spark, sf_dir).select("stream_id", "ordinal", integrity.record_text(nested=False).alias("text"))
+
+
+@query
+def digest_exact(spark, sf_dir):
+    found = integrity.digests(generated.events(spark, sf_dir), generated.streams(spark), wire.EXACT_ORDER, wire.BODY_SCOPE, wire.PROVENANCE_EXCLUDED, nested=False)
+    return found.select("stream_id", "digest")
+
+
+@query
+def digest_canonical(spark, sf_dir):
+    """Without the repeated totals, which would leave the order open."""
+    once = _written(spark, sf_dir).where("not (ordinal % 100 = 8 and coalesce(path, '') like '%.total')")
+    return integrity.digests(once, generated.streams(spark), wire.CANONICAL_ORDER, wire.BODY_SCOPE, wire.PROVENANCE_EXCLUDED, nested=False).select("stream_id", "digest")
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").isNotNull()).select("doc_id", "text")
+
+
+@query
+def payload_spelling(spark, sf_dir):
+    plain = _texts(spark, sf_dir).where(~F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))
+    return plain.select("doc_id", _md5(payload.encoded(F.col("text"))).alias("spelt"))
+
+
+@query
+def payload_round_trip(spark, sf_dir):
+    spelt = _texts(spark, sf_dir).select("doc_id", payload.encoded(F.col("text")).alias("p"))
+    return spelt.select("doc_id", _md5(payload.decoded(F.col("p"))).alias("h"), payload.well_formed(F.col("p")).alias("well_formed"))
+
+
+@query
+def encode_text(spark, sf_dir):
+    no_limits = Limits(max_events=10**9, max_input_bytes=10**12)
+    found = text_format.encode(generated.events(spark, sf_dir), generated.streams(spark), no_limits, nested=False)
+    return found.select("stream_id", _md5("text").alias("text_md5"))
+
+
+@query
+def stanza_fields(spark, sf_dir):
+    """Fields and payload bytes of the encoded streams, cut into lines again."""
+    no_limits = Limits(max_events=10**9, max_input_bytes=10**12)
+    found = text_format.encode(generated.events(spark, sf_dir), generated.streams(spark), no_limits, nested=False)
+    lines = found.select("stream_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where("line != '' and at > 0")
+    split = lines.select("stream_id", F.regexp_extract("line", r"^([^=]+)=", 1).alias("field"), F.regexp_extract("line", r"(?s)^[^=]+=(.*)$", 1).alias("p"))
+    own = split.where(F.col("field").isin("path", "header", "kind", "identity", "value"))
+    return own.groupBy("stream_id", "field").agg(F.count("*").alias("n"), F.sum(F.octet_length(payload.decoded(F.col("p"))).cast("long")).alias("bytes"))
+
+
+@query
+def text_round_trip(spark, sf_dir):
+    no_limits = Limits(max_events=10**9, max_input_bytes=10**12, max_decoded_payload_bytes=10**12)
+    found = text_format.encode(generated.events(spark, sf_dir), generated.streams(spark), no_limits, nested=False)
+    events = text_format.events_of(text_format.decode(found, no_limits))
+    return events.groupBy("stream_id").agg(F.count("*").alias("events"), F.count("value").alias("values"), F.count("identity").alias("identities"))
+
+
+def _small_blobs(spark, sf_dir) -> DataFrame:
+    """Binary form of the streams of single orders and customers; those with an invalid value have none."""
+    events = materialize(generated.small_events(spark, sf_dir), "events")
+    blobs = binary_format.encode(events, shape.streams(spark, events, profile=wire.PARTIAL_PROFILE))
+    return blobs.where("error is null").select("stream_id", "bytes")
+
+
+@query
+def binary_round_trip(spark, sf_dir):
+    events = text_format.events_of(binary_format.decode_provisional(_small_blobs(spark, sf_dir)))
+    return events.groupBy("stream_id").agg(F.count("*").alias("events"), F.count("value").alias("values"))
+
+
+@query
+def chunk_decoding(spark, sf_dir):
+    """The same bytes in chunks of 100, decoded by the stateful operator."""
+    size = F.octet_length("bytes")
+    n = F.greatest(F.ceil(size / 100), F.lit(1)).cast("int")
+    cut = _small_blobs(spark, sf_dir).select("stream_id", n.alias("n"), "bytes", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    chunks = cut.select("stream_id", F.col("i").cast("long").alias("seq"), F.substring("bytes", F.col("i") * 100 + 1, F.lit(100)).alias("bytes"), (F.col("i") == F.col("n") - 1).alias("final"))
+    out = decoder.decode_chunks(chunks)
+    return out.groupBy("stream_id").agg(F.count(F.when(F.col("status") == "record", 1)).alias("events"))
+
+
+@query
+def prefix_delta(spark, sf_dir):
+    return delta.encode(generated.events(spark, sf_dir)).select("stream_id", "ordinal", "shared", "suffix")
+
+
+@query
+def block_index(spark, sf_dir):
+    return delta.block_index(delta.encode(generated.events(spark, sf_dir)))
+
+
+@query
+def delta_round_trip(spark, sf_dir):
+    rows = shape.addressed(delta.decode(delta.encode(generated.events(spark, sf_dir))))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "address"))), lambda x: x["address"])
+    return rows.groupBy("stream_id", "plane").agg(F.count("*").alias("events"), _md5(F.array_join(ordered, "|")).alias("addresses"))
+
+
+@query
+def provenance_audit(spark, sf_dir):
+    return provenance.audit(generated.sourced_events(spark, sf_dir), generated.artifacts(spark, sf_dir).drop("doc_id"), require_available=True)
+
+
+@query
+def host_records(spark, sf_dir):
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"))
+    text = F.when(F.col("k") % 3 == 0, "[]").when(F.col("k") % 3 == 1, '{"path":"$.a","kind":"NumberLiteral","value":1}').otherwise('{"path":"$.a","kind":"NumberLiteral","value":"1"}')
+    rows = transactions.host_records(keys.select(F.lit("s").alias("stream_id"), F.col("k").alias("ordinal"), text.alias("json")))
+    return rows.select("ordinal", F.array_join("faults", ",").alias("faults"))
+
+
+@query
+def datatype_descriptors(spark, sf_dir):
+    """Compact descriptors parsed, spelt canonically and flattened; every fifth is malformed."""
+    n = F.col("p_size").cast("string")
+    item = F.concat(F.lit("item"), n, F.when(F.col("p_size") % 5 == 1, F.concat(F.lit("["), n, F.lit(".5]"))).otherwise(""))
+    spelt = F.when(F.col("p_size") % 5 == 0, "list<>").when(F.col("p_size") % 5 == 4, F.concat(F.lit("kind"), n))
+    spelt = spelt.otherwise(F.concat(F.lit("list < "), item, F.when(F.col("p_size") % 5 == 3, " ,other").otherwise(""), F.lit(" >")))
+    text = F.concat(F.lit("telex.aes=1\n\npath=$.a\nkind=ListNode\ndatatype="), spelt, F.lit("\n"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("stream_id"), text.alias("text"))
+    decoded = text_format.decode(parts)
+    event = F.try_element_at("events", F.lit(1))
+    rows = decoded.select(F.col("stream_id").cast("long").alias("k"), F.col("error.code").alias("code"), *(event[c].alias(c) for c in ("datatype", "generics", "clarifiers")))
+    own = [F.col(c) for c in ("datatype", "generics", "clarifiers")]
+    return rows.select("k", datatypes.spelling(*own).alias("spelt"), "code", F.coalesce(F.size(datatypes.descriptor_nodes(*own)), F.lit(0)).alias("nodes"))
+
+
+@query
+def transactions_(spark, sf_dir):
+    """Scalar replacements, one an order, with faults by arithmetic; odd ones name a target that is not supported."""
+    k = F.col("o_orderkey").cast("long")
+    key = k.cast("string")
+    text = lambda v: (v if isinstance(v, F.Column) else F.lit(v)).cast("string")
+    obj = lambda **kw: F.struct(*(v.alias(n) if isinstance(v, F.Column) else F.lit(v).alias(n) for n, v in kw.items()))
+    body = obj(
+        transaction=wire.TX_CONTRACT,
+        id=F.concat(F.lit("t-"), key),
+        intent=F.concat(F.lit("i-"), key),
+        attempt=F.when(k % 41 == 0, F.concat(F.lit("t-"), key)).otherwise(F.concat(F.lit("a-"), key)),
+        events=wire.EVENT_CONTRACT,
+        profile=wire.PARTIAL_PROFILE,
+        projection=F.lit(None).cast("string"),
+        ordering=wire.EXACT_ORDER,
+        application=obj(contract=wire.TX_SCALAR_REPLACEMENT),
+        target=obj(contract=wire.TX_TARGET, id=F.concat(F.lit("x"), (k % 2).cast("string")), boundary="$"),
+        preconditions=F.array(obj(contract=wire.TX_REVISION, scope="$", revision=key)),
+        preparation=obj(contract=wire.TX_IDENTITY_PREPARATION),
+        authorization=obj(contract=wire.TX_HOST_AUTHORIZATION, context="c"),
+        limits=obj(contract=wire.TX_LIMITS_CLAIM, id="l", version=(k % 2).cast("string")),
+        assertions=obj(eventCount=F.when(k % 43 == 0, "2").otherwise("1"), containers=F.array().cast("array<string>")),
+        records=F.array(obj(path="$.total", kind=F.when(k % 47 == 0, "ObjectNode").otherwise("NumberLiteral"), value=text("1"))),
+        integrity=obj(contract=wire.TX_INTEGRITY, digest="sha256"),
+    )
+    envelope = obj(envelope=wire.TX_ENVELOPE, body=body, evidence=F.lit(None).cast("string"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    docs = orders.select(F.concat(F.lit("t-"), key).alias("tx_id"), F.to_json(envelope, {"ignoreNullFields": "false"}).alias("json"))
+    support = transactions.Support(
+        applications=frozenset([wire.TX_SCALAR_REPLACEMENT]),
+        targets=frozenset([wire.TX_TARGET]),
+        preparations=frozenset([wire.TX_IDENTITY_PREPARATION]),
+        authorizations=frozenset([wire.TX_HOST_AUTHORIZATION]),
+        limit_sets=frozenset(["l@0"]),
+        integrity_contracts=frozenset([wire.TX_INTEGRITY]),
+        preconditions=frozenset([wire.TX_REVISION]),
+    )
+    found = transactions.inspect(materialize(docs, "documents"), transactions.Options(support=support))
+    codes = F.array_join("codes", ",")
+    return found.select("tx_id", "valid", "supported", F.when(codes != "", codes).alias("codes"))
+
+
+QUERIES["transactions"] = QUERIES.pop("transactions_")
