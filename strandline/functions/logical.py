@@ -39,10 +39,14 @@ def encode(value) -> bytes:
     raise LogicalError(f"no logical value: {type(value).__name__}")
 
 
-@F.pandas_udf(T.StringType())
-def json_value(text: pd.Series) -> pd.Series:
+def json_value(text: Column) -> Column:
     """The encoding of a JSON text; for nested parts only."""
-    return pd.Series([None if t is None else encode(json.loads(t)).decode("utf-8") for t in text])
+
+    @F.pandas_udf(T.StringType())
+    def encoded(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else encode(json.loads(t)).decode("utf-8") for t in text])
+
+    return encoded(text)
 
 
 # -- as expressions ------------------------------------------------------------

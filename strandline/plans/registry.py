@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline import wire
 from strandline.config import Limits
 from strandline.functions import datatypes, paths, payload
-from strandline.operators import completeness, integrity, provenance, shape, transactions, validate
+from strandline.operators import completeness, integrity, provenance, shape, text_lines, transactions, validate
 from strandline.plans import generated, sql
 from strandline.sources import binary_format, delta, text_format
 from strandline.storage import materialize
@@ -221,6 +221,54 @@ def text_round_trip(spark, sf_dir):
     return events.groupBy("stream_id").agg(F.count("*").alias("events"), F.count("value").alias("values"), F.count("identity").alias("identities"))
 
 
+@query
+def stanza_segments(spark, sf_dir):
+    """Stanzas and lines of the encoded streams, found again by lines."""
+    no_limits = Limits(max_events=10**9, max_input_bytes=10**12)
+    found = text_format.encode(generated.events(spark, sf_dir), generated.streams(spark), no_limits, nested=False)
+    marked = text_lines.stanzas(text_lines.lines(found)).where("part = 'field'")
+    return marked.groupBy("stream_id").agg(F.countDistinct("stanza").alias("stanzas"), F.count("*").alias("lines"))
+
+
+def _order_texts(spark, sf_dir) -> DataFrame:
+    """One text an order, nine of ten with a fault."""
+    k = F.col("o_orderkey").cast("long")
+    good = F.concat(F.lit("telex.aes=1\n\npath=$.o"), k.cast("string"), F.lit("\nkind=ObjectNode\n"))
+    tails = ["", "kind=again\n", "value=\\q\n", "value=a\tb\n", "Bad=1\n", "no field\n", "value=\\u{41\n", "value=\\\n"]
+    text = F.when(k % 10 == 8, F.replace(good, F.lit("=1\n\n"), F.lit("=1\n"))).when(k % 10 == 9, F.replace(good, F.lit("aes=1"), F.lit("aes=2")))
+    for i, tail in enumerate(tails):
+        text = text.when(k % 10 == i, F.concat(good, F.lit(tail)))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.cast("string").alias("stream_id"), text.alias("text"))
+
+
+@query
+def syntax_errors(spark, sf_dir):
+    """The first error of each text, from tables of lines."""
+    return text_lines.first_errors(_order_texts(spark, sf_dir))
+
+
+@query
+def decoding_errors(spark, sf_dir):
+    """The same from the decoder."""
+    return text_format.errors_of(text_format.decode(_order_texts(spark, sf_dir))).select("stream_id", "code", "line")
+
+
+@query
+def field_order(spark, sf_dir):
+    """Two-field stanzas, every third the wrong way round."""
+    k = F.col("o_orderkey").cast("long")
+    text = F.when(k % 3 == 0, F.lit("telex.aes=1\n\nkind=a\npath=b\n")).otherwise(F.lit("telex.aes=1\n\npath=b\nkind=a\nx.b=1\n"))
+    texts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.cast("string").alias("stream_id"), text.alias("text"))
+    return text_lines.field_order(text_lines.fields(text_lines.stanzas(text_lines.lines(texts)))).select("stream_id", "canonical")
+
+
+@query
+def payload_bytes(spark, sf_dir):
+    """Decoded bytes of each text's payloads and their running sum at its last field."""
+    found = text_lines.decoded_bytes(text_lines.fields(text_lines.stanzas(text_lines.lines(_order_texts(spark, sf_dir).where("stream_id % 10 = 0")))))
+    return found.groupBy("stream_id").agg(F.sum("bytes").alias("bytes"), F.max("total").alias("total"))
+
+
 def _small_blobs(spark, sf_dir) -> DataFrame:
     """Binary form of the streams of single orders and customers; those with an invalid value have none."""
     events = materialize(generated.small_events(spark, sf_dir), "events")

@@ -93,6 +93,10 @@ SELECT stream_id, sha256('{head}' || {_S.format('profile')} || 's10:projection'
 """)
 
 
+_ERRORS = """SELECT o_orderkey::VARCHAR AS stream_id
+,  CASE o_orderkey % 10 WHEN 1 THEN 'TELEX_DUPLICATE_FIELD' WHEN 2 THEN 'TELEX_UNKNOWN_ESCAPE' WHEN 3 THEN 'TELEX_UNESCAPED_CONTROL' WHEN 4 THEN 'TELEX_INVALID_FIELD_NAME' WHEN 5 THEN 'TELEX_INVALID_FIELD_LINE' WHEN 6 THEN 'TELEX_UNTERMINATED_UNICODE_ESCAPE' WHEN 7 THEN 'TELEX_INCOMPLETE_ESCAPE' WHEN 8 THEN 'TELEX_MISSING_HEADER_SEPARATOR' ELSE 'TELEX_INVALID_PREAMBLE' END AS code
+,  CASE o_orderkey % 10 WHEN 8 THEN 2 WHEN 9 THEN 1 ELSE 5 END::BIGINT AS line FROM orders WHERE o_orderkey % 10 <> 0"""
+
 ORACLES: dict[str, str] = {
     "project_events": events("SELECT * FROM ev"),
     "address_planes": addressed("SELECT stream_id, plane, count(*) AS events, count(DISTINCT address) AS addresses FROM ad GROUP BY ALL"),
@@ -151,4 +155,9 @@ SELECT 't-' || k AS tx_id, NOT (k % 41 = 0 OR k % 43 = 0 OR k % 47 = 0) AS valid
          CASE WHEN k % 43 = 0 THEN ['AES_TRANSACTION_APPLICATION_INVALID', 'AES_TRANSACTION_ASSERTION_FAILED'] ELSE [] END,
          CASE WHEN k % 47 = 0 THEN CASE WHEN k % 43 = 0 THEN ['AES_TRANSACTION_EVENT_INVALID'] ELSE ['AES_TRANSACTION_APPLICATION_INVALID', 'AES_TRANSACTION_EVENT_INVALID'] END ELSE [] END,
          CASE WHEN k % 2 = 1 THEN ['AES_TRANSACTION_UNSUPPORTED_CONTRACT'] ELSE [] END)), 'string_agg', ',') AS codes FROM o""",
+    "stanza_segments": events("SELECT stream_id, count(*) AS stanzas, sum(2 + (identity IS NOT NULL)::INT + (value IS NOT NULL)::INT)::BIGINT AS lines FROM ev GROUP BY ALL"),
+    "syntax_errors": _ERRORS,
+    "decoding_errors": _ERRORS,
+    "field_order": "SELECT o_orderkey::VARCHAR AS stream_id, o_orderkey % 3 <> 0 AS canonical FROM orders",
+    "payload_bytes": "SELECT o_orderkey::VARCHAR AS stream_id, (13 + length(o_orderkey::VARCHAR))::BIGINT AS bytes, (13 + length(o_orderkey::VARCHAR))::BIGINT AS total FROM orders WHERE o_orderkey % 10 = 0",
 }

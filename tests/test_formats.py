@@ -220,3 +220,17 @@ def test_limits_are_checked():
     for bad in (-1, 2**53, 1.5, True):
         with pytest.raises(ValueError):
             Limits(max_events=bad)
+
+
+def test_lines_find_what_the_decoder_finds(spark):
+    from strandline.operators import text_lines
+
+    r = random.Random(12)
+    pieces = ["profile=a", "projection=b", "profile=", "", "", "path=$.a", "kind=x", "kind=\\u{41}", "value=\\q", "value=a\tb", "Bad=1", "nofield", "=x", "value=\\u{D800}", "value=\\", "value=\\u{4", "value=\\u{}", "x.a=1", "\r"]
+    rows = [(f"s{i}", "\n".join(["telex.aes=1" if r.random() < 0.95 else "no", *(r.choice(pieces) for _ in range(r.randrange(8)))]) + r.choice(["\n", "", "\r\n"])) for i in range(400)]
+    rows += [("bom", "﻿telex.aes=1\n"), ("null", None), ("long", HEAD + "\nvalue=" + "x" * 200 + "\n")]
+    limits = Limits(max_line_bytes=100, max_fields_per_event=4, max_decoded_payload_bytes=40)
+    texts = spark.createDataFrame(rows, "stream_id string, text string")
+    got = {x.stream_id: (x.code, x.line) for x in text_lines.first_errors(texts, limits).collect()}
+    want = {x.stream_id: (x.code, x.line) for x in text.errors_of(text.decode(texts, limits)).collect()}
+    assert got == want
