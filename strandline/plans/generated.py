@@ -57,7 +57,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     own = orders.select(_stream("o_custkey").alias("stream_id"), k.alias("k"), F.explode(F.filter(slots, lambda s: s.isNotNull())).alias("s"))
     own = own.select("stream_id", (F.lit(_FIRST) + F.col("k") * 100 + F.col("s.slot")).alias("ordinal"), "s.path", "s.header", "s.kind", "s.value", "s.identity")
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    once = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    lines = once.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     items = lines.select(
         _stream("o_custkey").alias("stream_id"),
         (F.lit(_FIRST) + F.col("l_orderkey") * 100 + 20 + F.col("l_linenumber")).alias("ordinal"),

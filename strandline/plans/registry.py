@@ -30,7 +30,8 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).join(F.broadcast(generated.streams(spark)), "stream_id")  # GROUPS rows
+    context = generated.streams(spark).select("stream_id", "profile", "projection")
+    return _rows(spark, sf_dir).join(F.broadcast(context), "stream_id")  # GROUPS rows
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ ev AS (
   UNION ALL SELECT stream_id, 1000000000 + k * 100 + 8, b || '.total', NULL, 'NumberLiteral', total, NULL FROM o WHERE k % 89 = 0
   UNION ALL SELECT stream_id, 1000000000 + k * 100 + 9, NULL, '$.["aeon:k' || k::VARCHAR || '"]', 'StringLiteral', total, NULL FROM o WHERE k % 61 = 0
   UNION ALL SELECT stream_id, 1000000000 + k * 100 + 20 + l_linenumber, b || '.lines[' || (l_linenumber - 1)::VARCHAR || ']', NULL, 'NumberLiteral',
-                   CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR), NULL FROM lineitem JOIN o ON l_orderkey = k
+                   CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR), NULL FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) JOIN o ON l_orderkey = k
   UNION ALL SELECT 's' || (c_custkey % 16)::VARCHAR, c_custkey::BIGINT, '$.c' || c_custkey::VARCHAR, NULL, 'ObjectNode', NULL, NULL FROM customer),
 st AS (SELECT 's' || i::VARCHAR AS stream_id, CASE WHEN i % 2 = 0 THEN 'aes.complete.v1' ELSE 'aes.partial.v1' END AS profile,
               CASE WHEN i % 4 < 2 THEN 'aeon.document.v1' END AS projection FROM range(16) t(i))"""

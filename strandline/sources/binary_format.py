@@ -21,6 +21,7 @@ from strandline.operators import validate as validation
 from strandline.operators.shape import event_record
 from strandline.sources import text_format
 from strandline.sources.text_format import Stream
+from strandline.storage import materialize
 
 #: Bits of the context and of a record's control byte.
 PROFILE, PROJECTION = 1, 2
@@ -369,6 +370,7 @@ def read(spark: SparkSession, path: str, limits: BinaryLimits = BinaryLimits(),
 
 def encode(events: DataFrame, streams: DataFrame, limits: BinaryLimits = BinaryLimits(), event_limits: Limits = Limits(), registered: tuple[str, ...] = ()) -> DataFrame:
     """(stream_id, bytes, error) of streams; those that validation refuses have no bytes."""
+    events = materialize(events, "events")  # validation reads them several times
     bad = validation.validate(events, streams, event_limits, registered).select("stream_id").distinct().withColumn("refused", F.lit(True))
     met = events.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct(*events.columns[1:]))).alias("events"))
     rows = streams.join(met, "stream_id", "left").join(bad, "stream_id", "left")
@@ -393,7 +395,7 @@ def _written(row: dict, limits: BinaryLimits) -> tuple[bytes | None, str | None]
 
 def from_text(texts: DataFrame, limits: BinaryLimits = BinaryLimits(), event_limits: Limits = Limits(), registered: tuple[str, ...] = ()) -> DataFrame:
     """(stream_id, bytes, error) of texts, which must be canonical."""
-    decoded = text_format.decode(texts, event_limits)
+    decoded = materialize(text_format.decode(texts, event_limits), "decoded")
     fault = F.when(F.col("error").isNotNull(), F.col("error.code")).when(~F.col("context.canonical"), "FILM_SOURCE_NONCANONICAL")
     refused = decoded.select("stream_id", F.lit(None).cast("binary").alias("bytes"), fault.alias("error")).where("error is not null")
     good = decoded.where(fault.isNull())
@@ -402,7 +404,7 @@ def from_text(texts: DataFrame, limits: BinaryLimits = BinaryLimits(), event_lim
 
 def to_text(blobs: DataFrame, limits: BinaryLimits = BinaryLimits(), event_limits: Limits = Limits(), registered: tuple[str, ...] = ()) -> DataFrame:
     """(stream_id, text, error) of binary streams that decoding and validation accept."""
-    decoded = decode_provisional(blobs, limits, event_limits)
+    decoded = materialize(decode_provisional(blobs, limits, event_limits), "decoded")
     state = accepted(decoded, event_limits, registered)
     good = decoded.join(state.where("error is null").select("stream_id"), "stream_id", "left_semi")
     return text_format.encode(text_format.events_of(good), text_format.streams_of(good), event_limits).unionByName(

@@ -26,7 +26,7 @@ def encode(events: DataFrame, block: int | None = BLOCK) -> DataFrame:
     rows = events.withColumn("plane", plane()).withColumn("block", F.floor(F.col("ordinal") / block) if block else F.lit(0).cast("long"))
     address = F.coalesce("path", "header")
     before = F.lag(address).over(Window.partitionBy("stream_id", "plane", "block").orderBy("ordinal"))
-    shared = F.coalesce(shared_prefix_codepoints(before, address), F.lit(0)).cast("int")
+    shared = F.when(before.isNull(), 0).otherwise(shared_prefix_codepoints(before, address)).cast("int")
     return rows.withColumn("shared", shared).withColumn("suffix", F.expr("substring(coalesce(path, header), shared + 1)")).drop("path", "header")
 
 
@@ -35,7 +35,7 @@ def decode(encoded: DataFrame) -> DataFrame:
     columns = [c for c in schema.EVENTS.fieldNames() if c not in ("path", "header")]
     sizes = encoded.schema
 
-    def chain(keys, table: pa.Table) -> pa.Table:
+    def chain(keys, table):
         table = table.sort_by("ordinal")
         last, addresses = "", []
         for shared, suffix in zip(table.column("shared").to_pylist(), table.column("suffix").to_pylist(), strict=True):

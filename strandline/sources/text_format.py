@@ -235,7 +235,7 @@ def read(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame
 
     ``spark.read.text`` in whole-file mode, so any store that Spark reads will do.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return decode(files.select(F.col("_metadata.file_path").alias("stream_id"), F.col("value").alias("text")), limits)
 
 

@@ -66,7 +66,7 @@ def test_status_limits_and_closing():
         d.push(b"", True)
     assert e.value.code == "FILM_TRUNCATED" and d.closed
     with pytest.raises(binary.BinaryError) as e:
-        decoder.BinaryDecoder(BinaryLimits(max_buffered_bytes=8)).push(data)
+        decoder.BinaryDecoder(BinaryLimits(max_buffered_bytes=6)).push(data)
     assert (e.value.code, e.value.detail) == ("FILM_LIMIT_EXCEEDED", "max_buffered_bytes")
     with pytest.raises(binary.BinaryError):
         decoder.BinaryDecoder(BinaryLimits(max_input_bytes=10)).push(data)
