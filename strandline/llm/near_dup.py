@@ -17,8 +17,8 @@ Joining. Texts with equal word sequences are one node. Nodes that share a band
 node is compared with its buckets' centres, first with the best one. The centre
 is the node with most neighbours, which in a family of edited copies is the
 text nearest to all. Comparison is exact, on sets of 64-bit shingle hashes.
-Buckets whose members lie in different components then take new centres from the
-components not yet tried, round after round, until a round adds no link. What a
+Buckets whose members lie in different components then take up to four new centres
+from the components not yet tried, round after round, until a round adds no link. What a
 round emits is linear in the bucket entries. Two nodes that are similar to each
 other but to none of the centres tried in any of their common buckets would be
 missed; tests compare with brute force.
@@ -249,39 +249,55 @@ def _centres(members: DataFrame) -> DataFrame:
     return best.select("key", F.col("c.fp").alias("cfp"), F.col("c.n").alias("cn"), F.col("c.score").alias("cscore"))
 
 
+def _delegates(members: DataFrame, slots: int = 4) -> DataFrame:
+    """Of the components in each bucket, the best node of up to ``slots``: one for each hash slot."""
+    best = members.groupBy("key", F.pmod(F.xxhash64("root"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("score", "fp", "n")).alias("c"))
+    return best.select("key", F.col("c.fp").alias("cfp"), F.col("c.n").alias("cn"), F.col("c.score").alias("cscore"))
+
+
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends are not yet in one component."""
-    with_a = pairs.join(roots.toDF("a", "ra"), "a", "left")
-    with_b = with_a.join(roots.toDF("b", "rb"), "b", "left")
-    return with_b.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return pairs.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra != rb").select("a", "b")
+
+
+def _merged(roots: DataFrame, links: DataFrame, singles: bool = False) -> DataFrame:
+    """``roots`` after ``links``: the graph between components is all that is searched.
+
+    With ``singles`` every node is still its own root.
+    """
+    if links.isEmpty():
+        return roots
+    if not singles:
+        met = links.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b")
+        links = met.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    moved = components(links).toDF("old", "new")
+    return materialize(roots.join(moved, roots["root"] == moved["old"], "left").select("fp", F.coalesce("new", "root").alias("root")), "roots")
 
 
 def _links(buckets: DataFrame, sets: DataFrame, least: float, weights: str) -> DataFrame:
-    """(fp, root) of all nodes that have a link."""
+    """(fp, root) of all nodes that share a bucket with another."""
     first = materialize(_centres(buckets), "centres")
     pairs = materialize(_pairs_with(buckets, first, least, weights), "pairs")
     best = pairs.groupBy("a").agg(F.max(F.struct("cscore", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    links = materialize(_verified(best, sets, least), "links")
-    roots = components(links)
-    more = materialize(_verified(_across(pairs, roots), sets, least), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
-    tried = materialize(first.select("key", "cfp"), "tried")
+    roots = materialize(buckets.select("fp").distinct().select("fp", F.col("fp").alias("root")), "roots")
+    roots = _merged(roots, materialize(_verified(best, sets, least), "links"), singles=True)
+    roots = _merged(roots, materialize(_verified(_across(pairs, roots), sets, least), "links"))
+    tried = first.select("key", "cfp")
     while True:
-        placed = buckets.join(roots, "fp", "left").select("key", "fp", "n", "score", F.coalesce("root", "fp").alias("root"))
+        placed = buckets.join(roots, "fp")
         split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
         open_ = materialize(placed.join(materialize(split, "split"), "key"), "open")
         if open_.isEmpty():
             return roots
-        used = tried.join(roots.toDF("cfp", "r"), "cfp", "left").select("key", F.coalesce("r", "cfp").alias("root")).distinct()
-        fresh = materialize(_centres(open_.join(materialize(used, "used"), ["key", "root"], "left_anti")), "centres")
-        todo = materialize(_across(_pairs_with(open_, fresh, least, weights), roots), "todo")
-        more = materialize(_verified(todo, sets, least), "links")
+        used = materialize(tried.join(roots.toDF("cfp", "root"), "cfp").select("key", "root").distinct(), "used")
+        fresh = materialize(_delegates(open_.join(used, ["key", "root"], "left_anti")), "centres")
+        if fresh.isEmpty():
+            return roots
+        more = materialize(_verified(_across(_pairs_with(open_, fresh, least, weights), roots), sets, least), "links")
         if more.isEmpty():
             return roots
-        links, tried = links.unionByName(more), tried.unionByName(fresh.select("key", "cfp"))
-        roots = components(links)
+        tried = tried.unionByName(fresh.select("key", "cfp"))
+        roots = _merged(roots, more)
 
 
 def classify(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, weights: str = "set", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
