@@ -138,7 +138,7 @@ def _sample(train: DataFrame, r: np.ndarray, max_rows: int, n0: int, n1: int) ->
     return [x.values.to_numpy() for x in table.column("f")], (table.column("y").to_numpy() > 0).astype(float)
 
 
-def fit(train: DataFrame, min_z: float = 4.0, max_features: int = 1 << 16, max_rows: int = 20_000, penalty: float = 1e-4, steps: int = 400) -> Model:
+def fit(train: DataFrame, min_z: float = 4.0, max_features: int = 1 << 13, max_rows: int = 10_000, penalty: float = 1e-4, steps: int = 400) -> Model:
     counts = _document_counts(train).toArrow()
     r, n0, n1 = _ratios(counts, min_z, max_features)
     if not n0 or not n1:
