@@ -17,11 +17,13 @@ Joining. Texts with equal word sequences are one node. Nodes that share a band
 node is compared with its buckets' centres, first with the best one. The centre
 is the node with most neighbours, which in a family of edited copies is the
 text nearest to all. Comparison is exact, on sets of 64-bit shingle hashes.
-Buckets whose members lie in different components then take up to four new centres
-from the components not yet tried, round after round, until a round adds no link. What a
-round emits is linear in the bucket entries. Two nodes that are similar to each
-other but to none of the centres tried in any of their common buckets would be
-missed; tests compare with brute force.
+Buckets whose untried members lie in different components then take up to four new
+centres from them for one round. What is still open after it is joined exactly: every node
+of such a bucket gives the leading tokens of its set, rarest first (any order that all share
+is right, so rarity is counted in hashed places), and pairs that share one by the prefix and
+positional filters of set similarity joins are compared. These filters lose no pair at
+``least`` or above, so no bucket is left with an untested pair between two components. The
+rounds are linear in the bucket entries; the join grows with the pairs that pass the filters.
 
 Components come from minimum labels with pointer jumping, one written table a
 round. Joins on buckets, centres and copies run against written tables, so that
@@ -47,6 +49,9 @@ from pyspark.sql import types as T
 from strandline.llm._text import SPACE, Words, chunks, mix, span_hashes
 from strandline.storage import materialize
 
+#: Places in which the join of open buckets counts tokens.
+_RARITY_BITS = 20
+
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 
 
@@ -274,6 +279,80 @@ def _merged(roots: DataFrame, links: DataFrame, singles: bool = False) -> DataFr
     return materialize(roots.join(moved, roots["root"] == moved["old"], "left").select("fp", F.coalesce("new", "root").alias("root")), "roots")
 
 
+def _tokens(shingles: bytes, counts: bytes | None) -> np.ndarray:
+    """A set's hashes; an occurrence each where shingles are counted, so weighted similarity is that of plain sets."""
+    h = np.frombuffer(shingles, np.uint64)
+    if counts is None:
+        return h
+    n = np.frombuffer(counts, np.int32)
+    turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.repeat(h, n) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _place(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - _RARITY_BITS)).astype(np.int64)
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many tokens of all sets fall into each place."""
+    schema = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        n = np.zeros(1 << _RARITY_BITS, np.int64)
+        for batch in batches:
+            for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n += np.bincount(_place(_tokens(s, c)), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=schema.names)
+
+    found = sets.select("shingles", "counts").mapInArrow(run, schema).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << _RARITY_BITS, np.int64)
+    out[found.column("place").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(token, fp, root, m, at, lead): the leading tokens of each set of m, rarest first; ``lead`` marks those against larger sets."""
+    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+    schema = T.StructType(
+        [T.StructField("token", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("root", T.BinaryType())]
+        + [T.StructField("m", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("lead", T.BooleanType())]
+    )
+    need = 2 * least / (1 + least)
+
+    def run(batches):
+        for batch in batches:
+            for fp, root, s, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                t = _tokens(s, c)
+                m = len(t)
+                k = m - math.ceil(least * m - 1e-9) + 1
+                first = t[np.lexsort((t, rarity.value[_place(t)]))[:k]]
+                lead = np.arange(len(first)) < m - math.ceil(need * m - 1e-9) + 1
+                columns = [pa.array(first.view(np.int64)), pa.array([fp] * len(first), pa.binary()), pa.array([root] * len(first), pa.binary())]
+                columns += [pa.array(np.full(len(first), m, np.int32)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(lead)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return sets.select("fp", "root", "shingles", "counts").mapInArrow(run, schema)
+
+
+def _similar_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b) between components, every one of similarity ``least`` or more among them."""
+    entries = materialize(_prefixes(sets, least), "prefixes")
+    x = entries.select("token", *(F.col(c).alias("x_" + c) for c in ("fp", "root", "m", "at")))
+    y = entries.where("lead").select("token", *(F.col(c).alias("y_" + c) for c in ("fp", "root", "m", "at")))
+    left = F.least(F.col("x_m") - F.col("x_at"), F.col("y_m") - F.col("y_at"))
+    smaller = (F.col("y_m") < F.col("x_m")) | ((F.col("y_m") == F.col("x_m")) & (F.col("y_fp") < F.col("x_fp")))
+    near = (F.col("y_m") >= least * F.col("x_m") - 1e-9) & (left >= least / (1 + least) * (F.col("x_m") + F.col("y_m")) - 1e-9)
+    return x.join(y, "token").where(smaller & near & (F.col("x_root") != F.col("y_root"))).select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b")).distinct()
+
+
+def _open(buckets: DataFrame, tried: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members that were no centre of their bucket, where they lie in different components."""
+    placed = materialize(buckets.join(tried.toDF("key", "fp"), ["key", "fp"], "left_anti").join(roots, "fp"), "placed")
+    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    return materialize(placed.join(materialize(split, "split"), "key"), "open")
+
+
 def _links(buckets: DataFrame, sets: DataFrame, least: float, weights: str) -> DataFrame:
     """(fp, root) of all nodes that share a bucket with another."""
     first = materialize(_centres(buckets), "centres")
@@ -283,21 +362,17 @@ def _links(buckets: DataFrame, sets: DataFrame, least: float, weights: str) -> D
     roots = _merged(roots, materialize(_verified(best, sets, least), "links"), singles=True)
     roots = _merged(roots, materialize(_verified(_across(pairs, roots), sets, least), "links"))
     tried = first.select("key", "cfp")
-    while True:
-        placed = buckets.join(roots, "fp")
-        split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-        open_ = materialize(placed.join(materialize(split, "split"), "key"), "open")
-        if open_.isEmpty():
-            return roots
-        used = materialize(tried.join(roots.toDF("cfp", "root"), "cfp").select("key", "root").distinct(), "used")
-        fresh = materialize(_delegates(open_.join(used, ["key", "root"], "left_anti")), "centres")
-        if fresh.isEmpty():
-            return roots
-        more = materialize(_verified(_across(_pairs_with(open_, fresh, least, weights), roots), sets, least), "links")
-        if more.isEmpty():
-            return roots
-        tried = tried.unionByName(fresh.select("key", "cfp"))
-        roots = _merged(roots, more)
+    open_ = _open(buckets, tried, roots)
+    if open_.isEmpty():
+        return roots
+    fresh = materialize(_delegates(open_), "centres")
+    more = materialize(_verified(_across(_pairs_with(open_, fresh, least, weights), roots), sets, least), "links")
+    roots = _merged(roots, more)
+    open_ = _open(open_.drop("root"), tried.unionByName(fresh.select("key", "cfp")), roots)
+    if open_.isEmpty():
+        return roots
+    left = materialize(sets.join(open_.select("fp", "root").distinct(), "fp"), "open_sets")
+    return _merged(roots, materialize(_verified(_similar_pairs(left, least), sets, least), "links"))
 
 
 def classify(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, weights: str = "set", doc_id: str = "doc_id", text: str = "text") -> DataFrame:

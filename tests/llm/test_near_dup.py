@@ -106,3 +106,32 @@ def test_weighted_similarity(spark):
     got = {r.doc_id: r.class_id for r in near_dup.classify(docs, weights="count").collect()}
     assert got == {1: 1, 2: 1, 3: 3}
     assert {r.class_id for r in near_dup.classify(docs).collect()} == {1}
+
+
+def hot_corpus():
+    """Texts with two thirds of their words from one template, and pairs that differ in a few words of it."""
+    r = random.Random(31)
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(240):
+        own = template + [f"u{i}_{j}" for j in range(50)]
+        rows.append(" ".join(own))
+        if i % 30 == 0:
+            own[r.randrange(100)] = own[r.randrange(100, 150)] = "edited"
+            rows.append(" ".join(own))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("weights", ["set", "count"])
+def test_no_link_is_missed_in_a_hot_bucket(spark, weights):
+    rows = hot_corpus()
+    sets = [brute.shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    name = lambda i: b"%04d" % (i * 7919 % 9973)
+    texts = spark.createDataFrame([(name(i), t) for i, t in rows], "fp binary, text string")
+    buckets = spark.createDataFrame([(1, name(i), len(s), len(rows)) for i, s in enumerate(sets)], "key long, fp binary, n int, score long")
+    found = near_dup._links(buckets, near_dup.materialize(near_dup._set_rows(texts, 5, weights), "sets"), 0.8, weights)
+    root = {bytes(r.fp): bytes(r.root) for r in found.collect()}
+    missed = sum(root[name(a)] != root[name(b)] for a, b in links)
+    print(f"missed {missed} of {len(links)} links")
+    assert len(links) == 8 and missed == 0 and len(set(root.values())) == len(rows) - 8
