@@ -5,8 +5,10 @@ r"""Quality rules with thresholds that adapt to each language and source.
 ``(lang, source)`` by a mergeable quantile sketch: a histogram on a logarithmic
 grid with a relative error of at most 1 % (buckets add up, so partial sketches
 combine before the shuffle and groups merge into their language or the whole
-corpus). The fence of a ratio is ``q75 + 3 (q75 - q25)`` (and the mirror below
-for mean word length), but never stricter than a stated floor. Groups of fewer
+corpus). The fence of a ratio is ``q75 + max(step, 3 (q75 - q25))`` (and the mirror
+below for mean word length); the step is a small least distance from the group's own
+quartile, for groups that don't spread. Repeated lines are a share of the lines
+with words, the others are divided by words. Groups of fewer
 than ``min_group`` documents take the sketch of their language, and if that is
 small too, of the corpus. ``apply_rules`` joins fences to the documents.
 
@@ -32,6 +34,10 @@ from strandline.storage import materialize
 #: Characters that count as symbols (fixed by the query's contract).
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Counts that ``measure`` adds besides.
+LINES = "n_lines"
+#: Ratio: (count, divided by).
+RATIOS = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", LINES), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
@@ -40,9 +46,9 @@ _IS_SYMBOL[list(SYMBOLS)] = True
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: A fence is never below (``high``) or above (``low``) these values.
-    high: dict[str, float] = field(default_factory=lambda: {"symbols": 0.1, "dup_lines": 0.3, "repeats": 0.4, "word_length": 12.0})
-    low: dict[str, float] = field(default_factory=lambda: {"word_length": 3.0})
+    #: A fence lies at least this far above (``high``) or below (``low``) the group's quartile.
+    high: dict[str, float] = field(default_factory=lambda: {"symbols": 0.02, "dup_lines": 0.2, "repeats": 0.2, "word_length": 1.0})
+    low: dict[str, float] = field(default_factory=lambda: {"word_length": 1.0})
     spread: float = 3.0
     min_group: int = 200
     #: Buckets grow by this factor: 1.02 bounds the relative error by 1 %.
@@ -77,12 +83,12 @@ def _counts(texts) -> dict[str, np.ndarray]:
     doc = w.doc
     twice = at[repeated(triple ^ mix(doc[at].astype(np.uint64) + np.uint64(1)))]
     repeats = per_doc(cover(len(w.start), twice, 3).astype(np.int64), w.doc_start)
-    return dict(zip(COUNTS, (w.count, chars, symbols, dup_lines, repeats), strict=True))
+    return dict(zip((*COUNTS, LINES), (w.count, chars, symbols, dup_lines, repeats, np.bincount(line_doc, minlength=texts.n)), strict=True))
 
 
 def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """All columns of ``docs`` and the five counts, each named with ``prefix``."""
-    schema = T.StructType([f for f in docs.schema.fields] + [T.StructField(prefix + c, T.LongType()) for c in COUNTS])
+    """All columns of ``docs`` the five counts and the number of lines with words, each named with ``prefix``."""
+    schema = T.StructType([f for f in docs.schema.fields] + [T.StructField(prefix + c, T.LongType()) for c in (*COUNTS, LINES)])
     at = docs.columns.index(text)
 
     def run(batches):
@@ -90,19 +96,14 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
             for texts in chunks(batch.column(at)):
                 part = batch.slice(texts.first, texts.n)
                 found = _counts(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[c], pa.int64()) for c in COUNTS)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[c], pa.int64()) for c in (*COUNTS, LINES))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _ratios(c) -> dict[str, Column]:
-    words = F.greatest(c("n_words"), F.lit(1))
-    return {
-        "symbols": c("n_symbols") / words,
-        "dup_lines": c("n_dup_lines") / words,
-        "repeats": c("n_repeat_words") / words,
-        "word_length": c("word_chars") / words,
-    }
+def _ratios(columns: list[str], prefix: str = "") -> dict[str, Column]:
+    """The ratios whose counts are among ``columns``."""
+    return {k: F.col(prefix + a) / F.greatest(F.col(prefix + b), F.lit(1)) for k, (a, b) in RATIOS.items() if {prefix + a, prefix + b} <= set(columns)}
 
 
 def base_failed(rules: Rules, prefix: str = "") -> Column:
@@ -112,7 +113,7 @@ def base_failed(rules: Rules, prefix: str = "") -> Column:
 
 def sketches(measured: DataFrame, groups: list[str], rules: Rules) -> DataFrame:
     """The histogram (group, ratio, bucket, n); adding up n merges sketches."""
-    ratios = _ratios(F.col)
+    ratios = _ratios(measured.columns)
     log_growth = math.log(rules.growth)
     bucket = F.when(F.col("v") <= 0, F.lit(-(1 << 30))).otherwise(F.ceil(F.log("v") / log_growth)).cast("int")
     stacked = measured.where(F.col("n_words") > 0).select(
@@ -151,10 +152,10 @@ def thresholds(measured: DataFrame, groups: list[str], rules: Rules) -> DataFram
         small = F.col("total") < rules.min_group
         out = out.join(wider, on).select(*groups, "ratio", *(F.when(small, F.col(f"__w_{c}")).otherwise(F.col(c)).alias(c) for c in ("total", "q25", "q75")))
     spread = rules.spread * (F.col("q75") - F.col("q25"))
-    limits = out.withColumns({"hi": F.col("q75") + spread, "lo": F.col("q25") - spread})
-    wide = [F.greatest(F.lit(v), F.max(F.when(F.col("ratio") == k, F.col("hi")))).alias(f"__hi_{k}") for k, v in rules.high.items()]
-    wide += [F.least(F.lit(v), F.min(F.when(F.col("ratio") == k, F.col("lo")))).alias(f"__lo_{k}") for k, v in rules.low.items()]
-    return materialize(limits.groupBy(*groups).agg(*wide), "fences")
+    own = lambda k, c: F.max(F.when(F.col("ratio") == k, c))
+    wide = [own(k, F.col("q75") + F.greatest(F.lit(v), spread)).alias(f"__hi_{k}") for k, v in rules.high.items()]
+    wide += [own(k, F.col("q25") - F.greatest(F.lit(v), spread)).alias(f"__lo_{k}") for k, v in rules.low.items()]
+    return materialize(out.groupBy(*groups).agg(*wide), "fences")
 
 
 def with_verdict(measured: DataFrame, fences: DataFrame, groups: list[str], rules: Rules, prefix: str = "") -> DataFrame:
@@ -165,7 +166,7 @@ def with_verdict(measured: DataFrame, fences: DataFrame, groups: list[str], rule
     on = F.lit(True)
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"__f_{g}"))
-    ratios = _ratios(lambda c: F.col(prefix + c))
+    ratios = _ratios(measured.columns, prefix)
     bad = F.lit(False)
     for k in rules.high:
         bad = bad | (ratios[k] > F.col(f"__hi_{k}"))

@@ -46,3 +46,25 @@ def test_sketch_is_close_to_exact(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.score_documents(docs).count() == 0 and quality.keep_good(docs).count() == 0
+
+
+def test_own_distribution_sets_the_fence(spark):
+    text = lambda i, n: " ".join(f"word{(i * 131 + j * j) % 9973}" + "#" * (j < n) for j in range(200))
+    plain = [(i, text(i, 0), "en", "plain") for i in range(300)] + [(1000, text(1000, 16), "en", "plain")]
+    marked = [(2000 + i, text(i, i % 40), "en", "marked") for i in range(300)] + [(3000, text(3000, 16), "en", "marked")]
+    lines = [" ".join(f"line{k}_{j}" for j in range(9)) for k in range(13)]
+    again = [(4000, "\n".join(lines + lines[:7]), "en", "plain"), (4001, "\n".join(lines), "en", "plain")]
+    docs = spark.createDataFrame(plain + marked + again, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.score_documents(docs, quality.Rules(max_repeat_percent=80)).collect()}
+    assert all(got[i].kept for i in range(300)) and not got[1000].kept and got[3000].kept  # 0.08 symbols a word
+    assert (got[4000].n_lines, got[4000].n_dup_lines) == (20, 7) and got[4001].kept and not got[4000].base_failed
+
+
+def test_repeated_lines_are_a_share_of_lines(spark):
+    """35 % of the lines repeated, all other ratios out of play."""
+    lines = [" ".join(f"w{k}_{j}" for j in range(9)) for k in range(13)]
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(200)), "en", "s") for i in range(250)] + [(900, "\n".join(lines + lines[:7]), "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rules = quality.Rules(max_repeat_percent=100, high={"dup_lines": quality.Rules().high["dup_lines"]}, low={})
+    got = {r.doc_id: r.kept for r in quality.score_documents(docs, rules).collect()}
+    assert all(got[i] for i in range(250)) and not got[900]
