@@ -1,4 +1,6 @@
-from strandline.llm.mixing import mix_sources
+import corpus_pipeline
+from strandline.llm.mixing import mix_documents, mix_sources
+from tests.llm import brute
 
 
 def run(spark, rows, **kw):
@@ -28,3 +30,28 @@ def test_targets_and_cut(spark):
 def test_no_words_and_empty(spark):
     assert [r["taken"] for r in run(spark, [(1, None, None, ""), (2, " ", "a", "")])] == [0, 0]
     assert run(spark, []) == []
+
+
+def test_mixed_documents(spark):
+    rows = [(i, " \n".join(f"w{i}_{j}" for j in range(i % 7)) + "\n", s, "x") for i, s in enumerate(["a", "b", "c", None] * 50)] + [(500, None, "a", "x"), (501, "", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    got = mix_documents(docs).collect()
+    assert set(got[0].asDict()) == {*docs.columns, "epoch"} and {r["size"] for r in got} == {"x"}
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mix_sources(docs).collect()}
+    copies = {}
+    for r in got:
+        copies.setdefault(r.doc_id, {})[r.epoch] = r.text
+    assert len(got) == sum(map(len, copies.values())) and set(copies) == {i for i, (t, _) in taken.items() if t}
+    text, cut = {r[0]: r[1] for r in rows}, {}
+    for i, own in copies.items():
+        assert sorted(own) == list(range(len(own))) and sum(len(brute.words(x)) for x in own.values()) == taken[i][0]
+        partial = [x for x in own.values() if x != text[i]]
+        assert all(text[i].startswith(x) and brute.words(x) for x in partial)
+        cut[rows[i][2]] = cut.get(rows[i][2], 0) + len(partial)
+    assert max(cut.values()) == 1 and any(len(own) > 1 for own in copies.values())
+    assert mix_documents(docs.limit(0)).collect() == []
+
+
+def test_pipeline_gives_documents(spark):
+    got = corpus_pipeline.corpus(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) > 50 and all(brute.words(r.text) and r.n_chars == len(r.text) and r.epoch >= 0 for r in got)
