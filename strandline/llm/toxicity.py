@@ -6,7 +6,7 @@ whole text, hashed into ``2**BITS`` places. Over all labelled
 training rows the number of documents of each class that hold a feature gives
 its log-count ratio ``r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2))``, P and Q
 being the class sizes. Features whose ratio is far from 0 for its standard error
-stay (``min_z``), at most ``max_features`` of them. Logistic regression with an L2
+stay (``min_z``), all of them. Logistic regression with an L2
 penalty on the features times r is fitted to at most ``max_rows`` labelled rows
 (a documented bound, drawn by hash), with classes weighing as in all rows. A
 document's score is the logistic of the sum over its features.
@@ -105,7 +105,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def _ratios(counts: pa.Table, min_z: float, max_features: int) -> tuple[np.ndarray, int, int]:
+def _ratios(counts: pa.Table, min_z: float) -> tuple[np.ndarray, int, int]:
     """Log-count ratio of each kept feature (0 elsewhere) and the class sizes (label 0, label 1)."""
     f, q, p = (counts.column(c).to_numpy() for c in ("f", "q", "p"))
     all_docs = f == -1
@@ -113,15 +113,14 @@ def _ratios(counts: pa.Table, min_z: float, max_features: int) -> tuple[np.ndarr
     f, q, p = f[~all_docs], q[~all_docs], p[~all_docs]
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     z = np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1))
-    order = np.lexsort((f, -z))
-    best = order[z[order] >= min_z][:max_features]
+    best = z >= min_z
     r = np.zeros(1 << BITS)
     r[f[best]] = ratio[best]
     return r, n0, n1
 
 
-def _sample(train: DataFrame, r: np.ndarray, max_rows: int, n0: int, n1: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Kept features and label of at most about ``max_rows`` rows, half of them of each class where there are enough."""
+def _sample(train: DataFrame, r: np.ndarray, max_rows: int, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept features, bounds by row and label of at most about ``max_rows`` rows, half of them of each class where there are enough."""
     wanted = train.sparkSession.sparkContext.broadcast(r != 0)
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("f", T.ArrayType(T.IntegerType()))])
     share = lambda n: F.lit(min(1.0, max_rows / 2 / max(n, 1)))
@@ -135,48 +134,77 @@ def _sample(train: DataFrame, r: np.ndarray, max_rows: int, n0: int, n1: int) ->
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(part.first, part.n), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(f, pa.int32()))], names=schema.names)
 
     table = train.where(drawn).select("text", "y").mapInArrow(run, schema).toArrow()
-    return [x.values.to_numpy() for x in table.column("f")], (table.column("y").to_numpy() > 0).astype(float)
+    f = np.concatenate([*(x.flatten().to_numpy() for x in table.column("f").chunks), np.zeros(0, np.int32)])
+    sizes = np.concatenate([*(x.value_lengths().to_numpy() for x in table.column("f").chunks), np.zeros(0, np.int32)])
+    return f, np.append(0, np.cumsum(sizes, dtype=np.int64)), (table.column("y").to_numpy() > 0).astype(float)
 
 
-def fit(train: DataFrame, min_z: float = 4.0, max_features: int = 1 << 13, max_rows: int = 10_000, penalty: float = 1e-4, steps: int = 400) -> Model:
+class _Rows:
+    """Sparse rows of the sample: the places of their features, four bytes each; products go by blocks of rows."""
+
+    def __init__(self, col: np.ndarray, bounds: np.ndarray, ratio: np.ndarray, block: int = 1 << 20):
+        self.col, self.bounds, self.ratio, self.blocks = col, bounds, ratio, []
+        a, n = 0, len(bounds) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + block, "right")) - 1)
+            self.blocks.append((a, b))
+            a = b
+
+    def _places(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.col[self.bounds[a] : self.bounds[b]], np.repeat(np.arange(b - a), np.diff(self.bounds[a : b + 1]))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        u, out = w * self.ratio, np.zeros(len(self.bounds) - 1)
+        for a, b in self.blocks:
+            col, row = self._places(a, b)
+            out[a:b] = np.bincount(row, u[col], minlength=b - a)
+        return out
+
+    def transposed_times(self, e: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.ratio))
+        for a, b in self.blocks:
+            col, row = self._places(a, b)
+            out += np.bincount(col, e[a:b][row], minlength=len(out))
+        return out * self.ratio
+
+
+def fit(train: DataFrame, min_z: float = 4.0, max_rows: int = 10_000, penalty: float = 1e-4, steps: int = 400) -> Model:
     counts = _document_counts(train).toArrow()
-    r, n0, n1 = _ratios(counts, min_z, max_features)
+    r, n0, n1 = _ratios(counts, min_z)
     if not n0 or not n1:
         return Model(np.zeros(1 << BITS), float(np.log((n1 + 1) / (n0 + 1))))
-    rows, y = _sample(train, r, max_rows, n0, n1)
+    f, bounds, y = _sample(train, r, max_rows, n0, n1)
     kept = np.flatnonzero(r)
-    place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    col = place[np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)]
-    value = r[kept][col]
+    place = np.zeros(1 << BITS, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    rows = _Rows(place[f], bounds, r[kept])
     # each class weighs as it does in all rows
     weight = np.where(y > 0, n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1)) / (n0 + n1)
-    rate = 1 / (_curvature(row, col, value, weight, len(kept)) + penalty)
-    w, b = _descend(row, col, value, y, weight, len(kept), penalty, rate, steps)
+    rate = 1 / (_curvature(rows, weight) + penalty)
+    w, b = _descend(rows, y, weight, penalty, rate, steps)
     weights = np.zeros(1 << BITS)
     weights[kept] = w * r[kept]
     return Model(weights, b)
 
 
-def _curvature(row, col, value, weight, n, rounds: int = 30) -> float:
+def _curvature(rows: _Rows, weight, rounds: int = 30) -> float:
     """A little above the greatest curvature of the loss, by power iteration."""
-    v = np.ones(n + 1)
+    v = np.ones(len(rows.ratio) + 1)
     for _ in range(rounds):
         v /= np.linalg.norm(v)
-        z = weight * (v[-1] + np.bincount(row, value * v[col], minlength=len(weight)))
-        v = np.append(np.bincount(col, value * z[row], minlength=n), z.sum())
+        z = weight * (v[-1] + rows.times(v[:-1]))
+        v = np.append(rows.transposed_times(z), z.sum())
     return 1.1 * float(np.linalg.norm(v)) / 4
 
 
-def _descend(row, col, value, y, weight, n, penalty, rate, steps) -> tuple[np.ndarray, float]:
+def _descend(rows: _Rows, y, weight, penalty, rate, steps) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps; the intercept is not penalised."""
-    w, b = np.zeros(n), 0.0
+    w, b = np.zeros(len(rows.ratio)), 0.0
     vw, vb = w, b
     for step in range(1, steps + 1):
-        z = vb + np.bincount(row, value * vw[col], minlength=len(y))
+        z = vb + rows.times(vw)
         error = weight * (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y)
-        gw = np.bincount(col, value * error[row], minlength=n) + penalty * vw
+        gw = rows.transposed_times(error) + penalty * vw
         nw, nb = vw - rate * gw, vb - rate * error.sum()
         pull = (step - 1) / (step + 2)
         vw, vb = nw + pull * (nw - w), nb + pull * (nb - b)
