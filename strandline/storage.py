@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
 
+#: Deletes a query's shuffle files when it has ended; nothing reads them after a table is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
@@ -37,10 +40,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     Lineage ends here, a lost executor costs no recomputation, and joins on the
     result plan fresh exchanges, which adaptive execution may split when skewed.
+    The write's own shuffle files go as soon as it ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
