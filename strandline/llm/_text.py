@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Separators of `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
@@ -160,6 +160,12 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct values in rising order, by sorting (faster here than hashing, as ``np.unique`` does)."""
+    s = np.sort(keys)
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
+
+
 def chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
     """Cut a string column at document bounds into pieces of about ``limit`` bytes; null is empty."""
     column = pc.fill_null(column, "")

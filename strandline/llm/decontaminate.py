@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import NOT_ALNUM, Words, chunks
+from strandline.llm._text import NOT_ALNUM, Words, chunks, distinct
 
 
 class SuffixAutomaton:
@@ -116,13 +116,13 @@ class Matcher:
             h = w.hashes()
             for i in range(part.n):
                 hashes.append(h[w.doc_start[i] : w.doc_start[i + 1]])
-        self.vocabulary = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
+        self.vocabulary = distinct(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
         for (item, _), h in zip(items, hashes, strict=True):
             coded.append((item, np.searchsorted(self.vocabulary, h).tolist()))
         coded = [(item, c) for item, c in coded if c]
         self.shortest = min([window, *(len(c) for _, c in coded)])
         pairs = [np.array(c[:-1], np.int64) * len(self.vocabulary) + np.array(c[1:], np.int64) for _, c in coded]
-        self.pairs = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]))
+        self.pairs = distinct(np.concatenate([*pairs, np.zeros(0, np.int64)]))
         self.automaton = SuffixAutomaton()
         for _, c in coded:
             self.automaton.insert(c)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strandline.llm._text import NOT_ALNUM, chunks, mix
+from strandline.llm._text import NOT_ALNUM, chunks, distinct, mix
 
 WIDTH, BANDS = 5, 20
 
@@ -76,7 +76,7 @@ class Scanner:
             w = part.words(NOT_ALNUM)
             at, h = w.windows(w.hashes(), WIDTH)
             for i in range(part.n):
-                mine = np.unique(h[(at >= w.doc_start[i]) & (at < w.doc_start[i + 1])])
+                mine = distinct(h[(at >= w.doc_start[i]) & (at < w.doc_start[i + 1])])
                 if not len(mine):
                     raise ValueError(f"template of {flat[part.first + i][0]} has fewer than {WIDTH} words")
                 self.sets.append(mine)
@@ -133,7 +133,7 @@ class Scanner:
             length = window_length(len(self.sets[t]))
             # windows may straddle documents; each document near the hit is verified by itself
             a, b = max(0, first - length), min(len(h), first + 2 * length)
-            for d in np.unique(doc[a:b]):
+            for d in distinct(doc[a:b]):
                 share = np.isin(self.sets[t], h[a:b][doc[a:b] == d]).mean()
                 if share >= self.least:
                     best = out.setdefault(int(d), {})

@@ -191,7 +191,8 @@ def _set_rows(texts: DataFrame, width: int, weights: str) -> DataFrame:
 def _similarity(a: bytes, b: bytes, ca: bytes | None, cb: bytes | None) -> float:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if ca is None:
-        shared = len(x) + len(y) - len(np.union1d(x, y))
+        both = np.sort(np.concatenate([x, y]))
+        shared = int((both[1:] == both[:-1]).sum())
         return shared / max(len(x) + len(y) - shared, 1)
     m, n = np.frombuffer(ca, np.int32), np.frombuffer(cb, np.int32)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import BYTE_CODE, SPACE, chunks, cover, mix, per_doc, repeated, span_hashes
+from strandline.llm._text import BYTE_CODE, SPACE, chunks, cover, distinct, mix, per_doc, repeated, span_hashes
 from strandline.storage import materialize
 
 #: Characters that count as symbols (fixed by the query's contract).
@@ -66,7 +66,7 @@ def _counts(texts) -> dict[str, np.ndarray]:
 
     # lines: one begins at each document and after each \n
     breaks = np.flatnonzero(buf == 10)
-    begins = np.union1d(offs[:-1], breaks + 1)
+    begins = distinct(np.concatenate([offs[:-1], breaks + 1]))
     begins = begins[begins < offs[-1]]
     line_doc = np.searchsorted(offs, begins, "right") - 1
     nxt = np.append(breaks, offs[-1])[np.searchsorted(breaks, begins)]

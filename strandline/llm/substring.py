@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import SPACE, chunks, cover, mix, span_hashes, window_starts
+from strandline.llm._text import SPACE, chunks, cover, distinct, mix, span_hashes, window_starts
 from strandline.storage import materialize
 
 #: Rounds of pair naming; in those of ``RUN_ROUNDS`` runs are named first.
@@ -142,7 +142,7 @@ def _anchor_rows(docs: DataFrame, k: int) -> DataFrame:
                 w = part.words(SPACE)
                 at, key = window_anchors(w.hashes(), w.doc_start, k)
                 bounds = np.searchsorted(at, w.doc_start)
-                lists = [np.unique(key[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                lists = [distinct(key[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 digest = [hashlib.sha256(b" ".join(part.bytes_of(i).split())).digest()[:16] for i in range(part.n)]
                 size = np.cumsum([0, *map(len, lists)])
                 anchors = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
