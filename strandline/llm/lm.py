@@ -18,32 +18,38 @@ of those seen in the shorter one, the excluded mass is one number per context,
 found when the trie is built. Below the empty context all bytes not seen there are
 equally likely. Probabilities of a context thus sum to 1 over the 256 bytes.
 
-Scoring is by look-up: ``log10 p`` of every (context, symbol) of the trie's
-deepest level and of every shallower one. The trie grows with the corpus, so it is
-cut into blocks by the last byte of the context and the symbol, each of at most
-``block_bytes`` as collected and broadcast, and the documents pass through the
-blocks one after the other, adding up (one block holds all until the trie exceeds
-``block_bytes``). The unigram base adds up over the same blocks.
+Scoring joins. Documents are packed into chunks of about ``chunk_bytes``, one
+compressed row each; each chunk gives its distinct grams and tokens once, with their
+counts in training. Their sums are the model's counts, and every distinct gram
+of the corpus, seen in training or not, gets its log10 probability by joins with
+the trie. These values go back, packed, to the chunks that asked, where the documents
+add them up. Nothing of the model passes the driver or is broadcast but the
+orders of bounded size (up to 256 nodes or 65,536 contexts); a worker holds one
+chunk (or one longer text) and its distinct grams.
 
 Edge cases: a null or empty text has no words, only the end; a null id hashes as
 the empty string; repeated rows are learnt from and scored as often as they
-stand there; without training rows, all bytes are equally likely; an empty table
-gives an empty result; other columns are ignored.
+stand there; without training rows, all bytes are equally likely; a long text
+is a chunk by itself; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import SPACE, Texts, chunks
-from strandline.storage import materialize
+from strandline.llm._text import SPACE, Texts, chunks, distinct
+from strandline.storage import drop, materialize
 
 ORDER = 5
 END, START, GAP = 0x0A, 0x0D, 0x20
@@ -90,23 +96,152 @@ def held_out_column(doc_id, modulus: int = 7, remainder: int = 2):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def _counts(train: DataFrame) -> DataFrame:
-    """(kind, key, n): kind 0 counts tokens by hash, kind 1 packed contexts with their symbol."""
-    schema = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+def _chunked(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, docs): ``rows`` (doc_id, held_out, text) packed into compressed Arrow streams of about ``chunk_bytes`` of text."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("docs", T.BinaryType())])
+
+    def packed(number, parts):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+            for part in parts:
+                out.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=schema.names)
 
     def run(batches):
+        parts, size, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in chunks(batch.column(0), lower=True, limit=8 << 20):
-                out, bounds, w = symbols(part)
-                for kind, keys in ((0, w.hashes()), (1, grams(out, bounds)[0])):
-                    if kind == 0:
-                        keys = np.concatenate([keys, np.full(part.n, END_TOKEN, np.int64).view(np.uint64)])
-                    keys.sort()
-                    lead = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                    n = np.diff(np.r_[lead, len(keys)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lead), kind, np.int8)), pa.array(keys[lead].view(np.int64)), pa.array(n, pa.int64())], names=schema.names)
+            length = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            total, a = np.cumsum(length), 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + chunk_bytes - size, "right")))
+                parts.append(batch.slice(a, b - a))
+                size += int(length[a:b].sum())
+                a = b
+                if size >= chunk_bytes or a < batch.num_rows:
+                    yield packed(number, parts)
+                    parts, size, number = [], 0, number + 1
+        if parts:
+            yield packed(number, parts)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _documents(packed: bytes) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(packed) as stream:
+        yield from stream
+
+
+def _pack(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Keys in rising order, as differences, and the number of each one's value among the distinct ones, by planes of bytes; then these values."""
+    gaps = np.diff(keys, prepend=keys.dtype.type(0))
+    some, place = np.unique(values, return_inverse=True)
+    planes = [x.view(np.uint8).reshape(len(keys), -1).T.tobytes() for x in (gaps, place.astype(np.uint32))]
+    return pa.compress(b"".join([*planes, some.tobytes()]), codec="zstd", asbytes=True) + len(some).to_bytes(4, "little")
+
+
+def _unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(data[-4:], "little")
+    raw = np.frombuffer(pa.decompress(data[:-4], 12 * n + 8 * size, codec="zstd", asbytes=True), np.uint8)
+    gaps, place = (np.ascontiguousarray(x.reshape(-1, n).T).reshape(-1) for x in (raw[: 8 * n], raw[8 * n : 12 * n]))
+    return np.cumsum(gaps.view(np.uint64), dtype=np.uint64), raw[12 * n :].view(np.float64)[place.view(np.uint32)]
+
+
+def _packed_values(rows: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """(chunk, kind, n, packed): the rows (chunk, kind, key, value), those of a chunk packed together as far as one task meets them."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("n", T.IntegerType()), T.StructField("packed", T.BinaryType())])
+
+    def flush(held):
+        chunk, kind, key, value = (np.concatenate([h.column(i).to_numpy(zero_copy_only=False) for h in held]) for i in range(4))
+        key = key.view(np.uint64)
+        order = np.lexsort((key, kind, chunk))
+        chunk, kind, key, value = chunk[order], kind[order], key[order], value[order]
+        edge = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])])
+        ends = np.r_[edge[1:], len(key)]
+        data = [_pack(key[a:b], value[a:b]) for a, b in zip(edge, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[edge]), pa.array(kind[edge]), pa.array(ends - edge, pa.int32()), pa.array(data, pa.binary())], names=schema.names)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= limit:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _counted(keys: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how many of each are ``learnt``."""
+    seen = np.sort(keys[learnt])
+    lead = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]][: len(seen)])
+    rest = distinct(keys[~learnt])
+    return _merged([(seen[lead], np.diff(np.r_[lead, len(seen)])), (rest, np.zeros(len(rest), np.int64))])
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal keys added up."""
+    parts = [p for p in parts if len(p[0])] or parts[:1]
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    lead = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[lead], np.add.reduceat(n[order], lead)
+
+
+class _Tally:
+    """Counts of one chunk, merged as they come."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, learnt: np.ndarray) -> None:
+        self.parts.append(_counted(keys, learnt))
+        self.size += len(self.parts[-1][0])
+        if self.size > 2 * len(self.parts[0][0]) + (1 << 20):
+            self.parts = [_merged(self.parts)]
+            self.size = len(self.parts[0][0])
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = _merged(self.parts)
+        self.parts, self.size = [], 0
+        return out
 
-    return train.mapInArrow(run, schema).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+def _entries(texts: DataFrame) -> DataFrame:
+    """(chunk, kind, key, n): the distinct tokens (kind 0, by hash) and grams (kind 1) of each chunk, n times in training."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+
+    def rows_of(chunk, tallies):
+        for kind, tally in enumerate(tallies):
+            keys, n = tally.take()
+            for a in range(0, len(keys), 1 << 16):
+                k = keys[a : a + (1 << 16)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[a : a + len(k)])], names=schema.names)
+
+    def run(batches):
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tallies = _Tally(), _Tally()
+                for docs in _documents(packed.as_buffer()):
+                    learnt = ~docs.column(1).to_numpy(zero_copy_only=False)
+                    for part in chunks(docs.column(2), lower=True):
+                        of = learnt[part.first : part.first + part.n]
+                        out, bounds, w = symbols(part)
+                        ends = np.full(part.n, END_TOKEN, np.int64).view(np.uint64)
+                        tallies[0].add(np.concatenate([w.hashes(), ends]), np.concatenate([of[w.doc], of]))
+                        packed_grams, at = grams(out, bounds)
+                        tallies[1].add(packed_grams, np.repeat(of, np.diff(at)))
+                yield from rows_of(number, tallies)
+
+    return texts.mapInArrow(run, schema)
 
 
 def _levels(deepest: DataFrame) -> DataFrame:
@@ -136,132 +271,109 @@ def trie(deepest: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, materialize(contexts, "contexts")
 
 
-class Scorer:
-    """Look-up tables of one block of the trie, one sorted array per order."""
-
-    def __init__(self, tables: list[dict[str, np.ndarray]]):
-        self.tables = tables
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each packed (context, symbol)."""
-        out = np.zeros(len(keys))
-        todo = np.arange(len(keys))
-        # of the next longer known context: distinct symbols and their mass here
-        gone, mass = np.zeros(len(keys)), np.zeros(len(keys))
-        for order in range(ORDER, -1, -1):
-            t = self.tables[order]
-            key = keys[todo] & np.uint64((1 << (8 * (order + 1))) - 1)
-            at, known = _find(t["ctx"], key >> np.uint64(8))
-            total = np.where(known, t["total"][at], 0) - mass[todo]
-            distinct = np.where(known, t["distinct"][at], 0) - gone[todo]
-            node, hit = _find(t["key"], key)
-            hit &= known
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[todo] += np.where(hit, np.log10(t["n"][node] / (total + distinct)), np.where(known & (distinct > 0), np.log10(distinct / (total + distinct)), 0.0))
-            gone[todo] = np.where(known, t["distinct"][at], 0)
-            mass[todo] = np.where(known, t["mass"][at], 0)
-            todo = todo[~hit]
-        out[todo] -= np.log10(256 - gone[todo])
-        return out
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
-def _tables(nodes: pa.Table, contexts: pa.Table) -> list[dict[str, np.ndarray]]:
-    """Sorted arrays of each order; a sentinel keeps empty levels simple to search."""
-    last = np.array([np.iinfo(np.uint64).max], np.uint64)
-    numbers = lambda table, name, at: np.append(table.column(name).to_numpy()[at], 1)
-    out = []
-    for order in range(ORDER + 1):
-        at = np.flatnonzero(nodes.column("order").to_numpy() == order)
-        key = nodes.column("ctx").to_numpy()[at].astype(np.uint64) << np.uint64(8) | nodes.column("sym").to_numpy()[at].astype(np.uint64)
-        by_key = np.argsort(key)
-        here = np.flatnonzero(contexts.column("order").to_numpy() == order)
-        ctx = contexts.column("ctx").to_numpy()[here].astype(np.uint64)
-        by_ctx = here[np.argsort(ctx)]
-        out.append({"key": np.append(key[by_key], last), "n": numbers(nodes, "n", at[by_key]), "ctx": np.append(np.sort(ctx), last)} | {c: numbers(contexts, c, by_ctx) for c in ("total", "distinct", "mass")})
-    return out
-
-
-class Base:
-    """A block of the unigram counts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.counts = np.append(keys[order], np.uint64(0)), np.append(counts[order], 0)
-
-    def count(self, tokens: np.ndarray) -> np.ndarray:
-        if len(self.keys) == 1:
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.keys[:-1], tokens), len(self.keys) - 2)
-        return np.where(self.keys[at] == tokens, self.counts[at], 0)
-
-
-#: Bytes that a node, a context and a token take when collected.
-NODE_BYTES, CONTEXT_BYTES, TOKEN_BYTES = 28, 36, 16
-
-
-def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, block_bytes: int = 96 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _shorter(order: int) -> Column:
+    """The context of a gram, cut to its last ``order`` bytes."""
+    return F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * order)) - 1).cast("long"))
+
+
+def log_probabilities(counts: DataFrame, nodes: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(key, value): log10 of the probability of each gram; ``counts`` has (key, n), n being 0 for grams unseen in training."""
+    sym = F.col("key").bitwiseAND(F.lit(255).cast("long"))
+
+    def stats(order: int) -> DataFrame:
+        t = contexts.where(F.col("order") == order).select(F.col("ctx").alias("c"), F.col("total").alias(f"t{order}"), F.col("distinct").alias(f"d{order}"), F.col("mass").alias(f"m{order}"))
+        return F.broadcast(t) if order <= 2 else t  # at most 256**order rows
+
+    def found(order: int) -> DataFrame:
+        t = nodes.where(F.col("order") == order).select(F.col("ctx").alias("c"), F.col("sym").alias("s"), F.col("n").alias(f"n{order}"))
+        return F.broadcast(t) if order <= 1 else t  # at most 256**(order + 1) rows
+
+    seen = counts.where("n > 0").join(stats(ORDER), _shorter(ORDER) == F.col("c")).select("key", F.log10(F.col("n") / (F.col(f"t{ORDER}") + F.col(f"d{ORDER}"))).alias("value"))
+
+    rest = counts.where("n = 0").select("key")
+    zero = F.lit(0).cast("long")
+    total, done = F.lit(0.0), F.lit(False)
+    gone, mass = zero, zero
+    for order in range(ORDER, -1, -1):
+        rest = rest.join(stats(order), _shorter(order) == F.col("c"), "left").drop("c")
+        hit = F.lit(False)
+        here, left = F.col(f"t{order}") - mass, F.col(f"d{order}") - gone
+        if order < ORDER:
+            rest = rest.join(found(order), (_shorter(order) == F.col("c")) & (sym == F.col("s")), "left").drop("c", "s")
+            hit = F.col(f"n{order}").isNotNull()
+            total = total + F.when(~done & hit, F.log10(F.col(f"n{order}") / (here + left))).otherwise(0.0)
+        escapes = ~done & ~hit & F.coalesce(left > 0, F.lit(False))
+        total = total + F.when(escapes, F.log10(left / (here + left))).otherwise(0.0)
+        gone, mass = F.coalesce(f"d{order}", zero), F.coalesce(f"m{order}", zero)
+        done = done | hit
+        # keep the expression small: what the next order needs becomes columns
+        rest = rest.select("key", total.alias("total"), done.alias("done"), gone.alias("gone"), mass.alias("mass"))
+        total, done, gone, mass = F.col("total"), F.col("done"), F.col("gone"), F.col("mass")
+    unseen = rest.select("key", (total - F.when(done, F.lit(0.0)).otherwise(F.log10(F.lit(256) - gone))).alias("value"))
+    return seen.unionByName(unseen)
+
+
+def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, chunk_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with crc32(id) mod ``modulus`` equal to ``remainder`` are held out of training.
     """
-    spark = docs.sparkSession
     rows = docs.select(docs[doc_id].alias("doc_id"), held_out_column(docs[doc_id], modulus, remainder).alias("held_out"), docs[text].alias("text"))
-    counts = materialize(_counts(rows.where(~F.col("held_out")).select("text")), "counts")
-    tokens = counts.where("kind = 0").select("key", "n")
-    nodes, contexts = trie(counts.where("kind = 1").select("key", "n"))
-    n_all, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    size = nodes.count() * NODE_BYTES + contexts.count() * CONTEXT_BYTES + v * TOKEN_BYTES
-    blocks = max(1, -(-size // block_bytes))
-    # every context of a gram ends in the same byte before the symbol, except the empty one
-    part = F.pmod(F.xxhash64(F.col("ctx").bitwiseAND(F.lit(255).cast("long"))), F.lit(blocks))
-
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["held_out"], rows.schema["text"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), T.StructField("known_log", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    out = rows
-    in_block = [int(r.b) for r in spark.range(256).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "id").orderBy("id").collect()]
-    for block in range(blocks):
-        mine = [t.where((F.col("order") == 0) | (part == block)).toArrow() for t in (nodes, contexts)]
-        words = tokens.where(F.pmod(F.col("key"), F.lit(blocks)) == block).toArrow()
-        shared = spark.sparkContext.broadcast((_tables(*mine), words.column(0).to_numpy().view(np.uint64), words.column(1).to_numpy()))
-        out = out.mapInArrow(_pass(shared, np.array(in_block) == block, blocks, block, schema), schema)
-    log_total = math.log10(n_all + v + 1)
-    return out.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), (F.col("known_log") - F.col("n_tokens") * F.lit(log_total)).alias("base_score"), "score"
-    )
+    texts = materialize(_chunked(rows, chunk_bytes), "texts")
+    entries = materialize(_entries(texts), "entries")
+    counts = materialize(entries.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    n_all, v = counts.where("kind = 0 and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
+    deepest = counts.where("kind = 1").select("key", "n")
+    nodes, contexts = trie(deepest.where("n > 0"))
+    known = counts.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("value"))
+    values = materialize(known.unionByName(log_probabilities(deepest, nodes, contexts).select(F.lit(1).cast("byte").alias("kind"), "key", "value")), "model")
+    for table in (counts, nodes, contexts):
+        drop(docs.sparkSession, table)
+    asked = materialize(_packed_values(entries.select("chunk", "kind", "key").join(values, ["kind", "key"]).select("chunk", "kind", "key", "value")), "values")
+    for table in (entries, values):
+        drop(docs.sparkSession, table)
 
+    log_total = math.log10(n_all + v + 1)
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["held_out"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
+
+    def run(mine: pa.Table, model: pa.Table) -> pa.Table:
+        tables, out = _tables(model), []
+        for packed in mine.column("docs"):
+            for docs in _documents(packed.as_buffer()):
+                for part in chunks(docs.column(2), lower=True):
+                    score, known, known_log = _scores(part, *tables)
+                    n = part.words(SPACE).count + 1
+                    numbers = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(part.n, n_all, np.int64)), pa.array(known_log - n * log_total), pa.array(score)]
+                    out.append(pa.RecordBatch.from_arrays([*docs.slice(part.first, part.n).columns[:2], *numbers], names=schema.names))
+        return pa.Table.from_batches(out)
+
+    return texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _tables(model: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For tokens and for grams of a chunk: keys in order and their values."""
+    parts = [[], []]
+    for kind, n, packed in zip(*(model.column(c).to_pylist() for c in ("kind", "n", "packed")), strict=True):
+        parts[kind].append(_unpack(packed, n))
+    out = []
+    for found in parts:
+        keys, values = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.argsort(keys)
+        out.append((keys[order], values[order]))
+    return out
 
-def _pass(shared, bytes_here: np.ndarray, blocks: int, block: int, schema: T.StructType):
-    """Adds one block's part of each score; the first pass brings rows without scores."""
 
-    def run(batches):
-        tables, keys, n = shared.value
-        scorer, base = Scorer(tables), Base(keys, n)
-        for batch in batches:
-            for part in chunks(batch.column(2), lower=True):
-                out, bounds, w = symbols(part)
-                packed, at = grams(out, bounds)
-                if blocks > 1:
-                    here = bytes_here[(packed >> np.uint64(8) & np.uint64(255)).astype(np.int64)]
-                    packed, at = packed[here], np.append(0, np.cumsum(here))[at]
-                gram, inverse = np.unique(packed, return_inverse=True)
-                score = _sums(scorer.log10(gram)[inverse], at)
-                token, inverse = np.unique(w.hashes(), return_inverse=True)
-                c = base.count(token)
-                known = _sums((c > 0)[inverse].astype(np.int64), w.doc_start)
-                known_log = _sums(np.log10(c + 1.0)[inverse], w.doc_start)
-                end = int(base.count(np.array([END_TOKEN]).view(np.uint64))[0])
-                known, known_log = known + (end > 0), known_log + math.log10(end + 1)
-                rows = batch.slice(part.first, part.n)
-                if block:
-                    known, known_log, score = (x + rows.column(i).to_numpy() for x, i in ((known, 4), (known_log, 5), (score, 6)))
-                values = [pa.array(w.count + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(known_log, pa.float64()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:3], *values], names=schema.names)
-
-    return run
+def _scores(part: Texts, tokens, known_grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document: the log10 probability, the number of known tokens, and the sum of log10(c + 1) over tokens."""
+    out, bounds, w = symbols(part)
+    packed, at = grams(out, bounds)
+    gram, inverse = np.unique(packed, return_inverse=True)
+    score = _sums(known_grams[1][np.searchsorted(known_grams[0], gram)][inverse], at)
+    token, inverse = np.unique(w.hashes(), return_inverse=True)
+    c = tokens[1][np.searchsorted(tokens[0], token)]
+    end = float(tokens[1][np.searchsorted(tokens[0], np.array([END_TOKEN]).view(np.uint64))[0]])
+    known = _sums((c > 0)[inverse].astype(np.int64), w.doc_start) + (end > 0)
+    return score, known, _sums(np.log10(c + 1.0)[inverse], w.doc_start) + math.log10(end + 1)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

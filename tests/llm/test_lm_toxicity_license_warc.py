@@ -53,11 +53,11 @@ def ppm(rows, order=lm.ORDER):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [96 << 20, 20_000])
-def test_lm_matches_definition(spark, block_bytes):
+@pytest.mark.parametrize("chunk_bytes", [16 << 20, 300])
+def test_lm_matches_definition(spark, chunk_bytes):
     rows = lm_rows()
     docs = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, score string")
-    got = lm.score_texts(docs, block_bytes=block_bytes).collect()
+    got = lm.score_texts(docs, chunk_bytes=chunk_bytes).collect()
     train = Counter()
     for d, t in rows:
         if lm.crc_remainder(d, 7) != 2:
