@@ -7,9 +7,9 @@ training rows the number of documents of each class that hold a feature gives
 its log-count ratio ``r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2))``, P and Q
 being the class sizes. Features whose ratio is far from 0 for its standard error
 stay (``min_z``), all of them. Logistic regression with an L2
-penalty on the features times r is fitted to at most ``max_rows`` labelled rows
-(a documented bound, drawn by hash), with classes weighing as in all rows. A
-document's score is the logistic of the sum over its features.
+penalty on the features times r is fitted to at most ``max_rows`` distinct labelled
+rows (a documented bound, those of least hash), with classes weighing as in all
+rows. A document's score is the logistic of the sum over its features.
 
 Only the text enters a score; labels come from rows outside the held-out fold.
 The model that is broadcast has a fixed size (``2**BITS`` weights).
@@ -17,8 +17,10 @@ The model that is broadcast has a fixed size (``2**BITS`` weights).
 Edge cases: a null or empty text has no features and scores the intercept; a null
 id hashes as the empty string; a null label is no label, of several labels of an
 id the greatest counts; without labels of both classes every score is the share
-of label 1, smoothed; repeated rows are scored each; an empty table gives an empty
-result; other columns are ignored.
+of label 1, smoothed; repeated rows are scored each and count each in the ratios;
+equal hashes of different texts are one row of the fit; a very long text is
+processed whole, by itself; an empty table gives an empty result; other columns,
+those named as ones of the result too, are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import SPACE, Texts, chunks, mix
+from strandline.llm._text import SPACE, Texts, chunks, distinct, mix
 from strandline.storage import materialize
 
 SIZES, BITS = (4, 5, 6, 8), 20
@@ -57,7 +59,7 @@ def features(part: Texts, wanted: np.ndarray | None = None) -> tuple[np.ndarray,
             ok &= wanted[f]
         at = np.flatnonzero(ok)
         found.append(doc[at] << BITS | f[at])
-    pairs = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+    pairs = distinct(np.concatenate([*found, np.zeros(0, np.int64)]))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -82,7 +84,7 @@ def _document_counts(train: DataFrame) -> DataFrame:
         n = np.zeros((2, (1 << BITS) + 1), np.int64)
         for batch in batches:
             y = (batch.column(1).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
-            for part in chunks(batch.column(0), lower=True, limit=1 << 20):
+            for part in chunks(batch.column(0), lower=True):
                 doc, f = features(part)
                 of = y[part.first : part.first + part.n]
                 for label in (0, 1):
@@ -119,21 +121,37 @@ def _ratios(counts: pa.Table, min_z: float) -> tuple[np.ndarray, int, int]:
     return r, n0, n1
 
 
-def _sample(train: DataFrame, r: np.ndarray, max_rows: int, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kept features, bounds by row and label of at most about ``max_rows`` rows, half of them of each class where there are enough."""
+def _drawn(train: DataFrame, max_rows: int) -> DataFrame:
+    """(text, y) of at most ``max_rows`` rows, half of them of each class where there are enough.
+
+    Those of least hash of id and text; rows that are there twice count once.
+    """
+    marked = train.select(F.xxhash64("doc_id", "text", F.lit("fit")).alias("h"), "text", "y")
+    label = (F.col("y") > 0).cast("int")
+    bounds = []
+    for y in (0, 1):
+        least = marked.where(label == y).select("h").distinct().orderBy("h").limit(max_rows // 2)
+        bounds.append(least.agg(F.max("h")).head()[0])
+    within = F.lit(False)
+    for y, bound in enumerate(bounds):
+        if bound is not None:
+            within = within | ((label == y) & (F.col("h") <= F.lit(bound)))
+    return marked.where(within).dropDuplicates(["h", "y"]).select("text", "y")
+
+
+def _sample(train: DataFrame, r: np.ndarray, max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept features, bounds by row and label of the rows that are fitted."""
     wanted = train.sparkSession.sparkContext.broadcast(r != 0)
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("f", T.ArrayType(T.IntegerType()))])
-    share = lambda n: F.lit(min(1.0, max_rows / 2 / max(n, 1)))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < F.when(F.col("y") > 0, share(n1)).otherwise(share(n0)) * (1 << 30)
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch.column(0), lower=True, limit=1 << 20):
+            for part in chunks(batch.column(0), lower=True):
                 doc, f = features(part, wanted.value)
                 size = np.searchsorted(doc, np.arange(part.n + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(part.first, part.n), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(f, pa.int32()))], names=schema.names)
 
-    table = train.where(drawn).select("text", "y").mapInArrow(run, schema).toArrow()
+    table = _drawn(train, max_rows).mapInArrow(run, schema).toArrow()
     f = np.concatenate([*(x.flatten().to_numpy() for x in table.column("f").chunks), np.zeros(0, np.int32)])
     sizes = np.concatenate([*(x.value_lengths().to_numpy() for x in table.column("f").chunks), np.zeros(0, np.int32)])
     return f, np.append(0, np.cumsum(sizes, dtype=np.int64)), (table.column("y").to_numpy() > 0).astype(float)
@@ -173,7 +191,7 @@ def fit(train: DataFrame, min_z: float = 4.0, max_rows: int = 10_000, penalty: f
     r, n0, n1 = _ratios(counts, min_z)
     if not n0 or not n1:
         return Model(np.zeros(1 << BITS), float(np.log((n1 + 1) / (n0 + 1))))
-    f, bounds, y = _sample(train, r, max_rows, n0, n1)
+    f, bounds, y = _sample(train, r, max_rows)
     kept = np.flatnonzero(r)
     place = np.zeros(1 << BITS, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
@@ -221,7 +239,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch.column(2), lower=True, limit=1 << 20):
+            for part in chunks(batch.column(2), lower=True):
                 s = model.value.score(part)
                 ids = batch.slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
