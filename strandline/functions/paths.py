@@ -74,3 +74,26 @@ def shared_prefix_codepoints(a: Column, b: Column) -> Column:
     n = F.least(F.char_length(a), F.char_length(b))
     differ = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
     return F.when(n == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(differ, F.lit(1)) - 1, n))
+
+
+def address(keys: Column) -> Column:
+    """The canonical address of an array of structs (kind, key): members and attributes by raw name, indexes by number.
+
+    A name that is no bare one is quoted in canonical JSON spelling. A null or unknown
+    kind, a null key or an index that is no canonical number gives null.
+    """
+
+    def name(key: Column) -> Column:
+        out = F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+        for code in range(0x20):
+            out = F.replace(out, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
+        return F.when(key.rlike(rf"\A{_BARE}\z"), key).otherwise(F.concat(F.lit('["'), out, F.lit('"]')))
+
+    def segment(k: Column) -> Column:
+        number = F.when(k["key"].rlike(r"\A(0|[1-9][0-9]*)\z"), F.concat(F.lit("["), k["key"], F.lit("]")))
+        named = F.when(k["kind"] == "member", F.concat(F.lit("."), name(k["key"]))).when(k["kind"] == "attribute", F.concat(F.lit(".@."), name(k["key"])))
+        return F.when(k["kind"] == "index", number).otherwise(named)
+
+    segs = F.transform(keys, segment)
+    return F.when(~F.exists(segs, lambda s: s.isNull()), F.concat(F.lit("$"), F.array_join(segs, "")))

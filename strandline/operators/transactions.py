@@ -23,6 +23,7 @@ from strandline.config import Limits
 from strandline.functions import logical
 from strandline.operators import integrity, provenance, validate
 from strandline.operators.shape import event_row
+from strandline.storage import materialize
 
 BODY, ENVELOPE, INTEGRITY, SIGNATURE = (f"AES_TRANSACTION_{x}_INVALID" for x in ("BODY", "ENVELOPE", "INTEGRITY", "SIGNATURE"))
 APPLICATION, ASSERTION = "AES_TRANSACTION_APPLICATION_INVALID", "AES_TRANSACTION_ASSERTION_FAILED"
@@ -342,10 +343,10 @@ def inspect(docs: DataFrame, options: Options = Options(), artifacts: DataFrame
     ``actionable`` is always false: nothing here grants authority. ``codes`` lists the
     code of every finding, events' findings as AES_TRANSACTION_EVENT_INVALID.
     """
-    base = shaped(docs, options, envelope)
+    base = materialize(shaped(docs, options, envelope), "shaped")  # each document is walked once
     streams = base.where("context").select(F.col("tx_id").alias("stream_id"), "profile", "projection")
     exploded = base.where("context").select(F.col("tx_id").alias("stream_id"), F.posexplode("records").alias("ordinal", "json")).withColumn("ordinal", F.col("ordinal").cast("long"))
-    host = host_records(exploded)
+    host = materialize(host_records(exploded), "host")
     events = host.where("not array_contains(faults, 'AES_INVALID_EVENT')").select(*schema.EVENTS.fieldNames())
     found = validate.validate(events, streams, options.limits, options.registered_event_fields).select("stream_id", "code")
     found = found.unionByName(host.select("stream_id", F.explode("faults").alias("code")))

@@ -18,6 +18,7 @@ from strandline import schema, wire
 from strandline.config import Limits
 from strandline.functions import datatypes, paths
 from strandline.operators.shape import addressed
+from strandline.storage import materialize
 
 _KEY = ["stream_id", "plane", "address"]
 
@@ -247,11 +248,11 @@ def stream_diagnostics(streams: DataFrame, rows: DataFrame, limits: Limits) -> D
 def validate(events: DataFrame, streams: DataFrame, limits: Limits = Limits(), registered: tuple[str, ...] = ()) -> DataFrame:
     """DIAGNOSTICS of all streams; a stream without a row is valid.
 
-    ``events`` is scanned by several branches: persist or write it where it is dear to make.
+    The addressed events and their index are written once; the branches read the columns that they need.
     """
     context = streams.select("stream_id", "profile", "projection")
-    rows = addressed(events).join(context, "stream_id")
-    index = first_index(rows)
+    rows = materialize(addressed(events).join(context, "stream_id"), "addressed")
+    index = materialize(first_index(rows), "index")
     documents = F.col("projection").eqNullSafe(wire.DOCUMENT_PROJECTION)
     complete = F.col("profile") == wire.COMPLETE_PROFILE
     by_plane = duplicate_paths(rows, index).unionByName(parents(rows, index)).unionByName(missing_references(rows, index))

@@ -11,13 +11,13 @@ from strandline import wire
 from strandline.config import Limits
 from strandline.functions import datatypes, paths, payload
 from strandline.operators import completeness, integrity, provenance, shape, text_lines, transactions, validate
-from strandline.plans import generated, sql
+from strandline.plans import generated, planted_queries, sql
 from strandline.sources import binary_format, delta, text_format
 from strandline.storage import materialize
 from strandline.streaming import decoder
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES = sql.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(planted_queries.QUERIES)
+ORACLES = sql.ORACLES | planted_queries.ORACLES
 
 
 def query(f):
@@ -175,19 +175,19 @@ def digest_exact(spark, sf_dir):
 
 @query
 def digest_canonical(spark, sf_dir):
-    """Without the repeated totals, which would leave the order open."""
-    once = _written(spark, sf_dir).where("not (ordinal % 100 = 8 and coalesce(path, '') like '%.total')")
-    return integrity.digests(once, generated.streams(spark), wire.CANONICAL_ORDER, wire.BODY_SCOPE, wire.PROVENANCE_EXCLUDED, nested=False).select("stream_id", "digest")
+    """One stream an order or customer; repeated totals leave the order of theirs open."""
+    events = materialize(generated.small_events(spark, sf_dir), "events")
+    streams = shape.streams(spark, events, profile=wire.PARTIAL_PROFILE)
+    return integrity.digests(events, streams, wire.CANONICAL_ORDER, wire.BODY_SCOPE, wire.PROVENANCE_EXCLUDED, nested=False).select("stream_id", "digest", "error")
 
 
 def _texts(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").isNotNull()).select("doc_id", "text")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
 @query
 def payload_spelling(spark, sf_dir):
-    plain = _texts(spark, sf_dir).where(~F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))
-    return plain.select("doc_id", _md5(payload.encoded(F.col("text"))).alias("spelt"))
+    return _texts(spark, sf_dir).select("doc_id", _md5(payload.encoded(F.col("text"))).alias("spelt"))
 
 
 @query
@@ -266,21 +266,22 @@ def field_order(spark, sf_dir):
 @query
 def payload_bytes(spark, sf_dir):
     """Decoded bytes of each text's payloads and their running sum at its last field."""
-    found = text_lines.decoded_bytes(text_lines.fields(text_lines.stanzas(text_lines.lines(_order_texts(spark, sf_dir).where("stream_id % 10 = 0")))))
+    found = text_lines.decoded_bytes(text_lines.fields(text_lines.stanzas(text_lines.lines(_order_texts(spark, sf_dir)))))
     return found.groupBy("stream_id").agg(F.sum("bytes").alias("bytes"), F.max("total").alias("total"))
 
 
 def _small_blobs(spark, sf_dir) -> DataFrame:
-    """Binary form of the streams of single orders and customers; those with an invalid value have none."""
+    """Binary form of the streams of single orders and customers; those with an invalid value have none, but an error."""
     events = materialize(generated.small_events(spark, sf_dir), "events")
-    blobs = binary_format.encode(events, shape.streams(spark, events, profile=wire.PARTIAL_PROFILE))
-    return blobs.where("error is null").select("stream_id", "bytes")
+    return binary_format.encode(events, shape.streams(spark, events, profile=wire.PARTIAL_PROFILE))
 
 
 @query
 def binary_round_trip(spark, sf_dir):
-    events = text_format.events_of(binary_format.decode_provisional(_small_blobs(spark, sf_dir)))
-    return events.groupBy("stream_id").agg(F.count("*").alias("events"), F.count("value").alias("values"))
+    blobs = materialize(_small_blobs(spark, sf_dir), "blobs")
+    events = text_format.events_of(binary_format.decode_provisional(blobs.where("error is null")))
+    counts = events.groupBy("stream_id").agg(F.count("*").alias("events"), F.count("value").alias("values"))
+    return blobs.select("stream_id", "error").join(counts, "stream_id", "left")
 
 
 @query
@@ -288,7 +289,7 @@ def chunk_decoding(spark, sf_dir):
     """The same bytes in chunks of 100, decoded by the stateful operator."""
     size = F.octet_length("bytes")
     n = F.greatest(F.ceil(size / 100), F.lit(1)).cast("int")
-    cut = _small_blobs(spark, sf_dir).select("stream_id", n.alias("n"), "bytes", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    cut = _small_blobs(spark, sf_dir).where("error is null").select("stream_id", n.alias("n"), "bytes", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     chunks = cut.select("stream_id", F.col("i").cast("long").alias("seq"), F.substring("bytes", F.col("i") * 100 + 1, F.lit(100)).alias("bytes"), (F.col("i") == F.col("n") - 1).alias("final"))
     out = decoder.decode_chunks(chunks)
     return out.groupBy("stream_id").agg(F.count(F.when(F.col("status") == "record", 1)).alias("events"))
@@ -340,14 +341,13 @@ def datatype_descriptors(spark, sf_dir):
     return rows.select("k", datatypes.spelling(*own).alias("spelt"), "code", F.coalesce(F.size(datatypes.descriptor_nodes(*own)), F.lit(0)).alias("nodes"))
 
 
-@query
-def transactions_(spark, sf_dir):
+def _transaction_body() -> F.Column:
     """Scalar replacements, one an order, with faults by arithmetic; odd ones name a target that is not supported."""
     k = F.col("o_orderkey").cast("long")
     key = k.cast("string")
     text = lambda v: (v if isinstance(v, F.Column) else F.lit(v)).cast("string")
-    obj = lambda **kw: F.struct(*(v.alias(n) if isinstance(v, F.Column) else F.lit(v).alias(n) for n, v in kw.items()))
-    body = obj(
+    obj = _struct
+    return obj(
         transaction=wire.TX_CONTRACT,
         id=F.concat(F.lit("t-"), key),
         intent=F.concat(F.lit("i-"), key),
@@ -366,21 +366,51 @@ def transactions_(spark, sf_dir):
         records=F.array(obj(path="$.total", kind=F.when(k % 47 == 0, "ObjectNode").otherwise("NumberLiteral"), value=text("1"))),
         integrity=obj(contract=wire.TX_INTEGRITY, digest="sha256"),
     )
-    envelope = obj(envelope=wire.TX_ENVELOPE, body=body, evidence=F.lit(None).cast("string"))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    docs = orders.select(F.concat(F.lit("t-"), key).alias("tx_id"), F.to_json(envelope, {"ignoreNullFields": "false"}).alias("json"))
-    support = transactions.Support(
-        applications=frozenset([wire.TX_SCALAR_REPLACEMENT]),
-        targets=frozenset([wire.TX_TARGET]),
-        preparations=frozenset([wire.TX_IDENTITY_PREPARATION]),
-        authorizations=frozenset([wire.TX_HOST_AUTHORIZATION]),
-        limit_sets=frozenset(["l@0"]),
-        integrity_contracts=frozenset([wire.TX_INTEGRITY]),
-        preconditions=frozenset([wire.TX_REVISION]),
-    )
-    found = transactions.inspect(materialize(docs, "documents"), transactions.Options(support=support))
+
+
+def _struct(**fields) -> F.Column:
+    return F.struct(*(v.alias(n) if isinstance(v, F.Column) else F.lit(v).alias(n) for n, v in fields.items()))
+
+
+def _documents(spark, sf_dir, evidence: F.Column, digests: DataFrame | None = None) -> DataFrame:
+    """(tx_id, json) of envelopes; ``digests`` (tx_id, digest) may stand in the evidence."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("tx_id", F.concat(F.lit("t-"), F.col("o_orderkey").cast("string")))
+    orders = orders if digests is None else orders.join(digests, "tx_id")
+    envelope = _struct(envelope=wire.TX_ENVELOPE, body=_transaction_body(), evidence=evidence)
+    return materialize(orders.select("tx_id", F.to_json(envelope, {"ignoreNullFields": "false"}).alias("json")), "documents")
+
+
+_SUPPORT = transactions.Support(
+    applications=frozenset([wire.TX_SCALAR_REPLACEMENT]),
+    targets=frozenset([wire.TX_TARGET]),
+    preparations=frozenset([wire.TX_IDENTITY_PREPARATION]),
+    authorizations=frozenset([wire.TX_HOST_AUTHORIZATION]),
+    limit_sets=frozenset(["l@0"]),
+    integrity_contracts=frozenset([wire.TX_INTEGRITY]),
+    preconditions=frozenset([wire.TX_REVISION]),
+)
+
+
+@query
+def transactions_(spark, sf_dir):
+    """Bodies without evidence."""
+    found = transactions.inspect(_documents(spark, sf_dir, F.lit(None).cast("string")), transactions.Options(support=_SUPPORT))
     codes = F.array_join("codes", ",")
     return found.select("tx_id", "valid", "supported", F.when(codes != "", codes).alias("codes"))
 
 
+@query
+def transaction_evidence(spark, sf_dir):
+    """Digests of bodies, and evidence that matches, differs, is malformed or absent, where it is required."""
+    bare = _documents(spark, sf_dir, F.lit(None).cast("string"))
+    digests = materialize(transactions.shaped(bare).select("tx_id", "digest"), "digests")
+    k = F.col("o_orderkey").cast("long")
+    given = F.when(k % 5 == 1, "0").when(k % 5 == 2, "0" * 64).otherwise(F.col("digest"))
+    signed = _struct(signature=F.when(k % 5 == 3, "v0").otherwise(wire.TX_SIGNATURE), alg="a", kid="k", sig="s")
+    evidence = F.when(k % 5 != 0, _struct(integrity=wire.TX_INTEGRITY, digest="sha256", hash=given, signatures=F.array(signed)))
+    options = transactions.Options(support=_SUPPORT, require_evidence=True)
+    found = transactions.inspect(_documents(spark, sf_dir, evidence, digests), options)
+    return found.select("tx_id", "digest", "valid", "evidence_verified", "ready", F.exists("codes", lambda c: c.contains("INTEGRITY") | c.contains("SIGNATURE")).alias("refused"))
+
+
 QUERIES["transactions"] = QUERIES.pop("transactions_")

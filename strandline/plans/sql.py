@@ -93,6 +93,18 @@ SELECT stream_id, sha256('{head}' || {_S.format('profile')} || 's10:projection'
 """)
 
 
+#: Escapes of the text format: short ones, then every other control by its code.
+_SPELT = "replace(text, '\\', '\\\\')"
+for _code in (*range(32), 127):
+    _short = {0: "\\0", 9: "\\t", 10: "\\n", 13: "\\r"}.get(_code, f"\\u{{{_code:X}}}")
+    _SPELT = f"replace({_SPELT}, chr({_code}), '{_short}')"
+
+SMALL_DIGESTS = digest("aes.order.canonical-semantic.v1", "path").replace("FROM ev WHERE path IS NOT NULL GROUP BY stream_id", "FROM small GROUP BY stream_id").replace(
+    "\n, r AS", "\n, small AS (SELECT * REPLACE (regexp_extract(path, '^\\$\\.([oc][0-9]+)', 1) AS stream_id) FROM ev WHERE path IS NOT NULL), op AS (SELECT DISTINCT stream_id FROM small GROUP BY stream_id, path HAVING count(*) > 1), r AS"
+)
+SMALL_DIGESTS = SMALL_DIGESTS.replace("AS digest FROM r JOIN st USING (stream_id)", "AS digest, CASE WHEN stream_id IN (FROM op) THEN 'AES_INTEGRITY_AMBIGUOUS_CANONICAL_ORDER' END AS error FROM (SELECT *, 'aes.partial.v1' AS profile, NULL::VARCHAR AS projection FROM r)")
+SMALL_DIGESTS = f"SELECT stream_id, CASE WHEN error IS NULL THEN digest END AS digest, error FROM ({SMALL_DIGESTS})"
+
 _ERRORS = """SELECT o_orderkey::VARCHAR AS stream_id
 ,  CASE o_orderkey % 10 WHEN 1 THEN 'TELEX_DUPLICATE_FIELD' WHEN 2 THEN 'TELEX_UNKNOWN_ESCAPE' WHEN 3 THEN 'TELEX_UNESCAPED_CONTROL' WHEN 4 THEN 'TELEX_INVALID_FIELD_NAME' WHEN 5 THEN 'TELEX_INVALID_FIELD_LINE' WHEN 6 THEN 'TELEX_UNTERMINATED_UNICODE_ESCAPE' WHEN 7 THEN 'TELEX_INCOMPLETE_ESCAPE' WHEN 8 THEN 'TELEX_MISSING_HEADER_SEPARATOR' ELSE 'TELEX_INVALID_PREAMBLE' END AS code
 ,  CASE o_orderkey % 10 WHEN 8 THEN 2 WHEN 9 THEN 1 ELSE 5 END::BIGINT AS line FROM orders WHERE o_orderkey % 10 <> 0"""
@@ -118,15 +130,15 @@ ORACLES: dict[str, str] = {
     "stream_verdicts": f"WITH {ADDRESSED}, {DIAGNOSTICS} SELECT st.stream_id, profile, count(code) = 0 AS valid, count(code) AS n_diagnostics FROM st LEFT JOIN al USING (stream_id) GROUP BY ALL",
     "diagnostic_counts": f"WITH {ADDRESSED}, {DIAGNOSTICS} SELECT stream_id, code, count(*) AS n FROM al GROUP BY ALL",
     "digest_exact": digest("aes.order.exact.v1", "ordinal"),
-    "digest_canonical": digest("aes.order.canonical-semantic.v1", "path").replace("FROM ev WHERE path IS NOT NULL", "FROM ev WHERE path IS NOT NULL AND NOT (ordinal % 100 = 8 AND path LIKE '%.total')"),
+    "digest_canonical": SMALL_DIGESTS,
     "record_bytes": events(f"SELECT stream_id, ordinal, {RECORD} AS text FROM ev"),
-    "payload_spelling": "SELECT doc_id, md5(replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r')) AS spelt FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]')",
-    "payload_round_trip": "SELECT doc_id, md5(text) AS h, TRUE AS well_formed FROM documents WHERE text IS NOT NULL",
+    "payload_spelling": f"SELECT doc_id, md5({_SPELT}) AS spelt FROM documents",
+    "payload_round_trip": "SELECT doc_id, md5(text) AS h, CASE WHEN text IS NOT NULL THEN TRUE END AS well_formed FROM documents",
     "encode_text": events(r""", sz AS (SELECT stream_id, string_agg(CASE WHEN header IS NULL THEN 'path=' || path ELSE 'header=' || header END || chr(10) || 'kind=' || kind || CASE WHEN identity IS NULL THEN '' ELSE chr(10) || 'identity=' || identity END || CASE WHEN value IS NULL THEN '' ELSE chr(10) || 'value=' || value END, chr(10) || chr(10) ORDER BY ordinal) AS body FROM ev GROUP BY stream_id)
 SELECT stream_id, md5('telex.aes=1' || chr(10) || 'profile=' || profile || CASE WHEN projection IS NULL THEN '' ELSE chr(10) || 'projection=' || projection END || chr(10) || chr(10) || body || chr(10)) AS text_md5 FROM sz JOIN st USING (stream_id)"""),
     "stanza_fields": events("SELECT stream_id, field, count(*) AS n, sum(strlen(v))::BIGINT AS bytes FROM (SELECT stream_id, unnest(['path', 'header', 'kind', 'identity', 'value']) AS field, unnest([path, header, kind, identity, value]) AS v FROM ev) WHERE v IS NOT NULL GROUP BY ALL"),
     "text_round_trip": events("SELECT stream_id, count(*) AS events, count(value) AS \"values\", count(identity) AS identities FROM ev GROUP BY ALL"),
-    "binary_round_trip": events("SELECT own AS stream_id, count(*) AS events, count(value) AS \"values\" FROM (SELECT *, regexp_extract(path, '^\\$\\.([oc][0-9]+)', 1) AS own FROM ev WHERE path IS NOT NULL) WHERE NOT (own LIKE 'o%' AND substr(own, 2)::BIGINT % 50 = 0) GROUP BY ALL".replace("\\\\", "\\")),
+    "binary_round_trip": events(r"SELECT own AS stream_id, CASE WHEN bad THEN 'FILM_AES_INVALID' END AS error, CASE WHEN NOT bad THEN n END AS events, CASE WHEN NOT bad THEN v END AS \"values\" FROM (SELECT own, own LIKE 'o%' AND substr(own, 2)::BIGINT % 50 = 0 AS bad, count(*) AS n, count(value) AS v FROM (SELECT *, regexp_extract(path, '^\$\.([oc][0-9]+)', 1) AS own FROM ev WHERE path IS NOT NULL) GROUP BY own)".replace('\\"', '"')),
     "chunk_decoding": events("SELECT own AS stream_id, count(*) AS events FROM (SELECT *, regexp_extract(path, '^\\$\\.([oc][0-9]+)', 1) AS own FROM ev WHERE path IS NOT NULL) WHERE NOT (own LIKE 'o%' AND substr(own, 2)::BIGINT % 50 = 0) GROUP BY ALL".replace("\\\\", "\\")),
     "prefix_delta": addressed(", d AS (SELECT *, lag(address) OVER (PARTITION BY stream_id, plane, ordinal // 256 ORDER BY ordinal) AS b FROM ad), n AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(length(b), length(address)) + 1), lambda i: substr(b, i, 1) <> substr(address, i, 1))) - 1, least(length(b), length(address))) END AS shared FROM d) SELECT stream_id, ordinal, shared::INT AS shared, substr(address, shared::INT + 1) AS suffix FROM n"),
     "block_index": addressed(", d AS (SELECT *, ordinal // 256 AS block, lag(address) OVER (PARTITION BY stream_id, plane, ordinal // 256 ORDER BY ordinal) AS b FROM ad), n AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(length(b), length(address)) + 1), lambda i: substr(b, i, 1) <> substr(address, i, 1))) - 1, least(length(b), length(address))) END AS shared FROM d) SELECT stream_id, block, min(ordinal) AS first_record, count(*) AS records, sum(strlen(substr(address, shared::INT + 1)))::BIGINT AS bytes FROM n GROUP BY stream_id, block"),
@@ -159,5 +171,5 @@ SELECT 't-' || k AS tx_id, NOT (k % 41 = 0 OR k % 43 = 0 OR k % 47 = 0) AS valid
     "syntax_errors": _ERRORS,
     "decoding_errors": _ERRORS,
     "field_order": "SELECT o_orderkey::VARCHAR AS stream_id, o_orderkey % 3 <> 0 AS canonical FROM orders",
-    "payload_bytes": "SELECT o_orderkey::VARCHAR AS stream_id, (13 + length(o_orderkey::VARCHAR))::BIGINT AS bytes, (13 + length(o_orderkey::VARCHAR))::BIGINT AS total FROM orders WHERE o_orderkey % 10 = 0",
+    "payload_bytes": "SELECT o_orderkey::VARCHAR AS stream_id, n::BIGINT AS bytes, n::BIGINT AS total FROM (SELECT o_orderkey, CASE o_orderkey % 10 WHEN 8 THEN 10 WHEN 1 THEN 5 + m WHEN 4 THEN 1 + m ELSE m END AS n FROM (SELECT o_orderkey, 13 + length(o_orderkey::VARCHAR) AS m FROM orders))",
 }

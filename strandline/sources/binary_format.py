@@ -260,6 +260,8 @@ def _text(value: str) -> bytes:
 
 
 def _descriptor(d: dict) -> bytes:
+    if any("generics" not in g for g in d["generics"]):
+        raise BinaryError("FILM_ENCODE_ERROR", component="datatype")  # a literal among the arguments has no framing
     body = _text(d["datatype"]) + uleb(len(d["generics"])) + b"".join(b"\0" + _descriptor(g) for g in d["generics"])
     body += uleb(len(d["clarifiers"])) + b"".join((b"\1" if c["kind"] == "StringLiteral" else b"\2") + _text(c["value"]) for c in d["clarifiers"])
     return uleb(len(body)) + body
@@ -370,7 +372,7 @@ def read(spark: SparkSession, path: str, limits: BinaryLimits = BinaryLimits(),
 
 def encode(events: DataFrame, streams: DataFrame, limits: BinaryLimits = BinaryLimits(), event_limits: Limits = Limits(), registered: tuple[str, ...] = ()) -> DataFrame:
     """(stream_id, bytes, error) of streams; those that validation refuses have no bytes."""
-    events = materialize(events, "events")  # validation reads them several times
+    events = materialize(events, "events")
     bad = validation.validate(events, streams, event_limits, registered).select("stream_id").distinct().withColumn("refused", F.lit(True))
     met = events.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct(*events.columns[1:]))).alias("events"))
     rows = streams.join(met, "stream_id", "left").join(bad, "stream_id", "left")
