@@ -8,13 +8,16 @@ combine before the shuffle and groups merge into their language or the whole
 corpus). The fence of a ratio is ``q75 + max(step, 3 (q75 - q25))`` (and the mirror
 below for mean word length); the step is a small least distance from the group's own
 quartile, for groups that don't spread. Repeated lines are a share of the lines
-with words, the others are divided by words. Groups of fewer
-than ``min_group`` documents take the sketch of their language, and if that is
-small too, of the corpus. ``apply_rules`` joins fences to the documents.
+with words, the others are divided by words. Quartiles lean on those of the language,
+and these on the corpus's, as if a group had ``prior`` more documents of its parent,
+so that small groups are not judged by their own few. ``with_verdict`` joins fences to
+the documents.
 
 Edge cases: a null text has no words and fails the base rule; null lang or
 source form groups of their own; an empty table gives an empty result; repeated
-rows each count and each get a verdict; other columns pass through untouched.
+rows each count and each get a verdict; a value equal to a fence passes it; a very long
+text is measured whole, by itself; other columns pass through untouched, those with a
+prefix of this module (``__q_``, ``__hi_``, ``__lo_``, ``__f_``) are refused with an error.
 """
 
 from __future__ import annotations
@@ -50,13 +53,20 @@ class Rules:
     high: dict[str, float] = field(default_factory=lambda: {"symbols": 0.02, "dup_lines": 0.2, "repeats": 0.2, "word_length": 1.0})
     low: dict[str, float] = field(default_factory=lambda: {"word_length": 1.0})
     spread: float = 3.0
-    min_group: int = 200
+    #: Weight of the parent's quartiles, in documents.
+    prior: float = 20.0
     #: Buckets grow by this factor: 1.02 bounds the relative error by 1 %.
     growth: float = 1.02
     #: Fences are broadcast only up to so many groups.
     broadcast_groups: int = 20_000
 
 
+def _own_names(docs: DataFrame) -> None:
+    taken = [c for c in docs.columns if c.startswith(("__q_", "__hi_", "__lo_", "__f_"))]
+    if taken:
+        raise ValueError(f"columns {taken} have names of this operator")
+
+
 def _counts(texts) -> dict[str, np.ndarray]:
     w = texts.words(SPACE)
     buf, offs = texts.buf, texts.offs
@@ -141,16 +151,15 @@ def thresholds(measured: DataFrame, groups: list[str], rules: Rules) -> DataFram
     Groups without words have no row; their documents all fail the base rule.
     """
     sketch = materialize(sketches(measured, groups, rules), "sketch")
-    out = _quantiles(sketch, groups, rules)
-    for depth in range(len(groups) - 1, -1, -1):
-        wider = _quantiles(sketch, groups[:depth], rules).select(
-            *(F.col(g).alias(f"__w_{g}") for g in groups[:depth]), F.col("ratio").alias("__ratio"), *(F.col(c).alias(f"__w_{c}") for c in ("total", "q25", "q75"))
-        )
+    out = _quantiles(sketch, [], rules)
+    for depth in range(1, len(groups) + 1):
+        wider = out.select(*(F.col(g).alias(f"__w_{g}") for g in groups[: depth - 1]), F.col("ratio").alias("__ratio"), *(F.col(c).alias(f"__w_{c}") for c in ("q25", "q75")))
         on = F.col("ratio") == F.col("__ratio")
-        for g in groups[:depth]:
+        for g in groups[: depth - 1]:
             on = on & F.col(g).eqNullSafe(F.col(f"__w_{g}"))
-        small = F.col("total") < rules.min_group
-        out = out.join(wider, on).select(*groups, "ratio", *(F.when(small, F.col(f"__w_{c}")).otherwise(F.col(c)).alias(c) for c in ("total", "q25", "q75")))
+        share = F.col("total") / (F.col("total") + rules.prior)
+        leaning = [(share * F.col(c) + (1 - share) * F.col(f"__w_{c}")).alias(c) for c in ("q25", "q75")]
+        out = _quantiles(sketch, groups[:depth], rules).join(wider, on).select(*groups[:depth], "ratio", "total", *leaning)
     spread = rules.spread * (F.col("q75") - F.col("q25"))
     own = lambda k, c: F.max(F.when(F.col("ratio") == k, c))
     wide = [own(k, F.col("q75") + F.greatest(F.lit(v), spread)).alias(f"__hi_{k}") for k, v in rules.high.items()]
@@ -179,6 +188,7 @@ def with_verdict(measured: DataFrame, fences: DataFrame, groups: list[str], rule
 def score_documents(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """One row per document: ids, groups, counts, ``base_failed`` and ``kept``."""
     groups = list(groups)
+    _own_names(docs.select(doc_id, *groups, text))
     measured = materialize(measure(docs.select(doc_id, *groups, text), text).drop(text), "measured")
     return with_verdict(measured, thresholds(measured, groups, rules), groups, rules)
 
@@ -190,5 +200,6 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text", group
     that no text is shuffled.
     """
     groups, p = list(groups), "__q_"
+    _own_names(docs)
     fences = thresholds(measure(docs.select(*groups, text), text).drop(text), groups, rules)
     return with_verdict(measure(docs, text, p), fences, groups, rules, p).where(p + "kept").select(*docs.columns)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import quality
@@ -68,3 +69,18 @@ def test_repeated_lines_are_a_share_of_lines(spark):
     rules = quality.Rules(max_repeat_percent=100, high={"dup_lines": quality.Rules().high["dup_lines"]}, low={})
     got = {r.doc_id: r.kept for r in quality.score_documents(docs, rules).collect()}
     assert all(got[i] for i in range(250)) and not got[900]
+
+
+def test_groups_need_opposite_verdicts_and_names_are_kept_apart(spark):
+    """The share of symbols that is usual in one source is far out in another; small groups lean on their language."""
+    text = lambda i, n: " ".join(f"word{(i * 131 + j * j) % 9973}" + "#" * (j < n) for j in range(200))
+    rows = [(i, text(i, 0), "en", "plain") for i in range(2000)] + [(5000 + i, text(i, 30 + i % 20), "en", "code") for i in range(2000)]
+    rows += [(9000, text(1, 45), "en", "plain"), (9001, text(1, 45), "en", "code"), (9002, text(1, 200), "en", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.score_documents(docs).collect()}
+    assert not got[9000] and got[9001] and not got[9002]
+    measured = quality.measure(docs).drop("text")
+    fence = {r.source: r["__hi_symbols"] for r in quality.thresholds(measured, ["lang", "source"], quality.Rules()).collect()}
+    assert fence["plain"] < fence["code"]
+    with pytest.raises(ValueError):
+        quality.keep_good(docs.withColumn("__q_x", F.lit(1)))
