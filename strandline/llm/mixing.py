@@ -1,6 +1,6 @@
 r"""Mixing sources to target weights.
 
-Every document gets a key from a seeded hash of its id. A source's documents
+Every document gets a key from a seeded hash of its id and text. A source's documents
 are ordered by that key; the leading hexadecimal digits of the key name a range
 bucket, so buckets are even whatever the size of a source. Prefix sums of word
 counts are distributed: totals per (source, bucket), a prefix over those small
@@ -16,7 +16,9 @@ the budget, found by one pass over sources in order of cap / weight.
 
 Edge cases: a null text has size 0; documents without words take 0; a null
 source is a source of its own, last in order; rows with equal id and text are
-separate rows and share their key, their order among each other is immaterial;
+separate rows and share their key: they are alike, so their order among each other
+is immaterial, and reruns agree whatever the order of rows; very long texts are
+counted whole; columns named as this module's own don't clash;
 an empty table gives an empty result; other columns pass through (``mix_documents``)
 or are ignored (``mix_sources``).
 """
@@ -86,7 +88,8 @@ def mix_documents(
 
 
 def _sized(docs: DataFrame, seed: str, bucket_digits: int, doc_id: str, text: str, source: str, *more) -> DataFrame:
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    spelt = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))  # noqa: E731  null is not the empty string
+    key = F.md5(F.concat(F.lit(seed), F.md5(spelt(doc_id)), F.md5(spelt(text))))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
@@ -107,7 +110,7 @@ def _plan(docs: DataFrame, weights, share, max_epochs, seed, bucket_digits, doc_
     offsets = buckets.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_offset"))
     offsets = materialize(offsets.join(sources, "skey"), "offsets")
 
-    inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("bucket_offset") - F.col("bucket_prior")

@@ -6,7 +6,7 @@ OP1 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS skey,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix-1|' || md5(coalesce('s' || doc_id::VARCHAR, 'n')) || md5(coalesce('s' || text, 'n'))) AS key
   FROM documents),
 src AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM sized GROUP BY skey),
 weighted AS (
@@ -23,7 +23,7 @@ targets AS (
   FROM (SELECT *, (SELECT arg_min(level, rank) FROM run WHERE level < cap / w) AS f FROM run)),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
-         coalesce(sum(s.size) OVER (PARTITION BY s.skey ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior,
+         coalesce(sum(s.size) OVER (PARTITION BY s.skey ORDER BY s.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior,
          CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END AS epochs
   FROM sized s JOIN targets t USING (skey))
 SELECT doc_id, size, source_size, target,

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from strandline.llm.mixing import mix_documents, mix_sources
 from tests.llm import brute
@@ -53,5 +55,18 @@ def test_mixed_documents(spark):
 
 
 def test_pipeline_gives_documents(spark):
-    got = corpus_pipeline.corpus(spark, "/root/testdata/sf0.001").collect()
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert len(got) > 50 and all(brute.words(r.text) and r.n_chars == len(r.text) and r.epoch >= 0 for r in got)
+
+
+def test_reruns_agree_on_equal_ids(spark):
+    """Rows of one id (or none) with different texts, in other orders and with columns named as the operator's."""
+    rows = [(i % 5 if i % 3 else None, " ".join(f"w{i}_{j}" for j in range(1 + i % 9)), "ab"[i % 2], "x") for i in range(90)] + [(1, "long " * 100_000, "a", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key string").withColumn("bucket", F.lit("b"))
+    spelt = lambda df: sorted(str((r["doc_id"], r["size"], r["taken"])) for r in mix_sources(df).collect())
+    words = lambda df: sorted(str(tuple(r)) for r in mix_documents(df).collect())
+    first, mixed = spelt(docs), words(docs)
+    assert len(first) == len(rows)
+    for n in (1, 7):
+        other = docs.orderBy(F.xxhash64("text", F.lit(n))).repartition(n)
+        assert spelt(other) == first and words(other) == mixed
