@@ -31,8 +31,10 @@ adaptive execution can split hot keys.
 
 Edge cases: a null or empty text has no shingles and is a class of its own; a
 null id counts as greater than all others, and a class of null ids only has a
-null class id; repeated rows share a class; an empty table gives an empty
-result; other columns pass through (``keep_one``) or are ignored.
+null class id; repeated rows share a class, and of a keeper that is there twice
+one stays; a very long text is hashed whole, by itself; an empty table gives an
+empty result; other columns pass through (``keep_one``; names that begin with
+``__`` are this operator's) or are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,7 +83,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, bounds: np.ndarra
         return out, have
     doc = np.repeat(np.arange(n), np.diff(bounds))
     total = np.bincount(doc, weights, minlength=n)
-    theta = (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300)
+    theta = (k * math.log(k) + 2 * k) / np.where(total > 0, total, 1.0)  # sets without weight have no cells
     rank_cells, weight_cells = np.ceil(theta).astype(np.int64)[doc], np.ceil(weights).astype(np.int64)
     cells = rank_cells * weight_cells
     for a, b in _slices(cells, 1 << 20):
@@ -376,12 +378,18 @@ def _links(buckets: DataFrame, sets: DataFrame, least: float, weights: str) -> D
     return _merged(roots, materialize(_verified(_similar_pairs(left, least), sets, least), "links"))
 
 
+def _row_hash(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """128 bits of a row's id and text; null is not the empty string."""
+    spelt = lambda c: F.md5(F.coalesce(F.concat(F.lit("s"), docs[c].cast("string")), F.lit("n")))
+    return F.unhex(F.md5(F.concat(spelt(doc_id), spelt(text))))
+
+
 def classify(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, weights: str = "set", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, th, class_id (least id of its class), class_size, keeper.
+    """One row per document: doc_id, th, class_id (least id of its class), class_size, keeper, wordless.
 
     ``th`` identifies a row's id and text; the row(s) with ``keeper`` stand for the class.
     """
-    keyed = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("th"), docs[text].alias("text"))
+    keyed = docs.select(docs[doc_id].alias("doc_id"), _row_hash(docs, doc_id, text).alias("th"), docs[text].alias("text"))
     rows_ = materialize(_signature_rows(keyed, width, bands, rows, weights), "signatures")
     nodes = rows_.where(F.col("fp").isNotNull()).groupBy("fp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")
@@ -407,12 +415,14 @@ def classify(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 2
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (alone | (F.col("th") == F.col("keep_th"))).alias("keeper"),
+        alone.alias("wordless"),
     )
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, weights: str = "set", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one of least id. Documents without words all stay."""
-    kept = materialize(classify(docs, width, least, bands, rows, weights, doc_id, text).where("keeper").select("th").distinct(), "kept")
-    keyed = docs.withColumn("__th", F.xxhash64(docs[doc_id], docs[text]))
-    one = keyed.join(kept.toDF("__th"), "__th", "left_semi").dropDuplicates(["__th"])
-    return one.select(*docs.columns)
+    found = classify(docs, width, least, bands, rows, weights, doc_id, text).where("keeper")
+    kept = materialize(found.groupBy("th").agg(F.max("wordless").alias("wordless")).toDF("__th", "__wordless"), "kept")
+    one = docs.withColumn("__th", _row_hash(docs, doc_id, text)).join(kept, "__th")
+    alike = one.where("not __wordless").dropDuplicates(["__th"])  # a keeper that is there twice
+    return one.where("__wordless").unionByName(alike).select(*docs.columns)

@@ -135,3 +135,9 @@ def test_no_link_is_missed_in_a_hot_bucket(spark, weights):
     missed = sum(root[name(a)] != root[name(b)] for a, b in links)
     print(f"missed {missed} of {len(links)} links")
     assert len(links) == 8 and missed == 0 and len(set(root.values())) == len(rows) - 8
+
+
+def test_documents_without_words_all_stay(spark):
+    rows = [(1, ""), (1, ""), (None, None), (None, None), (2, "a b"), (2, "a b"), (3, "word " * 100_000)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:4]) for r in kept) == [("1", ""), ("1", ""), ("2", "a b"), ("3", "word"), ("None", ""), ("None", "")]

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from strandline.llm import quality
+from strandline.llm import mixing, quality
 from tests.llm import brute
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,14 +64,17 @@ def test_stages(spark, tmp_path):
     assert hits[600][1] == 30
 
     before, after = at["mixing_sources"]
-    assert sum(r["size"] for r in after) == sum(len(brute.words(r.text)) for r in before) and len(after) == len(before)
-    by_source = {}
+    plan = {r.doc_id: r for r in mixing.mix_sources(spark.createDataFrame(before)).collect()}
+    took = {}
     for r in after:
-        by_source.setdefault(r.source, []).append(r)
-    for own in by_source.values():
-        assert sum(r["taken"] for r in own) == int(own[0].target)
+        took[r.doc_id] = took.get(r.doc_id, 0) + len(brute.words(r.text))
+        assert r.n_chars == len(r.text) and set(r.asDict()) == {*before[0].asDict(), "epoch"}
+    assert took == {d: r.taken for d, r in plan.items() if r.taken}
+    for source in {r.source for r in before}:
+        own = [r for r in plan.values() if r.source == source]
+        assert sum(r.taken for r in own) == int(own[0].target)
 
 
 def test_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) > 50 and len({r.doc_id for r in rows}) == len(rows)
+    assert len({r.doc_id for r in rows}) > 50 and len({(r.doc_id, r.epoch) for r in rows}) == len(rows)
