@@ -35,7 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs)
+    return _recounted(mixing.mix_documents(docs))
 
 
 STAGES = [
@@ -50,18 +50,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the stages leave, mixed: all columns, repeats with their ``epoch``, last texts cut."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
-
-
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the stages leave, mixed: all columns, repeats with their ``epoch``, last texts cut."""
-    return _recounted(mixing.mix_documents(_cleaned(spark, sf_dir)))
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix of ``corpus`` takes from each document."""
-    return STAGES[-1][1](spark, _cleaned(spark, sf_dir), sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir)
