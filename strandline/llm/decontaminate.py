@@ -11,9 +11,11 @@ Words outside the items' vocabulary, and neighbours that are never neighbours
 in an item, end every match. Both are found by array look-ups over a whole
 batch, so only stretches that can hold a window are streamed word by word.
 
-The items are read in blocks of about ``block_bytes`` (by a hash of the row), so
-what a worker holds is bounded; the spans that blocks find in a document are
-united afterwards. Edge cases: a null or empty text has no words; an item
+The items are read in blocks of about ``block_bytes`` of text (by a hash of the row).
+The driver builds the automaton of a block once and broadcasts it as sorted arrays,
+about 20 bytes for each byte of text, so what a worker holds is bounded; with more
+than one block, documents pass once for each, written in between, and spans are
+united. Edge cases: a very long text is scanned whole, by itself; a null or empty text has no words; an item
 without words has no window; an item with a null id marks words but is never
 listed; repeated items are listed once; rows with equal id and text are judged
 alike and all returned; empty tables give no rows or no hits.
@@ -22,6 +24,8 @@ alike and all returned; empty tables give no rows or no hits.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,59 +35,117 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm._text import NOT_ALNUM, Words, chunks, distinct
+from strandline.storage import materialize
 
 
-class SuffixAutomaton:
-    """Generalised over integer sequences: each is inserted from the root, shared states are reused."""
+class _Builder:
+    """Generalised over integer sequences: each is inserted from the root, shared states are reused.
 
-    def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.marks: dict[int, dict[int, set[str | None]]] = {}
+    An edge is one dictionary entry (state and word in one number) and a link in its state's chain of edges.
+    """
+
+    def __init__(self, words: int) -> None:
+        self.words = max(words, 1)
+        self.edges: dict[int, int] = {}
+        self.word, self.before = array("i"), array("i")
+        self.last, self.link, self.length = array("i", [-1]), array("i", [-1]), array("i", [0])
 
-    def _new(self, length: int, edges: dict[int, int], link: int) -> int:
-        self.next.append(edges)
+    def _state(self, length: int, link: int) -> int:
+        self.last.append(-1)
         self.length.append(length)
         self.link.append(link)
-        return len(self.next) - 1
+        return len(self.length) - 1
+
+    def _edge(self, state: int, word: int, target: int) -> None:
+        key = state * self.words + word
+        if key not in self.edges:
+            self.word.append(word)
+            self.before.append(self.last[state])
+            self.last[state] = len(self.word) - 1
+        self.edges[key] = target
+
+    def next(self, state: int, word: int) -> int | None:
+        return self.edges.get(state * self.words + word)
 
     def _split(self, parent: int, word: int, target: int) -> int:
         """The state for exactly ``length[parent] + 1`` words of ``target``'s class."""
-        copy = self._new(self.length[parent] + 1, dict(self.next[target]), self.link[target])
+        copy = self._state(self.length[parent] + 1, self.link[target])
+        edge = self.last[target]
+        while edge >= 0:
+            self._edge(copy, self.word[edge], self.edges[target * self.words + self.word[edge]])
+            edge = self.before[edge]
         self.link[target] = copy
-        while parent >= 0 and self.next[parent].get(word) == target:
-            self.next[parent][word] = copy
+        while parent >= 0 and self.next(parent, word) == target:
+            self._edge(parent, word, copy)
             parent = self.link[parent]
         return copy
 
-    def _extend(self, last: int, word: int) -> int:
-        target = self.next[last].get(word)
+    def _extend(self, at: int, word: int) -> int:
+        target = self.next(at, word)
         if target is not None:
-            return target if self.length[target] == self.length[last] + 1 else self._split(last, word, target)
-        state, parent = self._new(self.length[last] + 1, {}, 0), last
-        while parent >= 0 and word not in self.next[parent]:
-            self.next[parent][word] = state
+            return target if self.length[target] == self.length[at] + 1 else self._split(at, word, target)
+        state, parent = self._state(self.length[at] + 1, 0), at
+        while parent >= 0 and self.next(parent, word) is None:
+            self._edge(parent, word, state)
             parent = self.link[parent]
         if parent >= 0:
-            target = self.next[parent][word]
+            target = self.next(parent, word)
             self.link[state] = target if self.length[target] == self.length[parent] + 1 else self._split(parent, word, target)
         return state
 
     def insert(self, words: list[int]) -> None:
-        last = 0
+        at = 0
         for w in words:
-            last = self._extend(last, w)
+            at = self._extend(at, w)
+
+
+class Automaton:
+    """The built automaton in sorted arrays: 12 bytes an edge, 12 a state, 16 a mark."""
+
+    def __init__(self, coded: list[list[int]], words: int, window: int):
+        built = _Builder(words)
+        for c in coded:
+            built.insert(c)
+        self.words, self.link, self.length = built.words, built.link, built.length
+        keys = np.fromiter(built.edges.keys(), np.int64, len(built.edges))
+        order = np.argsort(keys)
+        self.keys = array("q", keys[order].tobytes())
+        self.targets = array("i", np.fromiter(built.edges.values(), np.int32, len(keys))[order].tobytes())
+        del built
+        # a mark: the state of a window, its number of words, the item
+        state, size, item = array("q"), array("i"), array("i")
+        for i, c in enumerate(coded):
+            for s, m in self._windows(c, window):
+                state.append(s)
+                size.append(m)
+                item.append(i)
+        marks = np.unique(np.stack([np.frombuffer(x, t).astype(np.int64) for x, t in ((state, np.int64), (size, np.int32), (item, np.int32))] if len(state) else np.zeros((3, 0), np.int64)), axis=1)
+        self.mark_state = array("q", marks[0].tobytes())
+        self.mark_words, self.mark_item = (array("i", x.astype(np.int32).tobytes()) for x in marks[1:])
+        # the first state with a mark on each one's way to the root, itself included; links lead to shorter states
+        nearest = np.zeros(len(self.length), np.int32)
+        nearest[marks[0]] = marks[0]
+        for s in np.argsort(np.frombuffer(self.length, np.int32), kind="stable")[1:].tolist():
+            if not nearest[s]:
+                nearest[s] = nearest[self.link[s]]
+        self.nearest = array("i", nearest.tobytes())
+
+    def _next(self, state: int, word: int) -> int:
+        key = state * self.words + word
+        at = bisect_left(self.keys, key)
+        return self.targets[at] if at < len(self.keys) and self.keys[at] == key else 0
 
     def step(self, state: int, length: int, word: int) -> tuple[int, int]:
         """The longest match that ends at ``word``, given the one before it."""
-        while state and word not in self.next[state]:
+        target = self._next(state, word)
+        while state and not target:
             state = self.link[state]
             length = self.length[state]
-        state = self.next[state].get(word, 0)
-        return (state, length + 1) if state else (0, 0)
+            target = self._next(state, word)
+        return (target, length + 1) if target else (0, 0)
 
-    def mark(self, words: list[int], item: str | None, window: int) -> None:
-        """Note ``item`` on the state of each of its windows; call after all inserts."""
+    def _windows(self, words: list[int], window: int) -> Iterator[tuple[int, int]]:
+        """(state, number of words) of each window of an item."""
         m = min(window, len(words))
         state = length = 0
         for i, w in enumerate(words):
@@ -91,17 +153,20 @@ class SuffixAutomaton:
             while self.length[self.link[state]] >= m:
                 state = self.link[state]
                 length = self.length[state]
-            length = min(length, m) if length > m else length
+            length = min(length, m)
             if i + 1 >= m:
-                self.marks.setdefault(state, {}).setdefault(m, set()).add(item)
+                yield state, m
 
-    def windows_at(self, state: int, length: int) -> Iterator[tuple[int, set[str | None]]]:
-        """(number of words, items) of each window that is a suffix of the current match."""
+    def windows_at(self, state: int, length: int) -> Iterator[tuple[int, int]]:
+        """(number of words, item) of each window that is a suffix of the current match."""
+        state = self.nearest[state]
         while state > 0:
-            for m, items in self.marks.get(state, {}).items():
-                if m <= length:
-                    yield m, items
-            state = self.link[state]
+            at = bisect_left(self.mark_state, state)
+            while at < len(self.mark_state) and self.mark_state[at] == state:
+                if self.mark_words[at] <= length:
+                    yield self.mark_words[at], self.mark_item[at]
+                at += 1
+            state = self.nearest[self.link[state]]
 
 
 class Matcher:
@@ -123,11 +188,8 @@ class Matcher:
         self.shortest = min([window, *(len(c) for _, c in coded)])
         pairs = [np.array(c[:-1], np.int64) * len(self.vocabulary) + np.array(c[1:], np.int64) for _, c in coded]
         self.pairs = distinct(np.concatenate([*pairs, np.zeros(0, np.int64)]))
-        self.automaton = SuffixAutomaton()
-        for _, c in coded:
-            self.automaton.insert(c)
-        for item, c in coded:
-            self.automaton.mark(c, item, window)
+        self.items = [item for item, _ in coded]
+        self.automaton = Automaton([c for _, c in coded], len(self.vocabulary), window)
 
     def scan(self, w: Words) -> list[tuple[int, list[tuple[int, int]], set[str | None]]]:
         """(document, spans of word numbers in it, items) for each document with a hit."""
@@ -150,11 +212,11 @@ class Matcher:
                 state, length = auto.step(state, length, word)
                 if length < self.shortest:
                     continue
-                for m, items in auto.windows_at(state, length):
+                for m, item in auto.windows_at(state, length):
                     doc = int(np.searchsorted(w.doc_start, i, "right")) - 1
                     spans, names = found.setdefault(doc, ([], set()))
                     spans.append((i - m + 1, i + 1))
-                    names |= items
+                    names.add(self.items[item])
         return [(d, unite([(s - int(w.doc_start[d]), e - int(w.doc_start[d])) for s, e in spans]), names) for d, (spans, names) in found.items()]
 
 
@@ -188,7 +250,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iter
         yield [(r.item, r.text) for r in part.collect()]
 
 
-def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """All columns of ``docs`` and __n_words, __spans (word ranges hit), __items (ids with an occurring window)."""
     spark, n = docs.sparkSession, len(docs.columns)
     extra = [T.StructField("__n_words", T.LongType()), T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType()))]
@@ -198,10 +260,10 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
 
     def scan_with(block, more):
         """Adds one block's findings to rows that, with ``more``, already carry those of earlier blocks."""
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Matcher(block, window))
 
         def run(batches):
-            matcher = Matcher(shared.value, window)
+            matcher = shared.value
             for batch in batches:
                 for part in chunks(batch.column(at), lower=True):
                     rows = batch.slice(part.first, part.n)
@@ -219,11 +281,13 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
 
     out, more = docs, False
     for block in _blocks(items, item_id, item_text, block_bytes):
+        # each pass but the last is written, so that a task never holds two automata
+        out = materialize(out, "spans") if more else out
         out, more = out.mapInArrow(scan_with(block, more), schema), True
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find_spans(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), items, window, "text", item_id, item_text, block_bytes)
     schema = T.StructType(
@@ -241,7 +305,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: s
     return found.select("doc_id", "__n_words", "__spans", "__items").mapInArrow(digest, schema)
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` without the words inside a window; a document loses its row when more than ``max_coverage`` of its words are hit.
 
     Untouched texts stay as they are, white space included; elsewhere the bytes

@@ -1,6 +1,7 @@
+import pickle
 import random
 
-from strandline.llm.decontaminate import contamination, remove_contamination
+from strandline.llm.decontaminate import Matcher, contamination, find_spans, remove_contamination
 from tests.llm import brute
 
 ITEMS = [
@@ -43,6 +44,20 @@ def test_blocks_give_the_same(spark):
     check(spark, corpus()[:60], ITEMS, block_bytes=60)
 
 
+def test_one_python_stage_holds_one_block(spark):
+    docs = spark.createDataFrame(corpus()[:9], "doc_id long, text string")
+    many = find_spans(docs, items(spark), block_bytes=20)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_automaton_is_compact():
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(20_000)]
+    rows = [(str(i), " ".join(r.choice(words) for _ in range(100))) for i in range(300)]
+    size = sum(len(t) for _, t in rows)
+    assert len(pickle.dumps(Matcher(rows, 10))) < 40 * size
+
+
 def test_many_random_items(spark):
     r = random.Random(9)
     words = [f"w{i}" for i in range(6)]
