@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import licenses, lm, toxicity, warc
+from strandline.llm._text import NOT_ALNUM, chunks
 from strandline.storage import scratch_path
 from tests.llm import brute
 
@@ -120,18 +122,29 @@ def test_toxicity_without_labels_or_documents(spark):
 
 
 def license_truth(text, least=0.8):
-    """Best containment of each licence in a window of three template lengths, by brute force."""
+    """Best containment of each licence in a window of three template lengths, by brute force; those that explain more hide what they overlap."""
     w = [x.encode() for x in brute.ALNUM.findall(brute.lower(text))]
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    found = set()
+    where = defaultdict(list)
+    for i, g in enumerate(grams):
+        where[g].append(i)
+    hits = set()
     for name, templates in licenses.TEMPLATES.items():
         for t in templates:
             tw = [x.encode() for x in brute.ALNUM.findall(brute.lower(t))]
             s = {tuple(tw[i : i + 5]) for i in range(len(tw) - 4)}
             n = licenses.window_length(len(s))
-            if any(len(s & set(grams[i : i + n])) >= least * len(s) for i in range(len(grams))):
-                found.add(name)
-    return found
+            at = sorted(i for g in s for i in where.get(g, ()))
+            for i in at:
+                near = [j for j in at if i <= j < i + 3 * n]
+                share = len({grams[j] for j in near}) / len(s)
+                if share >= least:
+                    hits.add((share, round(len(s) * share), near[0], near[-1] + 1, name))
+    kept = []
+    for h in sorted(hits, key=lambda x: (-x[1], -x[0], x[2:])):
+        if not any(x[2] < h[3] and h[2] < x[3] and (x[:2] != h[:2] or x[4] == h[4]) for x in kept):
+            kept.append(h)
+    return {h[4] for h in kept}
 
 
 def test_licenses(spark):
@@ -155,6 +168,29 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0)).collect() == []
 
 
+def scanned(text, least=0.8):
+    part = next(iter(chunks(pa.array([text]), lower=True)))
+    w = part.words(NOT_ALNUM)
+    at, h = w.windows(w.hashes(), licenses.WIDTH)
+    return set(licenses.Scanner(licenses.TEMPLATES, least).scan(h, w.doc[at]).get(0, {}))
+
+
+def test_family_members_are_told_apart():
+    for name, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            assert scanned("some words before this. " + t + ". and some words after it") == {name} or t in (licenses._ISC + ". " + licenses._ISC_WARRANTY,), (name, t)
+    gnu = "This program is free software: " + licenses._gnu("General Public License", "2", True) + "."
+    assert scanned(gnu) == {"GPL-2.0-or-later"} and scanned(gnu.replace("version 2", "version 3")) == {"GPL-3.0-or-later"}
+
+
+def test_lower_thresholds_lose_nothing():
+    t = {"x": ("one two three four five six seven eight",)}
+    part = next(iter(chunks(pa.array(["zero one two three four five six seven other"]))))
+    w = part.words(NOT_ALNUM)
+    at, h = w.windows(w.hashes(), licenses.WIDTH)
+    assert licenses.Scanner(t, 0.7).scan(h, w.doc[at]) == {0: {"x": 0.75}}
+
+
 def test_short_template_is_refused():
     with pytest.raises(ValueError):
         licenses.Scanner({"x": ("four words are few",)}, 0.8)
