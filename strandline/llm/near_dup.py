@@ -86,7 +86,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, bounds: np.ndarra
     theta = (k * math.log(k) + 2 * k) / np.where(total > 0, total, 1.0)  # sets without weight have no cells
     rank_cells, weight_cells = np.ceil(theta).astype(np.int64)[doc], np.ceil(weights).astype(np.int64)
     cells = rank_cells * weight_cells
-    for a, b in _slices(cells, 1 << 20):
+    for a, b in _slices(cells, 1 << 18):
         owner = np.repeat(np.arange(a, b), cells[a:b])
         cell = np.arange(len(owner)) - np.repeat(np.cumsum(cells[a:b]) - cells[a:b], cells[a:b])
         rank0, weight0 = cell % rank_cells[owner], cell // rank_cells[owner]
