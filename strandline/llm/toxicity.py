@@ -25,6 +25,9 @@ those named as ones of the result too, are ignored.
 
 from __future__ import annotations
 
+from collections import deque
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,7 +125,7 @@ def _ratios(counts: pa.Table, min_z: float) -> tuple[np.ndarray, int, int]:
 
 
 def _drawn(train: DataFrame, max_rows: int) -> DataFrame:
-    """(text, y) of at most ``max_rows`` rows, half of them of each class where there are enough.
+    """(text, y, h) of at most ``max_rows`` rows, half of them of each class where there are enough.
 
     Those of least hash of id and text; rows that are there twice count once.
     """
@@ -136,7 +139,7 @@ def _drawn(train: DataFrame, max_rows: int) -> DataFrame:
     for y, bound in enumerate(bounds):
         if bound is not None:
             within = within | ((label == y) & (F.col("h") <= F.lit(bound)))
-    return marked.where(within).dropDuplicates(["h", "y"]).select("text", "y")
+    return marked.where(within).dropDuplicates(["h", "y"]).select("text", "y", "h")
 
 
 def _sample(train: DataFrame, r: np.ndarray, max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,12 +152,18 @@ def _sample(train: DataFrame, r: np.ndarray, max_rows: int) -> tuple[np.ndarray,
             for part in chunks(batch.column(0), lower=True):
                 doc, f = features(part, wanted.value)
                 size = np.searchsorted(doc, np.arange(part.n + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(part.first, part.n), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(f, pa.int32()))], names=schema.names)
+                of = batch.slice(part.first, part.n)
+                lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(f, pa.int32()))
+                yield pa.RecordBatch.from_arrays([of.column(1), lists, of.column(2)], names=schema.names)
 
+    schema = schema.add("h", T.LongType())
     table = _drawn(train, max_rows).mapInArrow(run, schema).toArrow()
-    f = np.concatenate([*(x.flatten().to_numpy() for x in table.column("f").chunks), np.zeros(0, np.int32)])
-    sizes = np.concatenate([*(x.value_lengths().to_numpy() for x in table.column("f").chunks), np.zeros(0, np.int32)])
-    return f, np.append(0, np.cumsum(sizes, dtype=np.int64)), (table.column("y").to_numpy() > 0).astype(float)
+    # in the order of the hashes, so that reruns add up in the same order
+    rows = [x.values.to_numpy()[i:j] for x in table.column("f").chunks for i, j in pairwise(x.offsets.to_numpy())]
+    order = np.argsort(table.column("h").to_numpy(), kind="stable")
+    f = np.concatenate([*(rows[i] for i in order), np.zeros(0, np.int32)])
+    sizes = np.array([len(rows[i]) for i in order], np.int64)
+    return f, np.append(0, np.cumsum(sizes)), (table.column("y").to_numpy()[order] > 0).astype(float)
 
 
 class _Rows:
@@ -186,48 +195,77 @@ class _Rows:
         return out * self.ratio
 
 
-def fit(train: DataFrame, min_z: float = 4.0, max_rows: int = 10_000, penalty: float = 1e-4, steps: int = 400) -> Model:
+def fit(train: DataFrame, min_z: float = 4.0, max_rows: int = 10_000, penalty: float = 1e-4, steps: int = 400, tolerance: float = 1e-6) -> Model:
     counts = _document_counts(train).toArrow()
     r, n0, n1 = _ratios(counts, min_z)
+    del counts
     if not n0 or not n1:
         return Model(np.zeros(1 << BITS), float(np.log((n1 + 1) / (n0 + 1))))
     f, bounds, y = _sample(train, r, max_rows)
     kept = np.flatnonzero(r)
     place = np.zeros(1 << BITS, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
-    rows = _Rows(place[f], bounds, r[kept])
+    f = f.astype(np.int32, copy=False)
+    for a in range(0, len(f), 1 << 20):  # in pieces, since an index is copied to eight bytes a place
+        f[a : a + (1 << 20)] = place[f[a : a + (1 << 20)]]
+    rows = _Rows(f, bounds, r[kept])
     # each class weighs as it does in all rows
     weight = np.where(y > 0, n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1)) / (n0 + n1)
-    rate = 1 / (_curvature(rows, weight) + penalty)
-    w, b = _descend(rows, y, weight, penalty, rate, steps)
+    w, b = _descend(rows, y, weight, penalty, steps, tolerance)
     weights = np.zeros(1 << BITS)
     weights[kept] = w * r[kept]
     return Model(weights, b)
 
 
-def _curvature(rows: _Rows, weight, rounds: int = 30) -> float:
-    """A little above the greatest curvature of the loss, by power iteration."""
-    v = np.ones(len(rows.ratio) + 1)
-    for _ in range(rounds):
-        v /= np.linalg.norm(v)
-        z = weight * (v[-1] + rows.times(v[:-1]))
-        v = np.append(rows.transposed_times(z), z.sum())
-    return 1.1 * float(np.linalg.norm(v)) / 4
-
-
-def _descend(rows: _Rows, y, weight, penalty, rate, steps) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps; the intercept is not penalised."""
-    w, b = np.zeros(len(rows.ratio)), 0.0
-    vw, vb = w, b
-    for step in range(1, steps + 1):
-        z = vb + rows.times(vw)
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y)
-        gw = rows.transposed_times(error) + penalty * vw
-        nw, nb = vw - rate * gw, vb - rate * error.sum()
-        pull = (step - 1) / (step + 2)
-        vw, vb = nw + pull * (nw - w), nb + pull * (nb - b)
-        w, b = nw, nb
-    return w, float(b)
+def _two_loop(g: np.ndarray, past: deque) -> np.ndarray:
+    """The gradient times an estimate of the inverse Hessian, from past steps and changes of the gradient."""
+    q, held = g.copy(), []
+    for s, d in reversed(past):
+        a = (s @ q) / (s @ d)
+        q -= a * d
+        held.append(a)
+    if past:
+        s, d = past[-1]
+        q *= (s @ d) / (d @ d)
+    for (s, d), a in zip(past, reversed(held), strict=True):
+        q += (a - (d @ q) / (s @ d)) * s
+    return q
+
+
+def _descend(rows: _Rows, y, weight, penalty, steps, tolerance, memory: int = 6) -> tuple[np.ndarray, float]:
+    """Logistic regression by L-BFGS; the intercept, the last place, is not penalised.
+
+    Ends when the gradient is ``tolerance`` of the first one, or after ``steps`` steps. The scores along a step are
+    linear in its length, so that a step reads the rows once each way whatever its line search tries.
+    """
+    sign = 2 * y - 1
+
+    def loss(z, x):
+        return weight @ np.logaddexp(0, -sign * z) + penalty / 2 * (x[:-1] @ x[:-1])
+
+    def gradient(z, x):
+        e = -weight * sign / (1 + np.exp(np.clip(sign * z, -700, 700)))
+        return np.append(rows.transposed_times(e) + penalty * x[:-1], e.sum())
+
+    x, z, past = np.zeros(len(rows.ratio) + 1), np.zeros(len(y)), deque(maxlen=memory)
+    value, g = loss(z, x), gradient(z, x)
+    enough = tolerance * np.linalg.norm(g)
+    for _ in range(steps):
+        if np.linalg.norm(g) <= enough:
+            break
+        d = -_two_loop(g, past)
+        if not past:
+            d /= max(1.0, float(np.linalg.norm(g)))
+        slope, dz, t = float(g @ d), rows.times(d[:-1]) + d[-1], 1.0
+        while t > 1e-10 and loss(z + t * dz, x + t * d) > value + 1e-4 * t * slope:
+            t /= 2
+        if t <= 1e-10:
+            break
+        x, z = x + t * d, z + t * dz
+        value, before, g = loss(z, x), g, gradient(z, x)
+        if (g - before) @ d > 0:
+            past.append((t * d, g - before))
+    return x[:-1], float(x[-1])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
