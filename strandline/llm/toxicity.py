@@ -9,7 +9,7 @@ being the class sizes. Features whose ratio is far from 0 for its standard error
 stay (``min_z``), all of them. Logistic regression with an L2
 penalty on the features times r is fitted to at most ``max_rows`` distinct labelled
 rows (a documented bound, those of least hash), with classes weighing as in all
-rows. A document's score is the logistic of the sum over its features.
+rows, by L-BFGS until the gradient is ``tolerance`` of the first one. A document's score is the logistic of the sum over its features.
 
 Only the text enters a score; labels come from rows outside the held-out fold.
 The model that is broadcast has a fixed size (``2**BITS`` weights).
