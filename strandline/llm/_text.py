@@ -8,14 +8,20 @@ by ``CHUNK_BYTES`` or by the longest single document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
+#: Most bytes of a batch that Spark hands to a worker, unless the session sets its own bound.
+BATCH_BYTES = 4 << 20
+_BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Separators of `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
@@ -182,3 +188,28 @@ def chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> I
         j = min(j, len(column))
         yield Texts(whole[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i, lower)
         i = j
+
+
+def map_arrow(rows: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` in batches of bounded bytes, whose freed memory goes back to the system.
+
+    Spark keeps workers for reuse; without that an idle one would hold the most that its partitions ever took.
+    """
+    spark = rows.sparkSession
+    if _BATCH_BOUND not in spark.conf.getAll:
+        spark.conf.set(_BATCH_BOUND, str(BATCH_BYTES))
+
+    def releasing(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return rows.mapInArrow(releasing, schema)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)

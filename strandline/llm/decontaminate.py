@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import NOT_ALNUM, Words, chunks, distinct
+from strandline.llm._text import NOT_ALNUM, Words, chunks, distinct, map_arrow
 from strandline.storage import materialize
 
 
@@ -283,7 +283,7 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
     for block in _blocks(items, item_id, item_text, block_bytes):
         # each pass but the last is written, so that a task never holds two automata
         out = materialize(out, "spans") if more else out
-        out, more = out.mapInArrow(scan_with(block, more), schema), True
+        out, more = map_arrow(out, scan_with(block, more), schema), True
     return out
 
 
@@ -302,7 +302,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: s
             columns = [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return found.select("doc_id", "__n_words", "__spans", "__items").mapInArrow(digest, schema)
+    return map_arrow(found.select("doc_id", "__n_words", "__spans", "__items"), digest, schema)
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
@@ -327,7 +327,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, ma
             columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(batch.columns[:n])]
             yield pa.RecordBatch.from_arrays(columns, names=own).filter(pa.array(keep))
 
-    return found.mapInArrow(cut, docs.schema)
+    return map_arrow(found, cut, docs.schema)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strandline.llm._text import NOT_ALNUM, chunks, distinct, mix
+from strandline.llm._text import NOT_ALNUM, chunks, distinct, map_arrow, mix
 
 WIDTH, BANDS = 5, 20
 
@@ -219,4 +219,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
                 columns = [pa.array([len(r) for r in rows], pa.int64()), pa.array([",".join(sorted(r)) or None for r in rows], pa.string()), pa.array([max(r.values(), default=None) for r in rows], pa.float64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), *columns], names=schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return map_arrow(docs.select(doc_id, text), run, schema)

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import SPACE, Texts, chunks, distinct
+from strandline.llm._text import SPACE, Texts, chunks, distinct, map_arrow
 from strandline.storage import drop, materialize
 
 ORDER = 5
@@ -123,7 +123,7 @@ def _chunked(rows: DataFrame, chunk_bytes: int) -> DataFrame:
         if parts:
             yield packed(number, parts)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def _documents(packed: bytes) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def _packed_values(rows: DataFrame, limit: int = 1 << 20) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def _counted(keys: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +241,7 @@ def _entries(texts: DataFrame) -> DataFrame:
                         tallies[1].add(packed_grams, np.repeat(of, np.diff(at)))
                 yield from rows_of(number, tallies)
 
-    return texts.mapInArrow(run, schema)
+    return map_arrow(texts, run, schema)
 
 
 def _levels(deepest: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import SPACE, Words, chunks, mix, span_hashes
+from strandline.llm._text import SPACE, Words, chunks, map_arrow, mix, span_hashes
 from strandline.storage import materialize
 
 #: Places in which the join of open buckets counts tokens.
@@ -158,7 +158,7 @@ def _signature_rows(keyed: DataFrame, width: int, bands: int, rows: int, weights
                 ids = batch.slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(fp, pa.binary()), pa.array(n, pa.int32()), _list(band_keys(signature, have, rows))], names=schema.names)
 
-    return keyed.mapInArrow(run, schema)
+    return map_arrow(keyed, run, schema)
 
 
 def _by_chunks(h, weight, bounds, k):
@@ -187,7 +187,7 @@ def _set_rows(texts: DataFrame, width: int, weights: str) -> DataFrame:
                 counts = cut(count) if weights == "count" else [None] * part.n
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), pa.array(cut(h), pa.binary()), pa.array(counts, pa.binary())], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return map_arrow(texts, run, schema)
 
 
 def _similarity(a: bytes, b: bytes, ca: bytes | None, cb: bytes | None) -> float:
@@ -214,7 +214,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             ok = [_similarity(*x) >= least for x in zip(*c, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, schema)
+    return map_arrow(both, run, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=schema.names)
 
-    found = sets.select("shingles", "counts").mapInArrow(run, schema).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    found = map_arrow(sets.select("shingles", "counts"), run, schema).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << _RARITY_BITS, np.int64)
     out[found.column("place").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -335,7 +335,7 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
                 columns += [pa.array(np.full(len(first), m, np.int32)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(lead)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return sets.select("fp", "root", "shingles", "counts").mapInArrow(run, schema)
+    return map_arrow(sets.select("fp", "root", "shingles", "counts"), run, schema)
 
 
 def _similar_pairs(sets: DataFrame, least: float) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import BYTE_CODE, SPACE, chunks, cover, distinct, mix, per_doc, repeated, span_hashes
+from strandline.llm._text import BYTE_CODE, SPACE, chunks, cover, distinct, map_arrow, mix, per_doc, repeated, span_hashes
 from strandline.storage import materialize
 
 #: Characters that count as symbols (fixed by the query's contract).
@@ -108,7 +108,7 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
                 found = _counts(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[c], pa.int64()) for c in (*COUNTS, LINES))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _ratios(columns: list[str], prefix: str = "") -> dict[str, Column]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import SPACE, chunks, cover, distinct, mix, span_hashes, window_starts
+from strandline.llm._text import SPACE, chunks, cover, distinct, map_arrow, mix, span_hashes, window_starts
 from strandline.storage import materialize
 
 #: Rounds of pair naming; in those of ``RUN_ROUNDS`` runs are named first.
@@ -149,7 +149,7 @@ def _anchor_rows(docs: DataFrame, k: int) -> DataFrame:
                 rows = batch.slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(w.count, pa.int64()), pa.array(digest, pa.binary()), anchors], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _window_rows(docs: DataFrame, k: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _window_rows(docs: DataFrame, k: int) -> DataFrame:
                     names=schema.names,
                 )
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,7 +242,7 @@ def digest_kept(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
                 sha = [hashlib.sha256(b" ".join(kept)).hexdigest() for _, _, kept in out]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array(sha)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,4 +266,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
             columns = [pa.array(texts, c.type) if j == at else c for j, c in enumerate(batch.columns[:n])]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, docs.schema)
+    return map_arrow(rows, run, docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from strandline.llm._text import chunks, mix, span_hashes
+from strandline.llm._text import chunks, map_arrow, mix, span_hashes
 
 CACHE_ENTRIES = 1_000_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -248,4 +248,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, doc_id: st
                     [batch.column(0).slice(part.first, part.n), pa.array(np.diff(part.offs), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=schema.names
                 )
 
-    return docs.select(docs[doc_id], docs[text]).mapInArrow(run, schema)
+    return map_arrow(docs.select(docs[doc_id], docs[text]), run, schema)

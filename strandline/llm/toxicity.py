@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._text import SPACE, Texts, chunks, distinct, mix
+from strandline.llm._text import SPACE, Texts, chunks, distinct, map_arrow, mix
 from strandline.storage import materialize
 
 SIZES, BITS = (4, 5, 6, 8), 20
@@ -97,7 +97,7 @@ def _document_counts(train: DataFrame) -> DataFrame:
         f = np.where(some == 1 << BITS, -1, some).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n[0, some]), pa.array(n[1, some])], names=schema.names)
 
-    return train.select("text", "y").mapInArrow(run, schema).groupBy("f").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
+    return map_arrow(train.select("text", "y"), run, schema).groupBy("f").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
 
 
 class Model:
@@ -157,7 +157,7 @@ def _sample(train: DataFrame, r: np.ndarray, max_rows: int) -> tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays([of.column(1), lists, of.column(2)], names=schema.names)
 
     schema = schema.add("h", T.LongType())
-    table = _drawn(train, max_rows).mapInArrow(run, schema).toArrow()
+    table = map_arrow(_drawn(train, max_rows), run, schema).toArrow()
     # in the order of the hashes, so that reruns add up in the same order
     rows = [x.values.to_numpy()[i:j] for x in table.column("f").chunks for i, j in pairwise(x.offsets.to_numpy())]
     order = np.argsort(table.column("h").to_numpy(), kind="stable")
@@ -282,4 +282,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
                 ids = batch.slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 
-    return rows.select("doc_id", _fold(F.col("doc_id"), modulus).alias("held_out"), "text").mapInArrow(run, schema)
+    return map_arrow(rows.select("doc_id", _fold(F.col("doc_id"), modulus).alias("held_out"), "text"), run, schema)

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm._text import map_arrow
 from strandline.storage import materialize, scratch_path
 
 CRLF = "\r\n"
@@ -148,7 +149,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(run, RECORD)
+    return map_arrow(spark.read.format("binaryFile").load(path).where("length > 0").select("content"), run, RECORD)
 
 
 def _gunzip(raw: bytes) -> bytes:
