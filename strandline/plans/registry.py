@@ -12,8 +12,8 @@ from strandline.config import Limits
 from strandline.functions import datatypes, paths, payload
 from strandline.operators import completeness, integrity, provenance, shape, text_lines, transactions, validate
 from strandline.plans import generated, planted_queries, sql
-from strandline.sources import binary_format, delta, text_format
-from strandline.storage import materialize
+from strandline.sources import binary_format, delta, files, text_format
+from strandline.storage import materialize, scratch_path
 from strandline.streaming import decoder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(planted_queries.QUERIES)
@@ -203,6 +203,15 @@ def encode_text(spark, sf_dir):
     return found.select("stream_id", _md5("text").alias("text_md5"))
 
 
+@query
+def text_files(spark, sf_dir):
+    """The same texts, written as files and read again."""
+    no_limits = Limits(max_events=10**9, max_input_bytes=10**12)
+    path = scratch_path(spark, "text_files")
+    files.write(text_format.encode(generated.events(spark, sf_dir), generated.streams(spark), no_limits, nested=False), path)
+    return spark.read.text(path, wholetext=True).select(files.stream_id(F.col("_metadata.file_path")).alias("stream_id"), _md5("value").alias("text_md5"))
+
+
 @query
 def stanza_fields(spark, sf_dir):
     """Fields and payload bytes of the encoded streams, cut into lines again."""
@@ -284,6 +293,17 @@ def binary_round_trip(spark, sf_dir):
     return blobs.select("stream_id", "error").join(counts, "stream_id", "left")
 
 
+@query
+def binary_files(spark, sf_dir):
+    """The same streams through files; the error rows are those that no file was written for."""
+    path = scratch_path(spark, "binary_files")
+    refused = files.write(_small_blobs(spark, sf_dir), path)
+    events = text_format.events_of(binary_format.read(spark, path)).withColumn("stream_id", files.stream_id(F.col("stream_id")))
+    counts = events.groupBy("stream_id").agg(F.count("*").alias("events"), F.count("value").alias("values"))
+    none = F.lit(None).cast("long")
+    return counts.select("stream_id", F.lit(None).cast("string").alias("error"), "events", "values").unionByName(refused.select("stream_id", "error", none.alias("events"), none.alias("values")))
+
+
 @query
 def chunk_decoding(spark, sf_dir):
     """The same bytes in chunks of 100, decoded by the stateful operator."""

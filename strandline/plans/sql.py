@@ -173,3 +173,7 @@ SELECT 't-' || k AS tx_id, NOT (k % 41 = 0 OR k % 43 = 0 OR k % 47 = 0) AS valid
     "field_order": "SELECT o_orderkey::VARCHAR AS stream_id, o_orderkey % 3 <> 0 AS canonical FROM orders",
     "payload_bytes": "SELECT o_orderkey::VARCHAR AS stream_id, n::BIGINT AS bytes, n::BIGINT AS total FROM (SELECT o_orderkey, CASE o_orderkey % 10 WHEN 8 THEN 10 WHEN 1 THEN 5 + m WHEN 4 THEN 1 + m ELSE m END AS n FROM (SELECT o_orderkey, 13 + length(o_orderkey::VARCHAR) AS m FROM orders))",
 }
+
+# the same rows, by way of files
+ORACLES["text_files"] = ORACLES["encode_text"]
+ORACLES["binary_files"] = ORACLES["binary_round_trip"]

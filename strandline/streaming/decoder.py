@@ -2,7 +2,7 @@
 
 Chunks are rows (stream_id, seq, bytes, final). State per stream is the undecoded rest,
 the stream context, and the next sequence number. Sources promise no order, so chunks
-that come early wait in state, up to ``max_buffered_bytes``; a chunk that comes again
+that come early wait in state, up to ``max_buffered_bytes``, or are refused; a chunk that comes again
 or after the end is an error row. Records come out as they complete, provisionally:
 only the ``complete`` row of a stream, written after its final chunk, says that its
 events may be validated and acted on (``accept_completed``).
@@ -40,6 +40,8 @@ class BinaryDecoder:
     limits: BinaryLimits = BinaryLimits()
     event_limits: Limits = Limits()
     rest: bytes = b""
+    #: How much of ``rest`` is read; cut off once a push, so that a record costs its own bytes only.
+    at: int = 0
     offset: int = 0
     total: int = 0
     count: int = 0
@@ -81,23 +83,34 @@ class BinaryDecoder:
         raise binary.BinaryError("FILM_LIMIT_EXCEEDED", self.offset, self.count if known else None, "record" if known else "stream-context", detail="max_buffered_bytes")
 
     def _eat(self, n: int) -> bytes:
-        taken, self.rest = self.rest[:n], self.rest[n:]
+        taken = self.rest[self.at : self.at + n]
+        self.at += n
         self.offset += n
         return taken
 
+    @property
+    def _left(self) -> int:
+        return len(self.rest) - self.at
+
     def _attempt(self, read, final: bool):
         """Run ``read`` on the rest; nothing if it needs more and more may come."""
-        c = binary.Cursor(self.rest, self.offset, self.count if self.context else None, self.limits)
+        c = binary.Cursor(self.rest, self.offset - self.at, self.count if self.context else None, self.limits)
+        c.at = self.at
         try:
             found = read(c)
         except binary.BinaryError as e:
             if e.code == "FILM_TRUNCATED" and not final:
                 return None
             raise
-        self._eat(c.at)
+        self._eat(c.at - self.at)
         return found
 
     def _drain(self, final: bool) -> list[dict]:
+        out = self._records(final)
+        self.rest, self.at = self.rest[self.at :], 0
+        return out
+
+    def _records(self, final: bool) -> list[dict]:
         out: list[dict] = []
         if self.context is None:
             if not binary.check_preamble(self.rest, final):
@@ -110,14 +123,14 @@ class BinaryDecoder:
             self.context = self._attempt(opening, final)
             if self.context is None:
                 return out
-        while self.rest or self.pending is not None:
+        while self._left or self.pending is not None:
             if self.pending is None:
                 self.pending = self._attempt(lambda c: binary.record_length(c, self.count, self.event_limits), final)
                 if self.pending is None:
                     break
-            if len(self.rest) < self.pending:
+            if self._left < self.pending:
                 if final:
-                    raise binary.BinaryError("FILM_TRUNCATED", self.offset + len(self.rest), self.count, "record")
+                    raise binary.BinaryError("FILM_TRUNCATED", self.offset + self._left, self.count, "record")
                 break
             start = self.offset
             out.append(binary.read_record(self._eat(self.pending), start, self.count, self.limits, self.event_limits))
@@ -240,6 +253,10 @@ class TextDecoder:
 # -- as a streaming operator -------------------------------------------------------
 
 
+#: State of a stream that has ended or failed.
+_ENDED = b""
+
+
 @dataclass
 class _Inbox:
     """State of one stream: its decoder, the next sequence number, early chunks."""
@@ -250,7 +267,7 @@ class _Inbox:
     failed: bool = False
 
 
-def _feed(key: str, chunks: Iterator[tuple[int, bytes, bool]], box: _Inbox, room: int) -> list[tuple]:
+def _feed(key: str, chunks: Iterator[tuple[int, bytes, bool]], box: _Inbox, room: int, contiguous: bool) -> list[tuple]:
     """Output rows for the chunks that can be decoded now."""
     rows: list[tuple] = []
 
@@ -264,6 +281,8 @@ def _feed(key: str, chunks: Iterator[tuple[int, bytes, bool]], box: _Inbox, room
             rows.append((key, seq, "error", None, None, "TELEX_DECODER_CLOSED", None))
         elif seq < box.expected or seq in box.waiting:
             error(seq, "CHUNK_REPEATED")
+        elif contiguous and seq != box.expected:
+            error(seq, "CHUNK_ORDER")
         else:
             box.waiting[seq] = (data, final)
             if seq != box.expected and sum(len(d) for d, _ in box.waiting.values()) > room:
@@ -292,8 +311,17 @@ def _feed(key: str, chunks: Iterator[tuple[int, bytes, bool]], box: _Inbox, room
     return rows
 
 
-def decode_chunks(chunks: DataFrame, kind: str = "binary", limits: BinaryLimits = BinaryLimits(), event_limits: Limits = Limits()) -> DataFrame:
-    """OUTPUT rows of a streaming (or batch) table of chunks (stream_id, seq, bytes, final)."""
+def decode_chunks(
+    chunks: DataFrame, kind: str = "binary", limits: BinaryLimits = BinaryLimits(), event_limits: Limits = Limits(), contiguous: bool = False, forget_after: int | None = None
+) -> DataFrame:
+    """OUTPUT rows of a streaming (or batch) table of chunks (stream_id, seq, bytes, final).
+
+    With ``contiguous`` a chunk that leaves a gap before it is an error (``CHUNK_ORDER``) and
+    ends its stream, instead of waiting. Of a stream that has ended or failed only a mark
+    stays in state, so that later chunks are known to be late; ``forget_after`` seconds of
+    processing time remove it, and a chunk that comes later still begins a new stream. Spark
+    then runs batches for as long as the query is up, so ``availableNow`` doesn't end it.
+    """
     make = (lambda: BinaryDecoder(limits, event_limits)) if kind == "binary" else (lambda: TextDecoder(event_limits))
     room = limits.max_buffered_bytes
     columns = [c.split(" ")[0] for c in OUTPUT.split(", ")]
@@ -304,18 +332,26 @@ def decode_chunks(chunks: DataFrame, kind: str = "binary", limits: BinaryLimits
     if not chunks.isStreaming:
 
         def whole(key, frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(_feed(key[0], listed(frame), _Inbox(make()), room), columns=columns)
+            return pd.DataFrame(_feed(key[0], listed(frame), _Inbox(make()), room, contiguous), columns=columns)
 
         return chunks.groupBy("stream_id").applyInPandas(whole, OUTPUT)
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        box = pickle.loads(state.get[0]) if state.exists else _Inbox(make())
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get[0] if state.exists else None
+        box = pickle.loads(held) if held else _Inbox(make(), failed=held is not None)
         new = [c for f in frames for c in listed(f)]
-        rows = _feed(key[0], new, box, room)
-        state.update((pickle.dumps(box),))
+        rows = _feed(key[0], new, box, room, contiguous)
+        ended = box.failed or box.decoder.closed
+        state.update((_ENDED if ended else pickle.dumps(box),))
+        if ended and forget_after is not None:
+            state.setTimeoutDuration(forget_after * 1000)
         yield pd.DataFrame(rows, columns=columns)
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, OUTPUT, "box binary", "append", "NoTimeout")
+    timeout = "NoTimeout" if forget_after is None else "ProcessingTimeTimeout"
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, OUTPUT, "box binary", "append", timeout)
 
 
 def events_from_output(output: DataFrame) -> DataFrame:

@@ -124,3 +124,41 @@ def test_structured_streaming(spark, tmp_path):
     counts = {r.stream_id: r["count"] for r in decoder.events_from_output(got).groupBy("stream_id").count().collect()}
     assert counts == {k: len(s.records) for k, s in streams.items() if s.records}
     assert decoder.contexts_from_output(got).where(f"profile = '{wire.PARTIAL_PROFILE}'").count() == 4
+
+
+def test_many_records_in_one_push():
+    s = text.Stream(records=[{"path": f"$.a{i}", "kind": "StringLiteral", "value": "x" * 20} for i in range(50_000)])
+    data = binary.write(s)
+    began = time.time()
+    d = decoder.BinaryDecoder()
+    assert len(d.push(data, True)) == 50_000 and d.status == "complete"
+    assert time.time() - began < 20
+
+
+def test_contiguous_chunks(spark):
+    data = binary.write(text.parse(ONE))
+    rows = [("gap", 0, bytearray(data[:9]), False), ("gap", 2, bytearray(b""), True), ("whole", 0, bytearray(data[:9]), False), ("whole", 1, bytearray(data[9:]), True)]
+    out = decoder.decode_chunks(spark.createDataFrame(rows, SCHEMA), contiguous=True).collect()
+    assert {(r.stream_id, r.seq, r.error) for r in out if r.status == "error"} == {("gap", 2, "CHUNK_ORDER")}
+    assert [r.stream_id for r in out if r.status == "complete"] == ["whole"]
+
+
+def test_ended_streams_leave_a_mark(spark, tmp_path):
+    data = binary.write(text.parse(ONE))
+    batches = [[("a", 0, bytearray(data), True), ("b", 0, bytearray(data[:9]), False)], [("a", 1, bytearray(b"x"), False), ("b", 1, bytearray(data[9:]), True)]]
+    source = tmp_path / "in"
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        time.sleep(0.01)
+    chunks = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
+    out = decoder.decode_chunks(chunks, forget_after=8)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="1 second").start()
+    held, end = [], time.time() + 120
+    while time.time() < end and not (2 in held and held[-1] == 0):
+        time.sleep(0.5)
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in (q.lastProgress,) if p and p["stateOperators"]]
+    q.stop()
+    assert 2 in held and held[-1] == 0
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.stream_id for r in got if r.status == "complete"} == {"a", "b"}
+    assert {(r.stream_id, r.seq, r.error) for r in got if r.status == "error"} == {("a", 1, "TELEX_DECODER_CLOSED")}
