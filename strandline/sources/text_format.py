@@ -2,7 +2,8 @@
 
 Decoding one stream is sequential and stops at the first error, so a stream is the
 unit of work: one row of text (or one file) each, many in parallel. Encoding is an
-expression over event rows and an ordered aggregation by stream.
+expression over event rows and an ordered aggregation by stream; ``pieces`` leaves out the
+aggregation, for streams whose text is too long for one value.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from strandline import schema, wire
 from strandline.config import Limits
 from strandline.functions import datatypes, payload
+from strandline.operators import ordered
 from strandline.operators.shape import event_row
 
 _FIELD = re.compile(wire.FIELD_NAME)
@@ -252,24 +254,63 @@ def stanza(nested: bool = True) -> Column:
     return F.array_join(F.concat(core, more), "\n")
 
 
+def _head() -> Column:
+    """The version line and the explicit stream fields, from a row of STREAMS."""
+    return F.concat(
+        F.lit(wire.TEXT_VERSION_LINE),
+        *(F.when(F.col(f"{f}_explicit"), F.concat(F.lit(f"\n{f}="), payload.encoded(F.col(f)))).otherwise(F.lit("")) for f in _STREAM_FIELDS),
+    )
+
+
 def encode(events: DataFrame, streams: DataFrame, limits: Limits = Limits(), nested: bool = True) -> DataFrame:
     """(stream_id, text, error): the canonical text, or the limit that stands against it.
 
-    Streams without events are a header only. Semantic errors do not stop encoding.
+    Streams without events are a header only. Semantic errors do not stop encoding. A text is
+    one value here; ``pieces`` has texts of any length.
     """
     each = events.select("stream_id", F.struct("ordinal", stanza(nested).alias("s")).alias("r"))
     met = each.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["s"]), "\n\n").alias("body"), F.count("*").alias("n"))
-    head = F.concat(
-        F.lit(wire.TEXT_VERSION_LINE),
-        *(F.when(F.col(f"{f}_explicit"), F.concat(F.lit(f"\n{f}="), payload.encoded(F.col(f)))).otherwise(F.lit("")) for f in _STREAM_FIELDS),
-    )
-    text = F.concat(head, F.when(F.col("body").isNull(), F.lit("")).otherwise(F.concat(F.lit("\n\n"), F.col("body"))), F.lit("\n"))
+    text = F.concat(_head(), F.when(F.col("body").isNull(), F.lit("")).otherwise(F.concat(F.lit("\n\n"), F.col("body"))), F.lit("\n"))
     whole = streams.join(met, "stream_id", "left").select("stream_id", text.alias("text"), F.col("n"))
     long = F.exists(F.split("text", "\n"), lambda x: F.octet_length(x) > limits.max_line_bytes)
     error = F.when(F.col("n") > limits.max_events, "max_events").when(F.octet_length("text") > limits.max_input_bytes, "max_input_bytes").when(long, "max_line_bytes")
     return whole.select("stream_id", error.alias("error"), "text").select("stream_id", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
 
 
+def pieces(events: DataFrame, streams: DataFrame, nested: bool = True) -> DataFrame:
+    """(stream_id, part, ordinal, text): the texts that ``encode`` gives, in pieces, in no order.
+
+    Part 0 is the header, 1 each event after its separator, 2 the end of the last line; joined
+    in the order of (part, ordinal, text) they are the stream's text. ``ordered.by_stream``
+    puts them in that order without holding a stream.
+    """
+    own = events.join(streams.select("stream_id"), "stream_id", "left_semi")
+    none = F.lit(None).cast("long")
+    body = own.select("stream_id", F.lit(1).alias("part"), "ordinal", F.concat(F.lit("\n\n"), stanza(nested)).alias("text"))
+    head = streams.select("stream_id", F.lit(0).alias("part"), none.alias("ordinal"), _head().alias("text"))
+    end = streams.select("stream_id", F.lit(2).alias("part"), none.alias("ordinal"), F.lit("\n").alias("text"))
+    return head.unionByName(body).unionByName(end)
+
+
+def long_line(limits: Limits) -> Column:
+    """Whether a piece has a line beyond the limit; no line goes on from one piece of ``pieces`` to the next."""
+    lines = F.exists(F.split("text", "\n"), lambda x: F.octet_length(x) > limits.max_line_bytes)
+    return F.when(F.octet_length("text") > limits.max_line_bytes, lines).otherwise(F.lit(False))
+
+
+def over_limits(n: Column, size: Column, long: Column, limits: Limits) -> Column:
+    """The error of ``encode`` for ``n`` pieces of ``size`` bytes."""
+    return F.when(n - 2 > limits.max_events, "max_events").when(size > limits.max_input_bytes, "max_input_bytes").when(long, "max_line_bytes")
+
+
+def encode_digests(events: DataFrame, streams: DataFrame, limits: Limits = Limits(), nested: bool = True, algorithm: str = "md5") -> DataFrame:
+    """(stream_id, digest, error) of the texts that ``encode`` gives, of any length."""
+    marked = pieces(events, streams, nested).withColumn("flag", long_line(limits))
+    found = ordered.hashed(ordered.by_stream(marked, "part", "ordinal", "text"), algorithm)
+    error = over_limits(F.col("pieces"), F.col("bytes"), F.col("flagged"), limits)
+    return found.select("stream_id", F.when(error.isNull(), F.col("digest")).alias("digest"), error.alias("error"))
+
+
 def canonicalize(texts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(stream_id, text, code): the canonical text of rows (stream_id, text), or the code of the first error."""
 
