@@ -16,12 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline import schema, wire
 from strandline.config import BinaryLimits, Limits
-from strandline.operators import validate
+from strandline.operators import ordered, validate
 from strandline.operators.shape import event_row
 from strandline.sources import binary_format as binary
 from strandline.sources import text_format as text
@@ -253,6 +254,7 @@ class TextDecoder:
 # -- as a streaming operator -------------------------------------------------------
 
 
+_NAMES = schema.EVENTS.fieldNames()
 #: State of a stream that has ended or failed.
 _ENDED = b""
 
@@ -297,9 +299,9 @@ def _feed(key: str, chunks: Iterator[tuple[int, bytes, bool]], box: _Inbox, room
             except (binary.BinaryError, text.TextError) as e:
                 error(now, e.code, getattr(e, "offset", getattr(e, "line", None)))
                 break
-            names = schema.EVENTS.fieldNames()
             for i, record in enumerate(records, first):
-                row = dict(zip(names, event_row(key, i, record), strict=True)) | {"ext": [{"name": k, "value": v} for k, v in event_row(key, i, record)[-1]]}
+                row = dict(zip(_NAMES, event_row(key, i, record), strict=True))
+                row["ext"] = [{"name": k, "value": v} for k, v in row["ext"]]
                 rows.append((key, now, "record", i, json.dumps(row, ensure_ascii=False), None, None))
             context = box.decoder.context if isinstance(box.decoder, BinaryDecoder) else box.decoder.stream
             about = None if context is None else json.dumps({k: getattr(context, k) for k in ("profile", "profile_explicit", "projection", "projection_explicit")})
@@ -311,6 +313,24 @@ def _feed(key: str, chunks: Iterator[tuple[int, bytes, bool]], box: _Inbox, room
     return rows
 
 
+def _decode_table(chunks: DataFrame, make, room: int, contiguous: bool) -> DataFrame:
+    """The batch form: streams one after the other, chunk by chunk, so that neither many small nor long streams cost more than their bytes."""
+
+    def run(batches):
+        arrow = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split(" ") for c in OUTPUT.split(", "))])
+        key, box = None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for stream_id, *chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if box is None or stream_id != key:
+                    key, box = stream_id, _Inbox(make())
+                rows += _feed(key, (chunk,), box, room, contiguous)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return ordered.by_stream(chunks.select("stream_id", "seq", "bytes", "final"), "seq", "final", "bytes").mapInArrow(run, OUTPUT)
+
+
 def decode_chunks(
     chunks: DataFrame, kind: str = "binary", limits: BinaryLimits = BinaryLimits(), event_limits: Limits = Limits(), contiguous: bool = False, forget_after: int | None = None
 ) -> DataFrame:
@@ -330,11 +350,7 @@ def decode_chunks(
         return zip(frame["seq"].astype(int), map(bytes, frame["bytes"]), frame["final"].astype(bool), strict=True)
 
     if not chunks.isStreaming:
-
-        def whole(key, frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(_feed(key[0], listed(frame), _Inbox(make()), room, contiguous), columns=columns)
-
-        return chunks.groupBy("stream_id").applyInPandas(whole, OUTPUT)
+        return _decode_table(chunks, make, room, contiguous)
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -354,6 +370,50 @@ def decode_chunks(
     return chunks.groupBy("stream_id").applyInPandasWithState(step, OUTPUT, "box binary", "append", timeout)
 
 
+def decode_pieces(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """EVENTS with ``error``, of texts that come as ``text_format.pieces``, of any length.
+
+    A stream whose text is at fault has one row more, without an ordinal, that names the error;
+    its events are those before the fault and not to be acted on.
+    """
+    names = schema.EVENTS.fieldNames()
+
+    def run(batches):
+        texts = pa.string()
+        ext = pa.list_(pa.struct([("name", texts), ("value", texts)]))
+        arrow = pa.schema([*((n, pa.int64() if n == "ordinal" else ext if n == "ext" else texts) for n in names), ("error", texts)])
+        current, feed = None, None
+
+        def push(data: bytes, final: bool) -> list[tuple]:
+            if feed.closed:
+                return []
+            first = feed.count
+            try:
+                records = feed.push(data, final)
+            except text.TextError as e:
+                return [(current, None, *[None] * (len(names) - 3), [], e.code)]
+            return [(*event_row(current, i, r), None) for i, r in enumerate(records, first)]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            offsets, data = ordered.raw(batch.column(1))
+            rows = []
+            for stream_id, a, b in ordered.runs(batch.column(0)):
+                if feed is None or stream_id != current:
+                    rows += push(b"", True) if feed else []
+                    current, feed = stream_id, TextDecoder(limits)
+                rows += push(bytes(data[offsets[a] : offsets[b]]), False)
+            if rows:
+                yield batch_of(rows)
+        if feed is not None and (rows := push(b"", True)):
+            yield batch_of(rows)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.EVENTS.fields)
+    return ordered.by_stream(pieces, "part", "ordinal", "text").select("stream_id", "text").mapInArrow(run, f"{fields}, error string")
+
+
 def events_from_output(output: DataFrame) -> DataFrame:
     """EVENTS of the record rows."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.EVENTS.fields)
