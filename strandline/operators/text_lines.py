@@ -48,6 +48,19 @@ def stanzas(rows: DataFrame) -> DataFrame:
     return placed.select("stream_id", "line", "text", "part", F.when(F.col("part") == "field", stanza).alias("stanza"))
 
 
+def piece_stanzas(pieces: DataFrame) -> DataFrame:
+    """What ``stanzas`` gives, of texts that come as ``text_format.pieces``, without a window over a stream.
+
+    A piece after the header is a separator and one stanza, so the marks of its lines follow from
+    the piece alone. ``line`` and ``stanza`` count from the piece's first line, and (part, ordinal)
+    tells which piece that is.
+    """
+    body = F.when(F.col("part") == 1, F.expr("substring(text, 2)")).otherwise(F.col("text"))
+    split = pieces.where("part < 2").select("stream_id", "part", "ordinal", F.posexplode(F.split(body, "\n")).alias("line", "text"))
+    place = F.when(F.col("part") == 1, F.when(F.col("line") == 0, "blank").otherwise("field")).otherwise(F.when(F.col("line") == 0, "version").otherwise("stream"))
+    return split.select("stream_id", F.col("part").alias("piece"), "ordinal", F.col("line").cast("long").alias("line"), "text", place.alias("part"), F.when((F.col("part") == 1) & (F.col("line") > 0), F.lit(0).cast("long")).alias("stanza"))
+
+
 def fields(marked: DataFrame) -> DataFrame:
     """(stream_id, line, stanza, part, name, payload) of stream and stanza fields; name is null without ``name=``."""
     named = F.col("text").rlike(r"\A[^=]+=")

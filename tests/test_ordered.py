@@ -48,3 +48,12 @@ def test_digests(tables):
     assert set(got) == {"long", "short", "none"}
 
 
+def test_piece_stanzas(tables):
+    lines = text_lines.piece_stanzas(text_format.pieces(*tables)).groupBy("stream_id").pivot("part").count().collect()
+    want = {}
+    for k, t in whole(tables).items():
+        body = t.rstrip("\n").split("\n")
+        want[k] = (1, 1, body.count("") or None, sum("=" in x for x in body) - 2 or None)
+    assert {r.stream_id: (r.version, r.stream, r.blank, r.field) for r in lines} == want
+
+
