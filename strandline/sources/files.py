@@ -9,6 +9,7 @@ files of ended tasks are there without it.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,10 +17,13 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from strandline.config import Limits
+from strandline.operators import ordered
+from strandline.sources import text_format
 from strandline.storage import materialize
 
 #: Endings of the two formats' files.
@@ -35,7 +39,7 @@ def file_name(stream_id: str, suffix: str) -> str:
 
 def stream_id(path: Column) -> Column:
     """The id behind the path of a file that ``write`` made; null for other files."""
-    name = F.regexp_extract(path, rf"/({_PREFIX}[^/]*)\.[a-z]+$", 1)
+    name = F.regexp_extract(path, rf"/({_PREFIX}[^/]*?)\.[a-z]+(?:\.gz)?$", 1)
     return F.when(name != "", F.url_decode(F.translate(F.substring(name, len(_PREFIX) + 1, _MAX_NAME), "~", "%")))
 
 
@@ -94,3 +98,73 @@ def write(encoded: DataFrame, path: str) -> DataFrame:
     good = rows.where("error is null").select("stream_id", "bytes")
     good.write.format(_StreamFiles.name()).option("suffix", suffix).mode("append").save(path)
     return rows.where("error is not null").select("stream_id", "error")
+
+
+def write_pieces(pieces: DataFrame, path: str, limits: Limits = Limits(), compression: str | None = None) -> DataFrame:
+    """Write texts that come as ``text_format.pieces`` under ``path``; no text is held as a whole.
+
+    With ``compression="gzip"`` files end in ``.gz``. Returns (stream_id, error) as ``write`` does;
+    a limit that a text turns out to exceed takes back its file.
+    """
+    suffix = TEXT_SUFFIX + (".gz" if compression else "")
+    named = F.coalesce(3 * F.octet_length("stream_id") <= _MAX_NAME - len(_PREFIX + suffix), F.lit(False))
+    rows = ordered.by_stream(pieces.withColumns({"named": named, "flag": text_format.long_line(limits)}), "part", "ordinal", "text")
+
+    def run(batches):
+        fs, root = FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        draft, current, out = f"{root}/_{uuid.uuid4().hex}", None, None
+        names = ["stream_id", "error", "pieces", "bytes", "flagged"]
+        kinds = pa.schema(list(zip(names, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)))
+
+        def close():
+            if out is not None:
+                out.close()
+                why = None if current["named"] else REFUSED
+                over = current["pieces"] - 2 > limits.max_events or current["bytes"] > limits.max_input_bytes or current["flagged"]
+                if why is None and not over:
+                    fs.move(draft, f"{root}/{file_name(current['stream_id'], suffix)}")
+                else:
+                    fs.delete_file(draft)
+                yield pa.RecordBatch.from_pylist([{k: current[k] for k in ("stream_id", "pieces", "bytes", "flagged")} | {"error": why}], schema=kinds)
+
+        for batch in batches:
+            offsets, data = ordered.raw(batch.column("text"))
+            for name, a, b in ordered.runs(batch.column("stream_id")):
+                if current is None or name != current["stream_id"]:
+                    yield from close()
+                    current = {"stream_id": name, "named": batch.column("named")[a].as_py(), "pieces": 0, "bytes": 0, "flagged": False}
+                    out = fs.open_output_stream(draft, compression=compression)
+                out.write(data[offsets[a] : offsets[b]])
+                current["pieces"] += b - a
+                current["bytes"] += int(offsets[b] - offsets[a])
+                current["flagged"] = current["flagged"] or any(batch.column("flag").slice(a, b - a).to_pylist())
+        yield from close()
+
+    told = "stream_id string, error string, pieces long, bytes long, flagged boolean"
+    done = materialize(rows.select("stream_id", "named", "flag", "text").mapInArrow(run, told), "written")
+    fs, root = FileSystem.from_uri(path)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/_SUCCESS"):
+        pass
+    error = F.coalesce(text_format.over_limits(F.col("pieces"), F.col("bytes"), F.col("flagged"), limits), "error")
+    return done.select("stream_id", error.alias("error")).where("error is not null")
+
+
+def digests(spark: SparkSession, path: str, algorithm: str = "md5") -> DataFrame:
+    """(path, digest) of the content of the files under ``path``, read block by block; ``.gz`` ones are unpacked."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                fs, at = FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                state = hashlib.new(algorithm)
+                with fs.open_input_stream(at, compression="detect") as file:
+                    while block := file.read(1 << 20):
+                        state.update(block)
+                found.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "digest"])
+
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    return listed.mapInArrow(run, "path string, digest string")

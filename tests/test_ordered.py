@@ -57,3 +57,18 @@ def test_piece_stanzas(tables):
     assert {r.stream_id: (r.version, r.stream, r.blank, r.field) for r in lines} == want
 
 
+@pytest.mark.parametrize("compression", [None, "gzip"])
+def test_piece_files(spark, tables, tmp_path, compression):
+    path = str(tmp_path / "t")
+    limits = Limits(max_events=10_000)
+    refused = files.write_pieces(text_format.pieces(*tables), path, limits, compression)
+    assert [tuple(r) for r in refused.collect()] == [("long", "max_events")]
+    names = {p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")}
+    end = ".gz" if compression else ""
+    assert names == {"_SUCCESS", f"s-short.telex{end}", f"s-none.telex{end}"}
+    data = (tmp_path / "t" / f"s-short.telex{end}").read_bytes()
+    assert (gzip.decompress(data) if compression else data).decode() == whole(tables)["short"]
+    found = files.digests(spark, path).select(files.stream_id(F.col("path")).alias("id"), "digest").collect()
+    assert {r.id: r.digest for r in found} == {k: hashlib.md5(whole(tables)[k].encode()).hexdigest() for k in ("short", "none")}
+
+
