@@ -30,23 +30,33 @@ def encode(events: DataFrame, block: int | None = BLOCK) -> DataFrame:
     return rows.withColumn("shared", shared).withColumn("suffix", F.expr("substring(coalesce(path, header), shared + 1)")).drop("path", "header")
 
 
-def decode(encoded: DataFrame) -> DataFrame:
-    """EVENTS again. Each (stream, plane, block) is one short chain of string pieces."""
-    columns = [c for c in schema.EVENTS.fieldNames() if c not in ("path", "header")]
-    sizes = encoded.schema
+def decode(encoded: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """EVENTS again, or the addresses and the columns in ``only``. Each (stream, plane, block) is a chain of string pieces.
 
-    def chain(keys, table):
-        table = table.sort_by("ordinal")
-        last, addresses = "", []
-        for shared, suffix in zip(table.column("shared").to_pylist(), table.column("suffix").to_pylist(), strict=True):
-            last = last[:shared] + suffix
-            addresses.append(last)
-        return table.select(columns + ["plane"]).append_column("address", pa.array(addresses, pa.string()))
-
-    fields = ", ".join(f"{c} {sizes[c].dataType.simpleString()}" for c in [*columns, "plane"])
-    rows = encoded.groupBy("stream_id", "plane", "block").applyInArrow(chain, f"{fields}, address string")
-    return rows.select(
-        *(F.when(F.col("plane") == c, F.col("address")).alias(c) if c in ("path", "header") else F.col(c) for c in schema.EVENTS.fieldNames())
+    Chains follow each other in a partition, in order, and Python passes over the batches, so
+    neither many short chains nor a long one cost more than their rows. Encoded events that
+    were not stored in between keep the partitions of ``encode``.
+    """
+    wanted = [c for c in schema.EVENTS.fieldNames() if only is None or c in ("path", "header", *only)]
+    columns = [c for c in wanted if c not in ("path", "header")]
+    sizes = encoded.schema
+    keep = [*columns, "plane"]
+    place = F.row_number().over(Window.partitionBy("stream_id", "plane", "block").orderBy("ordinal"))
+    rows = encoded.withColumn("place", place).select(*keep, "shared", "suffix", "place")
+
+    def run(batches):
+        last = ""
+        for batch in batches:
+            addresses = []
+            for shared, suffix, at in zip(batch.column("shared").to_pylist(), batch.column("suffix").to_pylist(), batch.column("place").to_pylist(), strict=True):
+                last = last[:shared] + suffix if at > 1 else suffix
+                addresses.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(addresses, pa.string())], names=[*keep, "address"])
+
+    fields = ", ".join(f"{c} {sizes[c].dataType.simpleString()}" for c in keep)
+    found = rows.mapInArrow(run, f"{fields}, address string")
+    return found.select(
+        *(F.when(F.col("plane") == c, F.col("address")).alias(c) if c in ("path", "header") else F.col(c) for c in wanted)
     )
 
 

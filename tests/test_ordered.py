@@ -40,6 +40,8 @@ def test_encode_digests_limits(tables, limits):
     found = text_format.encode_digests(*tables, limits).collect()
     assert {r.stream_id: r.error for r in found} == want
     assert all((r.digest is None) == (r.error is not None) for r in found)
+
+
 def test_digests(tables):
     options = (wire.EXACT_ORDER, wire.BODY_SCOPE, wire.PROVENANCE_EXCLUDED)
     got = {r.stream_id: r.digest for r in integrity.digests(*tables, *options).collect()}
@@ -84,3 +86,26 @@ def test_decode_pieces(tables):
     assert [(r.stream_id, r.ordinal, r.error) for r in bad] == [("long", None, "TELEX_LIMIT_EXCEEDED")]
 
 
+@pytest.mark.parametrize("block", [None, 3, 256])
+def test_delta_chains(tables, block):
+    events, _ = tables
+    back = delta.decode(delta.encode(events, block))
+    assert back.exceptAll(events).isEmpty() and back.count() == events.count()
+
+
+def test_hashed_separator(spark):
+    rows = spark.createDataFrame([("a", i, f"|{i}", i == 2) for i in range(5)] + [("b", 0, "|", False)], "stream_id string, i int, text string, flag boolean")
+    found = {r.stream_id: r for r in ordered.hashed(ordered.by_stream(rows, "i"), "md5", skip=1).collect()}
+    assert found["a"].digest == hashlib.md5(b"0|1|2|3|4").hexdigest() and found["a"].flagged and found["a"].pieces == 5
+    assert found["b"].digest == hashlib.md5(b"").hexdigest() and not found["b"].flagged
+
+
+@pytest.mark.parametrize("name", ["encode_text", "digest_exact", "stanza_fields", "stanza_segments", "text_round_trip", "delta_round_trip", "chunk_decoding", "text_chunk_decoding"])
+def test_no_stream_is_held(spark, name, capsys):
+    """Neither a list of a stream's rows nor a Python call for each of them."""
+    registry.QUERIES[name](spark, SF).explain(True)
+    shown = capsys.readouterr().out
+    operators = shown[shown.index("Physical Plan") :]
+    assert not any(x in operators for x in ("FlatMapGroupsInPandas", "FlatMapGroupsInArrow"))
+    if name != "chunk_decoding":  # its small streams are encoded as values
+        assert "collect_list" not in operators
