@@ -15,6 +15,8 @@ _BARE = r"[A-Za-z_][A-Za-z0-9_]*+"
 #: Canonical JSON: short escapes where there are any, else \u00xx in lower case for controls, nothing else escaped.
 _QUOTED = r'\["(?![A-Za-z_][A-Za-z0-9_]*"\])(?:[^"\\\x00-\x1f]|\\["\\bfnrt]|\\u00(?:0[0-7bef]|1[0-9a-f]))*+"\]'
 SEGMENT = rf"(?:(?:\.@)?\.(?:{_BARE}|{_QUOTED})|\[(?:0|[1-9][0-9]*+)\])"
+#: Canonical event paths without quoted members; the others need ``_WHOLE``.
+SIMPLE = rf"\A\$(?:(?:\.@)?\.{_BARE}|\[(?:0|[1-9][0-9]*+)\])++\z"
 _WHOLE = rf"\A\$(?:{SEGMENT})*+\z"
 
 

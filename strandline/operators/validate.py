@@ -156,9 +156,9 @@ def header_order(rows: DataFrame) -> DataFrame:
     return _report(late.withColumn("finding", _finding("AES_HEADER_ORDER", "header")))
 
 
-def first_index(rows: DataFrame) -> DataFrame:
-    """(stream_id, plane, address, first, first_kind, times) of each well-formed address."""
-    return rows.where("path_ok").groupBy(*_KEY).agg(F.min("ordinal").alias("first"), F.min_by("kind", "ordinal").alias("first_kind"), F.count("*").alias("times"))
+def first_index(rows: DataFrame, *more: Column) -> DataFrame:
+    """(stream_id, plane, address, first, first_kind, times) of each well-formed address, and what ``more`` asks for."""
+    return rows.where("path_ok").groupBy(*_KEY).agg(F.min("ordinal").alias("first"), F.min_by("kind", "ordinal").alias("first_kind"), F.count("*").alias("times"), *more)
 
 
 def duplicate_paths(rows: DataFrame, index: DataFrame) -> DataFrame:
@@ -245,28 +245,76 @@ def stream_diagnostics(streams: DataFrame, rows: DataFrame, limits: Limits) -> D
     return _report(odd).unionByName(_report(many))
 
 
+def plainly_sound(limits: Limits) -> Column:
+    """Whether a body event is sound at sight: no check of single events finds anything. Others may be sound too."""
+    most = min(limits.max_path_characters, 2 * limits.max_path_depth, limits.max_key_segment_codepoints)
+    again = r"\.@\.[A-Za-z0-9_]+\.@\." if limits.max_attribute_depth else r"\.@\."
+
+    def simple(c: Column) -> Column:
+        return (F.octet_length(c) <= most) & c.rlike(paths.SIMPLE) & ~c.rlike(again)
+
+    kind, value = F.col("kind"), F.col("value")
+    free = [k for k in wire.KINDS if k not in (*wire.CONTAINERS, *wire.REFERENCES, *wire.EXACT_VALUES, "StringLiteral", "HexLiteral", "NodeHead", "SymbolicLiteral", "WTCDateTimeLiteral")]
+    good = F.when(kind.isin(*wire.CONTAINERS), value.isNull()).when(kind.isin(*free), value.isNotNull())
+    good = good.when(kind == "StringLiteral", F.octet_length(value) <= limits.max_string_codepoints).when(kind.isin(*wire.REFERENCES), simple(value))
+    for k, allowed in wire.EXACT_VALUES.items():
+        good = good.when(kind == k, value.isin(*allowed))
+    bare = reduce(Column.__and__, [F.col(c).isNull() for c in ("header", "datatype", "generics", "clarifiers", "origin", "span")])
+    return F.coalesce(bare & (F.coalesce(F.size("ext"), F.lit(0)) <= 0) & (F.coalesce("identity", F.lit("x")) != "") & good & simple(F.col("path")), F.lit(False))
+
+
+def _alone(events: DataFrame, streams: DataFrame, limits: Limits) -> DataFrame:
+    """(stream_id, profile, projection, alone): whether no check between events can find anything in a stream.
+
+    So it is with body events of a partial profile, where the stream has too few events
+    and too short paths to pass a limit.
+    """
+    small = min(limits.max_events, limits.max_list_items, limits.max_tuple_items)
+    met = events.groupBy("stream_id").agg(
+        F.count("*").alias("n"), F.count("header").alias("headers"), F.max(F.octet_length("path")).alias("longest")
+    )
+    alone = (F.col("profile") == wire.PARTIAL_PROFILE) & F.col("projection").isNull() & F.coalesce((F.col("n") <= small) & (F.col("headers") == 0) & (F.coalesce("longest", F.lit(0)) <= 2 * limits.max_value_nesting_depth), F.col("n").isNull())
+    partial = streams.select("stream_id", "profile", "projection")
+    return partial.join(met, "stream_id", "left").select("stream_id", "profile", "projection", F.coalesce(alone, F.lit(False)).alias("alone"))
+
+
 def validate(events: DataFrame, streams: DataFrame, limits: Limits = Limits(), registered: tuple[str, ...] = ()) -> DataFrame:
     """DIAGNOSTICS of all streams; a stream without a row is valid.
 
-    The addressed events and their index are written once; the branches read the columns that they need.
+    Streams in which only checks of single events apply are told apart by counts first; of them
+    only the events go on that are not sound at sight. ``events`` is read more than once.
     """
+    if not streams.where(F.col("profile").eqNullSafe(wire.PARTIAL_PROFILE) & F.col("projection").isNull()).take(1):
+        return _validate(events, streams, limits, registered)
+    told = materialize(_alone(events, streams, limits), "alone")
+    odd = events.where(~plainly_sound(limits)).join(told.where("alone").drop("alone"), "stream_id")
+    found = event_diagnostics(materialize(addressed(odd), "odd"), limits, registered).select(*schema.DIAGNOSTICS.fieldNames())
+    rest = told.where("not alone").drop("alone")
+    if not rest.take(1):
+        return found
+    own = events.join(rest.select("stream_id"), "stream_id", "left_semi")
+    return found.unionByName(_validate(own, rest, limits, registered))
+
+
+def _validate(events: DataFrame, streams: DataFrame, limits: Limits, registered: tuple[str, ...]) -> DataFrame:
+    """The addressed events and their index are written once; the branches read the columns that they need."""
     context = streams.select("stream_id", "profile", "projection")
-    rows = materialize(addressed(events).join(context, "stream_id"), "addressed")
-    index = materialize(first_index(rows), "index")
     documents = F.col("projection").eqNullSafe(wire.DOCUMENT_PROJECTION)
-    complete = F.col("profile") == wire.COMPLETE_PROFILE
-    by_plane = duplicate_paths(rows, index).unionByName(parents(rows, index)).unionByName(missing_references(rows, index))
+    complete = F.col("profile").eqNullSafe(wire.COMPLETE_PROFILE)
+    rows = materialize(addressed(events).join(context, "stream_id"), "addressed")
+    marks = [F.first(c).alias(c) for c in ("profile", "projection")]  # the same in a whole stream
+    index = materialize(first_index(rows, *marks), "index")
     # a body finding needs the complete profile; a header finding the projection, and for references both
-    gated = by_plane.join(context, "stream_id").where(
-        F.when(F.col("code") == "AES_MISSING_REFERENCE_TARGET", complete & ((F.col("plane") == "path") | documents)).when(F.col("plane") == "path", complete).otherwise(documents)
-    )
-    unique = rows.where(F.when(F.col("plane") == "path", complete).otherwise(documents))
+    own = lambda df: df.where(F.when(F.col("plane") == "path", complete).otherwise(documents))
+    counted, known = own(rows), own(index).drop("profile", "projection")
     parts = [
         stream_diagnostics(streams, rows, limits),
         event_diagnostics(rows, limits, registered),
         header_order(rows),
-        gated,
-        duplicate_identities(unique),
+        duplicate_paths(counted, known),
+        parents(counted, known),
+        missing_references(counted.where(complete), known),
+        duplicate_identities(counted),
         nesting(rows, index, limits),
         item_counts(index, limits),
     ]

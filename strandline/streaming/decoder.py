@@ -14,6 +14,7 @@ import json
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -126,6 +127,9 @@ class BinaryDecoder:
                 return out
         while self._left or self.pending is not None:
             if self.pending is None:
+                out += self._plain()
+                if not self._left:
+                    break
                 self.pending = self._attempt(lambda c: binary.record_length(c, self.count, self.event_limits), final)
                 if self.pending is None:
                     break
@@ -140,6 +144,16 @@ class BinaryDecoder:
         return out
 
 
+    def _plain(self) -> list[dict]:
+        """The plain records that come next and are all there."""
+        rows = binary.Rows()
+        at, self.count = binary.plain(self.rest, self.at, len(self.rest), rows, self.count, self.limits, self.event_limits)
+        self._eat(at - self.at)
+        names = ("path", "header", "kind", "identity", "value")
+        found = zip(*(getattr(rows, n) for n in names), strict=True)
+        return [{n: v for n, v in zip(names, r, strict=True) if v is not None} for r in found]
+
+
 @dataclass
 class TextDecoder:
     """Feeds on bytes of the text format, yields records as their stanzas close."""
@@ -269,6 +283,28 @@ class _Inbox:
     failed: bool = False
 
 
+_PLAIN = frozenset(("path", "header", "kind", "identity", "value"))
+_quoted = json.encoder.encode_basestring
+
+
+def _event_json(key: str, ordinal: int, record: dict) -> str:
+    """A row of EVENTS as JSON; of plain records without the detour over a row."""
+    if record.keys() <= _PLAIN:
+        path, header, kind, identity, value = ("null" if (v := record.get(n)) is None else _quoted(v) for n in ("path", "header", "kind", "identity", "value"))
+        return (
+            f'{{"stream_id": {_quoted(key)}, "ordinal": {ordinal}, "path": {path}, "header": {header}, "kind": {kind}, "datatype": null, "generics": null, "clarifiers": null, '
+            f'"identity": {identity}, "value": {value}, "origin": null, "span": null, "ext": []}}'
+        )
+    row = dict(zip(_NAMES, event_row(key, ordinal, record), strict=True))
+    row["ext"] = [{"name": k, "value": v} for k, v in row["ext"]]
+    return json.dumps(row, ensure_ascii=False)
+
+
+@lru_cache(64)
+def _about(profile: str, profile_explicit: bool, projection: str | None, projection_explicit: bool) -> str:
+    return json.dumps({"profile": profile, "profile_explicit": profile_explicit, "projection": projection, "projection_explicit": projection_explicit})
+
+
 def _feed(key: str, chunks: Iterator[tuple[int, bytes, bool]], box: _Inbox, room: int, contiguous: bool) -> list[tuple]:
     """Output rows for the chunks that can be decoded now."""
     rows: list[tuple] = []
@@ -300,11 +336,9 @@ def _feed(key: str, chunks: Iterator[tuple[int, bytes, bool]], box: _Inbox, room
                 error(now, e.code, getattr(e, "offset", getattr(e, "line", None)))
                 break
             for i, record in enumerate(records, first):
-                row = dict(zip(_NAMES, event_row(key, i, record), strict=True))
-                row["ext"] = [{"name": k, "value": v} for k, v in row["ext"]]
-                rows.append((key, now, "record", i, json.dumps(row, ensure_ascii=False), None, None))
+                rows.append((key, now, "record", i, _event_json(key, i, record), None, None))
             context = box.decoder.context if isinstance(box.decoder, BinaryDecoder) else box.decoder.stream
-            about = None if context is None else json.dumps({k: getattr(context, k) for k in ("profile", "profile_explicit", "projection", "projection_explicit")})
+            about = None if context is None else _about(context.profile, context.profile_explicit, context.projection, context.projection_explicit)
             rows.append((key, now, box.decoder.status, box.decoder.count, about, None, None))
             if box.decoder.closed and box.waiting:
                 for late in sorted(box.waiting):
