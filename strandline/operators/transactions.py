@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import marshal
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -141,8 +142,8 @@ def _part(body: dict, key: str, inner: str) -> object:
     return v.get(inner) if isinstance(v, dict) else None
 
 
-def body_findings(body: object, registered: tuple[str, ...] = ()) -> Found:
-    """Everything wrong with a body apart from its events."""
+def body_findings(body: object, registered: tuple[str, ...] = (), met: dict[str, tuple] | None = None, encodes: bool | None = None) -> Found:
+    """Everything wrong with a body apart from its events. ``met`` and ``encodes`` are what is known of its members already."""
     if not isinstance(body, dict):
         yield BODY, None
         return
@@ -150,7 +151,7 @@ def body_findings(body: object, registered: tuple[str, ...] = ()) -> Found:
         if k not in wire.TX_BODY_FIELDS and not (_EXTENSION.fullmatch(k) and k in registered):
             yield ("AES_TRANSACTION_EXTENSION_UNREGISTERED" if k.startswith("x.") else BODY), k
     for k, rule in BODY_RULES.items():
-        yield from rule(body.get(k), k, BODY)
+        yield from rule(body.get(k), k, BODY) if met is None or k not in met else met[k]
     # an absent projection is not the same as a null one
     if body.get("projection", "") is not None:
         yield from name(body.get("projection"), "projection", BODY)
@@ -164,10 +165,18 @@ def body_findings(body: object, registered: tuple[str, ...] = ()) -> Found:
         yield ASSERTION, "assertions.eventCount"
     if _part(body, "application", "contract") == wire.TX_SCALAR_REPLACEMENT:
         yield from _scalar_replacement(body)
+    if encodes is None:
+        encodes = _encodes(body)
+    if not encodes:
+        yield BODY, None
+
+
+def _encodes(body: dict) -> bool:
     try:
         logical.encode(body)
     except logical.LogicalError:
-        yield BODY, None
+        return False
+    return True
 
 
 def _scalar_replacement(body: dict) -> Found:
@@ -253,17 +262,59 @@ def shaped(docs: DataFrame, options: Options = Options(), envelope: bool = True)
     def run(batches):
         pair = pa.struct([("code", pa.string()), ("path", pa.string())])
         text, flag, texts = pa.string(), pa.bool_(), pa.list_(pa.string())
+        known = _Known(options.support)
         arrow = pa.schema(
             [("tx_id", text), ("found", pa.list_(pair)), ("missing", texts), ("digest", text), ("expected", text), ("evidence", flag), ("profile", text), ("projection", text), ("context", flag), ("source_backed", flag), ("records", texts)]
         )
         for batch in batches:
-            rows = [_shape(t, j, options, envelope) for t, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            rows = [_shape(t, j, options, envelope, known) for t, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in arrow], schema=arrow)
 
     return docs.select("tx_id", "json").mapInArrow(run, _SHAPED)
 
 
-def _shape(tx_id: str, text: str | None, options: Options, envelope: bool) -> dict:
+class _Known:
+    """What the members of bodies have given, where they are short: most members of many bodies are the same."""
+
+    MOST, LONGEST = 10_000, 4_096
+
+    def __init__(self, support: Support):
+        self.support = support
+        self.members: dict[tuple[str, bytes], tuple[bytes | None, tuple]] = {}
+        self.missing: dict[tuple, list[str]] = {}
+        self.records: dict[bytes, list[str]] = {}
+
+    def kept(self, held: dict, key, size: int, make):
+        if (found := held.get(key)) is None:
+            found = make()
+            if size <= self.LONGEST:
+                if len(held) >= self.MOST:
+                    held.clear()
+                held[key] = found
+        return found
+
+    def member(self, name: str, value: object, code: bytes) -> tuple[bytes | None, tuple]:
+        """The bytes of a member, null where it has none, and what its rule finds."""
+
+        def make() -> tuple[bytes | None, tuple]:
+            try:
+                raw = logical.encode(name) + logical.encode(value)
+            except (logical.LogicalError, UnicodeEncodeError):  # the latter from keys
+                raw = None
+            return raw, tuple(BODY_RULES[name](value, name, BODY)) if name in BODY_RULES else ()
+
+        return make() if isinstance(value, str) else self.kept(self.members, (name, code), len(name) + len(code), make)
+
+    def unsupported(self, body: dict, codes: dict[str, bytes]) -> list[str]:
+        parts = ("application", "target", "preparation", "authorization", "limits", "integrity", "preconditions")
+        key = tuple(map(codes.get, parts))
+        return self.kept(self.missing, key, sum(len(c or b"") for c in key), lambda: unsupported(body, self.support))
+
+    def spelt(self, records: list, code: bytes) -> list[str]:
+        return self.kept(self.records, code, len(code), lambda: [json.dumps(r, ensure_ascii=False) for r in records])
+
+
+def _shape(tx_id: str, text: str | None, options: Options, envelope: bool, known: _Known) -> dict:
     try:
         doc = json.loads(text or "null")
     except ValueError:
@@ -282,20 +333,21 @@ def _shape(tx_id: str, text: str | None, options: Options, envelope: bool) -> di
             found += [(INTEGRITY, "evidence")] if options.require_evidence and doc else []
         else:
             found += EVIDENCE(evidence, "evidence", INTEGRITY)
-    if not (envelope and not doc):
-        found += body_findings(body, options.registered)
     own = body if isinstance(body, dict) else {}
+    # marshal spells equal values of equal types alike, so it names a member's value
+    codes = {k: marshal.dumps(v, 2) for k, v in own.items()}
+    parts = {k: known.member(k, v, codes[k]) for k, v in own.items()}
+    raw = _joined(parts)
+    if not (envelope and not doc):
+        found += body_findings(body, options.registered, {k: p[1] for k, p in parts.items()}, raw is not None)
     expected = evidence.get("hash") if isinstance(evidence, dict) else None
-    try:
-        digest = body_digest(own) if own else None
-    except logical.LogicalError:
-        digest = None
+    digest = hashlib.sha256(wire.TX_INTEGRITY.encode() + b"\0" + raw).hexdigest() if own and raw is not None else None
     records = own.get("records") if isinstance(own.get("records"), list) else []
     context = isinstance(own.get("profile"), str) and "projection" in own and (own["projection"] is None or isinstance(own["projection"], str))
     return {
         "tx_id": tx_id,
         "found": [{"code": c, "path": p} for c, p in found],
-        "missing": unsupported(body, options.support),
+        "missing": known.unsupported(body, codes) if own else unsupported(body, options.support),
         "digest": digest,
         "expected": expected if isinstance(expected, str) and _SHA256.fullmatch(expected) else None,
         "evidence": evidence is not None,
@@ -303,10 +355,19 @@ def _shape(tx_id: str, text: str | None, options: Options, envelope: bool) -> di
         "projection": own["projection"] if context else None,
         "context": context,
         "source_backed": _part(own, "preparation", "contract") == wire.TX_SOURCE_BACKED,
-        "records": [json.dumps(r, ensure_ascii=False) for r in records],
+        "records": known.spelt(records, codes["records"]) if records else [],
     }
 
 
+def _joined(parts: dict[str, tuple[bytes | None, tuple]]) -> bytes | None:
+    """The logical bytes of a body from those of its members."""
+    try:
+        members = sorted((k.encode("utf-8"), raw) for k, (raw, _) in parts.items())
+    except UnicodeEncodeError:
+        return None
+    return None if any(raw is None for _, raw in members) else b"m%d:%s" % (len(members), b"".join(raw for _, raw in members))
+
+
 def host_records(rows: DataFrame) -> DataFrame:
     """EVENTS and ``faults`` from rows (stream_id, ordinal, json) of host objects.
 
@@ -319,22 +380,26 @@ def host_records(rows: DataFrame) -> DataFrame:
         text = pa.string()
         ext = pa.list_(pa.struct([("name", text), ("value", text)]))
         arrow = pa.schema([*((n, pa.int64() if n == "ordinal" else ext if n == "ext" else text) for n in names), ("faults", pa.list_(text))])
+        known, held = _Known(Support()), {}
         for batch in batches:
-            rows = [_host_row(*x, names) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            if batch.num_rows:
+                rows = [known.kept(held, t, len(t), lambda t=t: _host_fields(t)) for t in batch.column(2).to_pylist()]
+                columns = [batch.column(0), batch.column(1), *zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.EVENTS.fields)
     return rows.select("stream_id", "ordinal", "json").mapInArrow(run, f"{fields}, faults array<string>")
 
 
-def _host_row(stream_id: str, ordinal: int, text: str, names: list[str]) -> dict:
+def _host_fields(text: str) -> tuple:
+    """The fields of EVENTS after the ordinal, and the faults."""
     record = json.loads(text)
     if not isinstance(record, dict):
-        return {"stream_id": stream_id, "ordinal": ordinal, "ext": [], "faults": ["AES_INVALID_EVENT"]}
+        return (*[None] * (len(schema.EVENTS.fields) - 3), [], ["AES_INVALID_EVENT"])
     nested = ("generics", "clarifiers")
     faults = ["AES_INVALID_PAYLOAD" for k, v in record.items() if k not in nested and not isinstance(v, str)]
-    row = dict(zip(names, event_row(stream_id, ordinal, {k: v for k, v in record.items() if k in nested or isinstance(v, str)}), strict=True))
-    return row | {"ext": [{"name": k, "value": v} for k, v in row["ext"]], "faults": faults}
+    row = event_row("", 0, {k: v for k, v in record.items() if k in nested or isinstance(v, str)})
+    return (*row[2:-1], [{"name": k, "value": v} for k, v in row[-1]], faults)
 
 
 def inspect(docs: DataFrame, options: Options = Options(), artifacts: DataFrame | None = None, envelope: bool = True) -> DataFrame:

@@ -115,3 +115,33 @@ def test_signature_input():
     assert tx.signature_input(digest, "a", "k").startswith(wire.TX_SIGNATURE.encode() + b"\0m6:")
     with pytest.raises(ValueError):
         tx.signature_input("x", "a", "k")
+
+
+def test_members_are_judged_once(monkeypatch):
+    """Bodies that share their members cost the rules of those members once; what is found stays that of each body."""
+    judged = []
+    rule = tx.BODY_RULES["limits"]
+    monkeypatch.setitem(tx.BODY_RULES, "limits", lambda v, path, code: judged.append(v) or rule(v, path, code))
+    known = tx._Known(SUPPORT)
+    docs = [body(id=f"t{i}", limits={"contract": wire.TX_LIMITS_CLAIM, "id": "l", "version": str(i % 2) if i % 3 else 1}) for i in range(12)]
+    got = [tx._shape("t", json.dumps(d), tx.Options(support=SUPPORT), False, known) for d in docs]
+    assert len(judged) == 3
+    for d, g in zip(docs, got, strict=True):
+        assert [(f["code"], f["path"]) for f in g["found"]] == list(tx.body_findings(d))
+        assert g["missing"] == tx.unsupported(d, SUPPORT)
+        assert g["digest"] == (None if d["limits"]["version"] == 1 else tx.body_digest(d))
+
+
+@pytest.mark.parametrize("value", [None, 1, True, 1.0, [], {}, "x", "\ud800", {"contract": 1}, [{"contract": "a"}], {"\ud800": "x"}])
+@pytest.mark.parametrize("key", [*tx.BODY_RULES, "records", "projection", "x.a.b"])
+def test_known_members_against_rules(key, value):
+    known, b = tx._Known(SUPPORT), body(**{key: value})
+    for _ in range(2):
+        got = tx._shape("t", json.dumps(b), tx.Options(support=SUPPORT), False, known)
+        try:
+            digest = tx.body_digest(b)
+        except (ValueError, UnicodeEncodeError):
+            digest = None
+        assert got["digest"] == digest and got["missing"] == tx.unsupported(b, SUPPORT)
+        if not (isinstance(value, dict) and "\ud800" in value):
+            assert [(f["code"], f["path"]) for f in got["found"]] == list(tx.body_findings(b))
