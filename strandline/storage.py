@@ -35,7 +35,7 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path + "/t"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Lineage ends here, a lost executor costs no recomputation, and joins on the
@@ -47,7 +47,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)

@@ -100,3 +100,18 @@ def test_streams_told_apart(spark, limits):
     spell = lambda df: sorted(map(str, df.collect()))
     got = spell(validate.validate(events, streams, limits))
     assert got and got == spell(validate._validate(events, streams, limits, ()))
+
+
+def test_scan_of_plain_records_goes_past_the_reader(monkeypatch):
+    data, calls, rows = binary.write(Stream(records=RECORDS[:1] * 50)), [], binary.Rows()
+    monkeypatch.setattr(binary, "read_record", lambda *a: calls.append(a))
+    binary._scan(data, rows, BinaryLimits(), Limits())
+    assert rows.path == ["$.a"] * 50 and rows.ordinal == list(range(50)) and not calls
+
+
+def test_round_trip_deals_events_out_once(spark):
+    """The registered query counts in each stream's row; no event is dealt out again after decoding."""
+    from strandline.plans import registry
+
+    plan = registry.QUERIES["binary_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
