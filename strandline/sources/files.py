@@ -10,6 +10,8 @@ files of ended tasks are there without it.
 from __future__ import annotations
 
 import hashlib
+import io
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -151,6 +153,90 @@ def write_pieces(pieces: DataFrame, path: str, limits: Limits = Limits(), compre
     return done.select("stream_id", error.alias("error")).where("error is not null")
 
 
+#: A pack is entries (length of the id, length of the bytes, id, bytes), all compressed as one.
+_ENTRY = "<IQ"
+_PACK, _BLOCK = ".pack.gz", 1 << 20
+
+
+def write_packs(encoded: DataFrame, path: str) -> DataFrame:
+    """Write the streams of the binary ``encode`` under ``path``, a pack for each task that has any.
+
+    For streams that are many and small, of which each as a file would take a block of the disk. Returns
+    (stream_id, error) of the streams that the encoder refused and of those without an id (``FILE_NAME``).
+    Packs get their name when all tasks have ended, so a task that runs again leaves none twice.
+    """
+
+    def run(batches):
+        fs, root = FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        kinds = pa.schema([("stream_id", pa.string()), ("error", pa.string()), ("pack", pa.string())])
+        mine, out, buffer = uuid.uuid4().hex, None, bytearray()
+        for batch in batches:
+            left = []
+            for name, data, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if error is not None or name is None:
+                    left.append({"stream_id": name, "error": error or REFUSED, "pack": None})
+                    continue
+                key = name.encode()
+                buffer += struct.pack(_ENTRY, len(key), len(data)) + key
+                buffer += data
+                if len(buffer) >= _BLOCK:
+                    out = out or fs.open_output_stream(f"{root}/_{mine}", compression="gzip")
+                    out.write(bytes(buffer))
+                    buffer.clear()
+            if left:
+                yield pa.RecordBatch.from_pylist(left, schema=kinds)
+        if buffer:
+            out = out or fs.open_output_stream(f"{root}/_{mine}", compression="gzip")
+            out.write(bytes(buffer))
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pylist([{"stream_id": None, "error": None, "pack": mine}], schema=kinds)
+
+    done = materialize(encoded.select("stream_id", "bytes", "error").mapInArrow(run, "stream_id string, error string, pack string"), "packed")
+    fs, root = FileSystem.from_uri(path)
+    fs.create_dir(root, recursive=True)
+    for row in done.where("pack is not null").select("pack").collect():  # one a task
+        fs.move(f"{root}/_{row.pack}", f"{root}/{row.pack}{_PACK}")
+    with fs.open_output_stream(f"{root}/_SUCCESS"):
+        pass
+    return done.where("pack is null").select("stream_id", "error")
+
+
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """(stream_id, bytes) of the streams in the packs under ``path``, read entry by entry."""
+
+    def run(batches):
+        def table(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            ids, blobs = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(blobs, pa.binary())], names=["stream_id", "bytes"])
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, at = FileSystem.from_uri(_uri(name))
+                with fs.open_input_stream(at, compression="gzip") as raw, io.BufferedReader(raw, _BLOCK) as file:
+                    rows, size = [], 0
+                    while head := file.read(struct.calcsize(_ENTRY)):
+                        key, n = struct.unpack(_ENTRY, head)
+                        stream, data = file.read(key), file.read(n)
+                        if len(stream) < key or len(data) < n:
+                            raise EOFError(f"{name} ends within an entry")
+                        rows.append((stream.decode(), data))
+                        size += n
+                        if size >= _BLOCK or len(rows) >= 10_000:
+                            yield table(rows)
+                            rows, size = [], 0
+                    if rows:
+                        yield table(rows)
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{_PACK}").load(path).select("path")
+    return listed.mapInArrow(run, "stream_id string, bytes binary")
+
+
+def _uri(name: str) -> str:
+    return name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name
+
+
 def digests(spark: SparkSession, path: str, algorithm: str = "md5") -> DataFrame:
     """(path, digest) of the content of the files under ``path``, read block by block; ``.gz`` ones are unpacked."""
 
@@ -158,7 +244,7 @@ def digests(spark: SparkSession, path: str, algorithm: str = "md5") -> DataFrame
         for batch in batches:
             found = []
             for name in batch.column(0).to_pylist():
-                fs, at = FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                fs, at = FileSystem.from_uri(_uri(name))
                 state = hashlib.new(algorithm)
                 with fs.open_input_stream(at, compression="detect") as file:
                     while block := file.read(1 << 20):

@@ -33,3 +33,15 @@ def test_binary_files_written_twice(spark, tmp_path):
 def test_no_streams(spark, tmp_path):
     assert files.write(spark.createDataFrame([], SCHEMA), str(tmp_path / "e")).isEmpty()
     assert [p.name for p in (tmp_path / "e").iterdir()] == ["_SUCCESS"]
+
+
+def test_packs(spark, tmp_path):
+    """Thousands of streams in a few files, all back; refused ones are told, tasks without streams leave no pack."""
+    rows = [(f"s{i}/é", bytes([i % 256]) * (i % 300), None) for i in range(5000)] + [("big", b"x" * (3 << 20), None), ("empty", b"", None), ("no", None, "FILM_AES_INVALID"), (None, b"x", None)]
+    encoded = spark.createDataFrame(rows, "stream_id string, bytes binary, error string").repartition(3)
+    path = f"file://{tmp_path}/packs"
+    told = files.write_packs(encoded, path)
+    assert sorted(map(tuple, told.collect()), key=str) == [("no", "FILM_AES_INVALID"), (None, "FILE_NAME")]
+    assert len(list((tmp_path / "packs").glob("*.pack.gz"))) <= 3 and not list((tmp_path / "packs").glob("_[0-9a-f]*"))
+    got = {r.stream_id: bytes(r.bytes) for r in files.read_packs(spark, path).collect()}
+    assert got == {s: b for s, b, e in rows if s is not None and e is None}
