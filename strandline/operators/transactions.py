@@ -28,6 +28,7 @@ from strandline.storage import materialize
 
 BODY, ENVELOPE, INTEGRITY, SIGNATURE = (f"AES_TRANSACTION_{x}_INVALID" for x in ("BODY", "ENVELOPE", "INTEGRITY", "SIGNATURE"))
 APPLICATION, ASSERTION = "AES_TRANSACTION_APPLICATION_INVALID", "AES_TRANSACTION_ASSERTION_FAILED"
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _UNSIGNED = re.compile(r"0|[1-9][0-9]*")
 _SHA256 = re.compile(r"[0-9a-f]{64}")
 _EXTENSION = re.compile(wire.EXTENSION_NAME)
@@ -39,7 +40,7 @@ Rule = Callable[[object, str, str], Found]
 
 
 def _scalar_text(v: object) -> bool:
-    return isinstance(v, str) and v != "" and not any("\ud800" <= c <= "\udfff" for c in v)
+    return isinstance(v, str) and v != "" and not _SURROGATE.search(v)
 
 
 def name(v: object, path: str, code: str) -> Found:
@@ -273,6 +274,30 @@ def shaped(docs: DataFrame, options: Options = Options(), envelope: bool = True)
     return docs.select("tx_id", "json").mapInArrow(run, _SHAPED)
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """(tx_id, digest) of the bodies of envelopes (tx_id, json), as ``shaped`` gives them, without judging the documents."""
+
+    def run(batches):
+        known = _Known(Support())
+        for batch in batches:
+            found = [_body_digest(j, known) for j in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(found, pa.string())], names=["tx_id", "digest"])
+
+    return docs.select("tx_id", "json").mapInArrow(run, "tx_id string, digest string")
+
+
+def _body_digest(text: str | None, known: _Known) -> str | None:
+    try:
+        doc = json.loads(text or "null")
+    except ValueError:
+        return None
+    body = doc.get("body") if isinstance(doc, dict) else None
+    if not (isinstance(body, dict) and body):
+        return None
+    raw = _joined({k: (known.encoded(k, v), ()) for k, v in body.items()})
+    return None if raw is None else hashlib.sha256(wire.TX_INTEGRITY.encode() + b"\0" + raw).hexdigest()
+
+
 class _Known:
     """What the members of bodies have given, where they are short: most members of many bodies are the same."""
 
@@ -281,6 +306,7 @@ class _Known:
     def __init__(self, support: Support):
         self.support = support
         self.members: dict[tuple[str, bytes], tuple[bytes | None, tuple]] = {}
+        self.bytes: dict[tuple[str, bytes], tuple[bytes | None]] = {}
         self.missing: dict[tuple, list[str]] = {}
         self.records: dict[bytes, list[str]] = {}
 
@@ -293,15 +319,17 @@ class _Known:
                 held[key] = found
         return found
 
+    def encoded(self, name: str, value: object) -> bytes | None:
+        if isinstance(value, str):
+            return _member_bytes(name, value)
+        code = marshal.dumps(value, 2)
+        return self.kept(self.bytes, (name, code), len(name) + len(code), lambda: (_member_bytes(name, value),))[0]
+
     def member(self, name: str, value: object, code: bytes) -> tuple[bytes | None, tuple]:
         """The bytes of a member, null where it has none, and what its rule finds."""
 
         def make() -> tuple[bytes | None, tuple]:
-            try:
-                raw = logical.encode(name) + logical.encode(value)
-            except (logical.LogicalError, UnicodeEncodeError):  # the latter from keys
-                raw = None
-            return raw, tuple(BODY_RULES[name](value, name, BODY)) if name in BODY_RULES else ()
+            return _member_bytes(name, value), tuple(BODY_RULES[name](value, name, BODY)) if name in BODY_RULES else ()
 
         return make() if isinstance(value, str) else self.kept(self.members, (name, code), len(name) + len(code), make)
 
@@ -359,6 +387,13 @@ def _shape(tx_id: str, text: str | None, options: Options, envelope: bool, known
     }
 
 
+def _member_bytes(name: str, value: object) -> bytes | None:
+    try:
+        return logical.encode(name) + logical.encode(value)
+    except (logical.LogicalError, UnicodeEncodeError):  # the latter from keys
+        return None
+
+
 def _joined(parts: dict[str, tuple[bytes | None, tuple]]) -> bytes | None:
     """The logical bytes of a body from those of its members."""
     try:

@@ -145,3 +145,10 @@ def test_known_members_against_rules(key, value):
         assert got["digest"] == digest and got["missing"] == tx.unsupported(b, SUPPORT)
         if not (isinstance(value, dict) and "\ud800" in value):
             assert [(f["code"], f["path"]) for f in got["found"]] == list(tx.body_findings(b))
+
+
+def test_digests_are_not_judged(spark, monkeypatch):
+    """Digests of bodies without a walk of their rules."""
+    docs = [{"envelope": wire.TX_ENVELOPE, "body": b, "evidence": None} for b in (body(), body(id=1), {}, None, body(extra=["\u00e9"]))] + [[], "x"]
+    want = {r.tx_id: r.digest for r in tx.shaped(table(spark, docs)).collect()}
+    assert {r.tx_id: r.digest for r in tx.digests(table(spark, docs)).collect()} == want and sum(d is not None for d in want.values()) == 2
