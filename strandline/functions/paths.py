@@ -17,6 +17,9 @@ _QUOTED = r'\["(?![A-Za-z_][A-Za-z0-9_]*"\])(?:[^"\\\x00-\x1f]|\\["\\bfnrt]|\\u0
 SEGMENT = rf"(?:(?:\.@)?\.(?:{_BARE}|{_QUOTED})|\[(?:0|[1-9][0-9]*+)\])"
 #: Canonical event paths without quoted members; the others need ``_WHOLE``.
 SIMPLE = rf"\A\$(?:(?:\.@)?\.{_BARE}|\[(?:0|[1-9][0-9]*+)\])++\z"
+#: The last segment of such a path, and whether it is an attribute.
+SIMPLE_LAST = rf"(?:(?:\.@)?\.{_BARE}|\[(?:0|[1-9][0-9]*+)\])\z"
+SIMPLE_ATTRIBUTE = rf"\.@\.{_BARE}\z"
 _WHOLE = rf"\A\$(?:{SEGMENT})*+\z"
 
 

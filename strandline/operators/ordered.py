@@ -30,6 +30,51 @@ def runs(ids: pa.Array) -> Iterator[tuple[str | None, int, int]]:
         start = end
 
 
+def whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Rows that ``by_stream`` has put in order (stream id first), cut between streams, with True.
+
+    A stream whose rows have more than ``most`` bytes comes by itself, in one or more batches with False.
+    """
+
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, bool]]:
+        begin = 0
+        for _, a, b in runs(batch.column(0)) if batch.nbytes > most else ():
+            if batch.slice(begin, b - begin).nbytes > most:
+                if a > begin:
+                    yield batch.slice(begin, a - begin), True
+                begin = a
+            if batch.slice(a, b - a).nbytes > most:
+                yield batch.slice(a, b - a), False
+                begin = b
+        if begin < batch.num_rows:
+            yield batch.slice(begin), True
+
+    held, size, key, long = [], 0, None, False
+    for batch in batches:
+        spans = list(runs(batch.column(0)))
+        if not spans:
+            continue
+        start, last = 0, spans[-1][1]
+        if (held or long) and spans[0][0] == key:
+            start = spans[0][2]
+            head = batch.slice(0, start)
+            if long:
+                yield head, False
+            else:
+                held.append(head)
+                size += head.nbytes
+        if start < batch.num_rows:
+            if ended := held + [batch.slice(start, last - start)] * (last > start):
+                yield from cut(pa.concat_batches(ended))
+            held, key, long = [batch.slice(last)], spans[-1][0], False
+            size = held[0].nbytes
+        if held and size > most:
+            yield pa.concat_batches(held), False
+            held, long = [], True
+    if held:
+        yield pa.concat_batches(held), True
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
     """The offsets of a string (or binary) array and the bytes that they cut; row i is data[offsets[i]:offsets[i + 1]]."""
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)

@@ -9,6 +9,7 @@ shuffle. A stream's profile and projection decide which of them apply.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -245,22 +246,53 @@ def stream_diagnostics(streams: DataFrame, rows: DataFrame, limits: Limits) -> D
     return _report(odd).unionByName(_report(many))
 
 
-def plainly_sound(limits: Limits) -> Column:
-    """Whether a body event is sound at sight: no check of single events finds anything. Others may be sound too."""
+def plainly_sound(limits: Limits, of: Callable[[str], Column] = F.col) -> Column:
+    """Whether a body event is sound at sight: no check of single events finds anything. Others may be sound too.
+
+    ``of`` gives the event's fields by name.
+    """
     most = min(limits.max_path_characters, 2 * limits.max_path_depth, limits.max_key_segment_codepoints)
     again = r"\.@\.[A-Za-z0-9_]+\.@\." if limits.max_attribute_depth else r"\.@\."
 
     def simple(c: Column) -> Column:
         return (F.octet_length(c) <= most) & c.rlike(paths.SIMPLE) & ~c.rlike(again)
 
-    kind, value = F.col("kind"), F.col("value")
+    kind, value = of("kind"), of("value")
     free = [k for k in wire.KINDS if k not in (*wire.CONTAINERS, *wire.REFERENCES, *wire.EXACT_VALUES, "StringLiteral", "HexLiteral", "NodeHead", "SymbolicLiteral", "WTCDateTimeLiteral")]
     good = F.when(kind.isin(*wire.CONTAINERS), value.isNull()).when(kind.isin(*free), value.isNotNull())
     good = good.when(kind == "StringLiteral", F.octet_length(value) <= limits.max_string_codepoints).when(kind.isin(*wire.REFERENCES), simple(value))
     for k, allowed in wire.EXACT_VALUES.items():
         good = good.when(kind == k, value.isin(*allowed))
-    bare = reduce(Column.__and__, [F.col(c).isNull() for c in ("header", "datatype", "generics", "clarifiers", "origin", "span")])
-    return F.coalesce(bare & (F.coalesce(F.size("ext"), F.lit(0)) <= 0) & (F.coalesce("identity", F.lit("x")) != "") & good & simple(F.col("path")), F.lit(False))
+    bare = reduce(Column.__and__, [of(c).isNull() for c in ("header", "datatype", "generics", "clarifiers", "origin", "span")])
+    return F.coalesce(bare & (F.coalesce(F.size(of("ext")), F.lit(0)) <= 0) & (F.coalesce(of("identity"), F.lit("x")) != "") & good & simple(of("path")), F.lit(False))
+
+
+def sound_together(events: Column, profile: Column, projection: Column, limits: Limits) -> Column:
+    """Whether a stream whose events are the array ``events`` is sound at sight, by itself: ``validate`` finds nothing in it. Others may be sound too.
+
+    All its events are sound at sight, so they are body events under simple paths and none is a node head.
+    """
+    n = F.size(events)
+    paths_of = lambda es: F.transform(es, lambda e: e["path"])
+    none_but = lambda found, allowed: F.size(F.array_except(found, allowed)) == 0
+    under = lambda like: F.transform(F.filter(events, lambda e: like(e["path"])), lambda e: F.regexp_replace(e["path"], paths.SIMPLE_LAST, ""))
+    of_kind = lambda *kinds: paths_of(F.filter(events, lambda e: e["kind"].isin(*kinds)))
+    attribute = lambda p: p.rlike(paths.SIMPLE_ATTRIBUTE)
+    identities = F.transform(F.filter(events, lambda e: e["identity"].isNotNull()), lambda e: e["identity"])
+    targets = F.transform(F.filter(events, lambda e: e["kind"].isin(*wire.REFERENCES)), lambda e: e["value"])
+    known = paths_of(events)
+    related = [
+        F.size(F.array_distinct(known)) == n,
+        F.size(F.array_distinct(identities)) == F.size(identities),
+        none_but(targets, known),
+        none_but(under(lambda p: ~p.endswith("]") & ~attribute(p)), F.concat(F.array(F.lit("$")), of_kind("ObjectNode"))),
+        none_but(under(lambda p: p.endswith("]")), of_kind("ListNode", "TupleLiteral")),
+        none_but(under(attribute), known),
+    ]
+    single = F.forall(events, lambda e: plainly_sound(limits, lambda name: e[name]) & (F.octet_length(e["path"]) <= 2 * limits.max_value_nesting_depth))
+    context = profile.isin(wire.COMPLETE_PROFILE, wire.PARTIAL_PROFILE) & F.coalesce(projection == wire.DOCUMENT_PROJECTION, F.lit(True))
+    few = n <= min(limits.max_events, limits.max_list_items, limits.max_tuple_items)
+    return F.coalesce(context & few & single & ((profile == wire.PARTIAL_PROFILE) | reduce(Column.__and__, related)), F.lit(False))
 
 
 def _alone(events: DataFrame, streams: DataFrame, limits: Limits) -> DataFrame:

@@ -6,18 +6,22 @@ that come early wait in state, up to ``max_buffered_bytes``, or are refused; a c
 or after the end is an error row. Records come out as they complete, provisionally:
 only the ``complete`` row of a stream, written after its final chunk, says that its
 events may be validated and acted on (``accept_completed``).
+A batch table of chunks needs no provisional output (``accept_chunks``).
 """
 
 from __future__ import annotations
 
 import json
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,7 @@ from strandline.operators import ordered, validate
 from strandline.operators.shape import event_row
 from strandline.sources import binary_format as binary
 from strandline.sources import text_format as text
+from strandline.storage import materialize
 
 OUTPUT = "stream_id string, seq long, status string, ordinal long, event string, error string, offset long"
 
@@ -448,6 +453,200 @@ def decode_pieces(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return ordered.by_stream(pieces, "part", "ordinal", "text").select("stream_id", "text").mapInArrow(run, f"{fields}, error string")
 
 
+# -- streams that end in a batch table ---------------------------------------------
+
+#: Streams whose chunks have more bytes are decoded chunk by chunk and not held.
+_HELD = 1 << 20
+_EVENT = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in schema.EVENTS.fields[1:])
+_ENDS = f"stream_id string, profile string, projection string, whole boolean, events array<struct<{_EVENT}>>"
+
+_PAYLOAD = r"[^\\\x00-\x1f\x7f]"
+#: Canonical texts of events with plain fields, without an escape.
+_PLAIN_TEXT = (
+    rf"\A{re.escape(wire.TEXT_VERSION_LINE)}\n(?:profile={_PAYLOAD}+\n)?(?:projection={_PAYLOAD}+\n)?"
+    rf"(?:\n(?:header={_PAYLOAD}*\n)?(?:path={_PAYLOAD}*\n)?kind={_PAYLOAD}*\n(?:identity={_PAYLOAD}*\n)?(?:value={_PAYLOAD}*\n)?)*\z"
+)
+_PLAIN_HEAD = r"\A[^\n]*(?P<profile>\nprofile=[^\n]*)?(?P<projection>\nprojection=[^\n]*)?\z"
+_PLAIN_EVENT = r"\A(?P<header>header=[^\n]*\n)?(?P<path>path=[^\n]*\n)?(?P<kind>kind=[^\n]*)(?P<identity>\nidentity=[^\n]*)?(?P<value>\nvalue=[^\n]*)?\z"
+
+
+def _ends_schema() -> pa.Schema:
+    texts = pa.string()
+    ext = pa.list_(pa.struct([("name", texts), ("value", texts)]))
+    event = pa.struct([(f.name, pa.int64() if f.name == "ordinal" else ext if f.name == "ext" else texts) for f in schema.EVENTS.fields[1:]])
+    return pa.schema([("stream_id", texts), ("profile", texts), ("projection", texts), ("whole", pa.bool_()), ("events", pa.list_(event))])
+
+
+def _ended(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+    """Ids and bytes of the streams of a batch whose chunks are there, once each, up to their first final one; chunks after it are late and change nothing."""
+    encoded = pc.run_end_encode(batch.column(0))
+    ends = encoded.run_ends.to_numpy().astype(np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    n = batch.num_rows
+    place = np.arange(n) - np.repeat(starts, ends - starts)
+    seq = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+    there = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+    wrong = np.concatenate([[0], np.cumsum((seq != place) | ~there)])
+    finals = np.append(np.flatnonzero(batch.column(3).fill_null(False).to_numpy(zero_copy_only=False)), n)
+    last = finals[np.searchsorted(finals, starts)]
+    chosen = np.flatnonzero((last < ends) & (wrong[np.minimum(last + 1, n)] == wrong[starts]))
+    offsets, _ = ordered.raw(batch.column(2))
+    cuts = np.empty(2 * len(chosen), np.int64)
+    cuts[0::2], cuts[1::2] = offsets[starts[chosen]], offsets[last[chosen] + 1]
+    data = batch.column(2).buffers()[2]
+    pieces = pa.Array.from_buffers(pa.large_binary(), max(0, len(cuts) - 1), [None, pa.py_buffer(cuts if len(cuts) else np.zeros(1, np.int64)), data if data is not None else pa.py_buffer(b"")])
+    return encoded.values.take(pa.array(chosen)), pieces.take(pa.array(np.arange(0, len(pieces), 2)))
+
+
+def _as_text(data: pa.Array) -> pa.Array:
+    """Null where the bytes are no UTF-8."""
+    try:
+        return data.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        known = [None] * len(data)
+        for i, x in enumerate(data.to_pylist()):
+            try:
+                known[i] = x.decode("utf-8")
+            except UnicodeDecodeError:
+                pass
+        return pa.array(known, pa.large_string())
+
+
+def _plain_streams(ids: pa.Array, data: pa.Array, limits: Limits, arrow: pa.Schema) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows of the plain texts, read by columns, and which of the texts they are; within the limits nothing can be wrong with them."""
+    most = min(limits.max_input_bytes, limits.max_line_bytes, limits.max_decoded_payload_bytes)
+    texts = _as_text(data)
+    plain = pc.and_(pc.match_substring_regex(texts, _PLAIN_TEXT), pc.less_equal(pc.binary_length(data), most)).fill_null(False)
+    if limits.max_fields_per_event < 5:
+        plain = pa.array(np.zeros(len(data), bool))
+    # an event has a line for its kind after each empty line
+    plain = pc.and_(plain, pc.less_equal(pc.count_substring(texts, "\n\n"), limits.max_events)).fill_null(False)
+    parts = pc.split_pattern(texts.filter(plain), "\n\n")
+    cuts = parts.offsets.to_numpy().astype(np.int64)
+    lines = pc.ascii_rtrim(parts.values, characters="\n")
+    is_event = np.ones(len(lines), bool)
+    is_event[cuts[:-1]] = False
+    first = cuts - np.arange(len(cuts))
+
+    def cut(found: pa.Array, name: str, start: int, stop: int | None = None) -> pa.Array:
+        spelt = pc.struct_field(found, name)
+        return pc.if_else(pc.equal(spelt, ""), pa.scalar(None, spelt.type), pc.utf8_slice_codeunits(spelt, start, stop)).cast(pa.string())
+
+    heads = pc.extract_regex(lines.filter(pa.array(~is_event)), _PLAIN_HEAD)
+    found = pc.extract_regex(lines.filter(pa.array(is_event)), _PLAIN_EVENT)
+    n = len(found)
+    own = {
+        "ordinal": pa.array(np.arange(n) - np.repeat(first[:-1], np.diff(first))),
+        "header": cut(found, "header", len("header="), -1),
+        "path": cut(found, "path", len("path="), -1),
+        "kind": cut(found, "kind", len("kind=")),
+        "identity": cut(found, "identity", len("\nidentity=")),
+        "value": cut(found, "value", len("\nvalue=")),
+    }
+    event = arrow.field("events").type.value_type
+    none = {"ext": pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], event.field("ext").type.value_type))}
+    fields = [event.field(i) for i in range(event.num_fields)]
+    columns = [(own | none)[f.name] if f.name in own or f.name in none else pa.nulls(n, f.type) for f in fields]
+    events = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(columns, fields=fields))
+    profile = pc.fill_null(cut(heads, "profile", len("\nprofile=")), wire.COMPLETE_PROFILE)
+    rows = [ids.filter(plain).cast(pa.string()), profile, cut(heads, "projection", len("\nprojection=")), pa.array(np.ones(len(heads), bool)), events]
+    return pa.RecordBatch.from_arrays(rows, schema=arrow), plain.to_numpy(zero_copy_only=False)
+
+
+def decode_ended(chunks: DataFrame, kind: str = "binary", limits: BinaryLimits = BinaryLimits(), event_limits: Limits = Limits()) -> DataFrame:
+    """(stream_id, profile, projection, whole, events) of the streams of a batch table of chunks that ``decode_chunks`` finds complete.
+
+    A stream is one row with all its events, and ``whole``, unless its chunks have more than
+    1 MB: its events then come chunk by chunk, and only the row of its final chunk has a profile.
+    Without such a row the stream has failed or not ended, and its events are not to be acted on.
+    """
+    names = schema.EVENTS.fieldNames()[1:]
+    failures = (binary.BinaryError, text.TextError)
+
+    def make() -> BinaryDecoder | TextDecoder:
+        return BinaryDecoder(limits, event_limits) if kind == "binary" else TextDecoder(event_limits)
+
+    def row(key: str | None, feed: BinaryDecoder | TextDecoder, records: list[dict], first: int, whole: bool) -> tuple:
+        context = feed.context if isinstance(feed, BinaryDecoder) else feed.stream
+        about = (context.profile, context.projection) if feed.closed else (None, None)
+        events = [dict(zip(names, event_row(key, i, r)[1:], strict=True)) for i, r in enumerate(records, first)]
+        return (key, *about, whole, events)
+
+    def run(batches):
+        arrow = _ends_schema()
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        key, feed, expected = None, None, 0
+
+        def passing(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """Chunks of a long stream, one after the other; ``expected`` is -1 from its end on, good or bad."""
+            nonlocal expected
+            for seq, data, final in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if expected < 0:
+                    return
+                first = feed.count
+                try:
+                    records = feed.push(data, bool(final)) if seq == expected and data is not None else None
+                except failures:
+                    records = None
+                expected = -1 if records is None or feed.closed else expected + 1
+                if records or (records is not None and feed.closed):
+                    yield batch_of([row(key, feed, records, first, False)])
+
+        for batch, whole in ordered.whole(batches, _HELD):
+            if not whole:
+                if feed is None or batch.column(0)[0].as_py() != key:
+                    key, feed, expected = batch.column(0)[0].as_py(), make(), 0
+                yield from passing(batch)
+                continue
+            ids, data = _ended(batch)
+            rest = np.ones(len(data), bool)
+            if kind != "binary":
+                found, plain = _plain_streams(ids, data, event_limits, arrow)
+                rest = ~plain
+                if found.num_rows:
+                    yield found
+            rows, size = [], 0
+            for i in np.flatnonzero(rest).tolist():
+                one, feed = data[i].as_py(), make()
+                try:
+                    rows.append(row(ids[i].as_py(), feed, feed.push(one, True), 0, True))
+                except failures:
+                    continue
+                size += len(one)
+                if size > _HELD:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            feed = None
+            if rows:
+                yield batch_of(rows)
+
+    return ordered.by_stream(chunks.select("stream_id", "seq", "bytes", "final"), "seq", "final", "bytes").mapInArrow(run, _ENDS)
+
+
+def accept_chunks(
+    chunks: DataFrame, kind: str = "binary", limits: BinaryLimits = BinaryLimits(), event_limits: Limits = Limits(), registered: tuple[str, ...] = ()
+) -> DataFrame:
+    """What ``accept_completed`` gives for the output of ``decode_chunks``, of a batch table of chunks.
+
+    Streams that are sound at sight, by themselves, are told apart as they are decoded; only the others
+    are written with their events and go through ``validate``.
+    """
+    found = decode_ended(chunks, kind, limits, event_limits)
+    sound = F.col("whole") & validate.sound_together(F.col("events"), F.col("profile"), F.col("projection"), event_limits)
+    told = found.withColumn("sound", sound).withColumn("events", F.when(~F.col("sound"), F.col("events")))
+    told = materialize(told, "told")
+    accepted = told.where("sound").select("stream_id", "profile", F.lit(True).alias("valid"), F.lit(0).cast("long").alias("n_diagnostics"))
+    rest = told.where("not sound")
+    streams = rest.where("profile is not null").select("stream_id", "profile", "projection")
+    if not streams.take(1):
+        return accepted
+    events = rest.select("stream_id", F.explode("events").alias("e")).select("stream_id", "e.*").join(streams.select("stream_id"), "stream_id", "left_semi")
+    return accepted.unionByName(validate.verdicts(streams, validate.validate(events, streams, event_limits, registered)))
+
+
 def events_from_output(output: DataFrame) -> DataFrame:
     """EVENTS of the record rows."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.EVENTS.fields)
