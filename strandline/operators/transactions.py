@@ -1,9 +1,9 @@
 """Transactions: closed documents around a list of event records.
 
 A document's shape is a table of rules that one walk applies; documents are JSON
-texts, one a row. The events inside are exploded and go through stream validation
-with the transaction as their stream, so a million small transactions validate
-together in the same joins.
+texts, one a row. Events that are sound at sight are judged where they are walked.
+Those of other documents are exploded and go through stream validation with the
+transaction as their stream, so a million of them validate together in the same joins.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline import schema, wire
 from strandline.config import Limits
@@ -254,36 +255,53 @@ class Options:
     require_evidence: bool = False
 
 
-_SHAPED = "tx_id string, found array<struct<code:string,path:string>>, missing array<string>, digest string, expected string, evidence boolean, profile string, projection string, context boolean, source_backed boolean, records array<string>"
+_SHAPED = "tx_id string, found array<struct<code:string,path:string>>, missing array<string>, digest string, expected string, evidence boolean, profile string, projection string, context boolean, source_backed boolean, "
+_INSIDE = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema.EVENTS.fields[2:]) + ",faults:array<string>>"
+_EXT = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+_HOST_FIELDS = [(n, _EXT if n == "ext" else pa.string()) for n in schema.EVENTS.fieldNames()[2:]] + [("faults", pa.list_(pa.string()))]
+_HOST_NAMES = [n for n, _ in _HOST_FIELDS]
 
 
 def shaped(docs: DataFrame, options: Options = Options(), envelope: bool = True) -> DataFrame:
-    """One walk over each document (tx_id, json): findings of its shape, unsupported parts, digests, records."""
+    """One walk over each document (tx_id, json): findings of its shape, unsupported parts, digests, events with their ``faults``."""
 
     def run(batches):
         pair = pa.struct([("code", pa.string()), ("path", pa.string())])
         text, flag, texts = pa.string(), pa.bool_(), pa.list_(pa.string())
         known = _Known(options.support)
         arrow = pa.schema(
-            [("tx_id", text), ("found", pa.list_(pair)), ("missing", texts), ("digest", text), ("expected", text), ("evidence", flag), ("profile", text), ("projection", text), ("context", flag), ("source_backed", flag), ("records", texts)]
+            [("tx_id", text), ("found", pa.list_(pair)), ("missing", texts), ("digest", text), ("expected", text), ("evidence", flag), ("profile", text), ("projection", text), ("context", flag), ("source_backed", flag), ("events", pa.list_(pa.struct(_HOST_FIELDS)))]
         )
         for batch in batches:
             rows = [_shape(t, j, options, envelope, known) for t, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([_column([r[f.name] for r in rows], f.type) for f in arrow], schema=arrow)
 
-    return docs.select("tx_id", "json").mapInArrow(run, _SHAPED)
+    return docs.select("tx_id", "json").mapInArrow(run, f"{_SHAPED}events array<{_INSIDE}>")
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An array of ``values``; nested ones that are the same object are made once."""
+    if not pa.types.is_nested(kind):
+        return pa.array(values, kind)
+    places: dict[int, int] = {}
+    at = [places.setdefault(id(v), len(places)) for v in values]
+    if len(places) == len(values):
+        return pa.array(values, kind)
+    once = {p: v for p, v in zip(at, values, strict=True)}
+    return pa.array([once[p] for p in range(len(once))], kind).take(pa.array(at, pa.int32()))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(tx_id, digest) of the bodies of envelopes (tx_id, json), as ``shaped`` gives them, without judging the documents."""
+    """The digests of the bodies of envelopes (json), as ``shaped`` gives them, in place of the documents, which are not judged; other columns stay."""
+    rest = docs.drop("json")
 
     def run(batches):
         known = _Known(Support())
         for batch in batches:
-            found = [_body_digest(j, known) for j in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(found, pa.string())], names=["tx_id", "digest"])
+            found = [_body_digest(j, known) for j in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string())], names=[*batch.schema.names[1:], "digest"])
 
-    return docs.select("tx_id", "json").mapInArrow(run, "tx_id string, digest string")
+    return docs.select("json", *rest.columns).mapInArrow(run, T.StructType([*rest.schema, T.StructField("digest", T.StringType())]))
 
 
 def _body_digest(text: str | None, known: _Known) -> str | None:
@@ -294,7 +312,7 @@ def _body_digest(text: str | None, known: _Known) -> str | None:
     body = doc.get("body") if isinstance(doc, dict) else None
     if not (isinstance(body, dict) and body):
         return None
-    raw = _joined({k: (known.encoded(k, v), ()) for k, v in body.items()})
+    raw = known.joined({k: (known.encoded(k, v), ()) for k, v in body.items()})
     return None if raw is None else hashlib.sha256(wire.TX_INTEGRITY.encode() + b"\0" + raw).hexdigest()
 
 
@@ -302,13 +320,15 @@ class _Known:
     """What the members of bodies have given, where they are short: most members of many bodies are the same."""
 
     MOST, LONGEST = 10_000, 4_096
+    OWN = ("id", "intent", "attempt")  # texts that each body has for itself
 
     def __init__(self, support: Support):
         self.support = support
-        self.members: dict[tuple[str, bytes], tuple[bytes | None, tuple]] = {}
-        self.bytes: dict[tuple[str, bytes], tuple[bytes | None]] = {}
+        self.members: dict[tuple[str, bytes | str], tuple[bytes | None, tuple]] = {}
+        self.bytes: dict[tuple[str, bytes | str], tuple[bytes | None]] = {}
+        self.orders: dict[tuple, tuple[list[str] | None]] = {}
         self.missing: dict[tuple, list[str]] = {}
-        self.records: dict[bytes, list[str]] = {}
+        self.records: dict[bytes, list[dict]] = {}
 
     def kept(self, held: dict, key, size: int, make):
         if (found := held.get(key)) is None:
@@ -320,26 +340,37 @@ class _Known:
         return found
 
     def encoded(self, name: str, value: object) -> bytes | None:
-        if isinstance(value, str):
+        code = _code(value)
+        if (found := self.bytes.get((name, code))) is not None:
+            return found[0]
+        if name in self.OWN:
             return _member_bytes(name, value)
-        code = marshal.dumps(value, 2)
         return self.kept(self.bytes, (name, code), len(name) + len(code), lambda: (_member_bytes(name, value),))[0]
 
-    def member(self, name: str, value: object, code: bytes) -> tuple[bytes | None, tuple]:
+    def member(self, name: str, value: object, code: bytes | str) -> tuple[bytes | None, tuple]:
         """The bytes of a member, null where it has none, and what its rule finds."""
+        if (found := self.members.get((name, code))) is not None:
+            return found
 
         def make() -> tuple[bytes | None, tuple]:
             return _member_bytes(name, value), tuple(BODY_RULES[name](value, name, BODY)) if name in BODY_RULES else ()
 
-        return make() if isinstance(value, str) else self.kept(self.members, (name, code), len(name) + len(code), make)
+        return make() if name in self.OWN else self.kept(self.members, (name, code), len(name) + len(code), make)
 
-    def unsupported(self, body: dict, codes: dict[str, bytes]) -> list[str]:
+    def joined(self, parts: dict[str, tuple[bytes | None, tuple]]) -> bytes | None:
+        """The logical bytes of a body from those of its members."""
+        order = self.kept(self.orders, names := tuple(parts), sum(map(len, names)), lambda: (_in_order(names),))[0]
+        if order is None or any(raw is None for raw, _ in parts.values()):
+            return None
+        return b"m%d:%s" % (len(order), b"".join([parts[k][0] for k in order]))
+
+    def unsupported(self, body: dict, codes: dict[str, bytes | str]) -> list[str]:
         parts = ("application", "target", "preparation", "authorization", "limits", "integrity", "preconditions")
         key = tuple(map(codes.get, parts))
-        return self.kept(self.missing, key, sum(len(c or b"") for c in key), lambda: unsupported(body, self.support))
+        return self.kept(self.missing, key, sum(len(c or "") for c in key), lambda: unsupported(body, self.support))
 
-    def spelt(self, records: list, code: bytes) -> list[str]:
-        return self.kept(self.records, code, len(code), lambda: [json.dumps(r, ensure_ascii=False) for r in records])
+    def events(self, records: list, code: bytes) -> list[dict]:
+        return self.kept(self.records, code, len(code), lambda: [dict(zip(_HOST_NAMES, _host_fields(r), strict=True)) for r in records])
 
 
 def _shape(tx_id: str, text: str | None, options: Options, envelope: bool, known: _Known) -> dict:
@@ -362,10 +393,9 @@ def _shape(tx_id: str, text: str | None, options: Options, envelope: bool, known
         else:
             found += EVIDENCE(evidence, "evidence", INTEGRITY)
     own = body if isinstance(body, dict) else {}
-    # marshal spells equal values of equal types alike, so it names a member's value
-    codes = {k: marshal.dumps(v, 2) for k, v in own.items()}
+    codes = {k: _code(v) for k, v in own.items()}
     parts = {k: known.member(k, v, codes[k]) for k, v in own.items()}
-    raw = _joined(parts)
+    raw = known.joined(parts)
     if not (envelope and not doc):
         found += body_findings(body, options.registered, {k: p[1] for k, p in parts.items()}, raw is not None)
     expected = evidence.get("hash") if isinstance(evidence, dict) else None
@@ -383,7 +413,7 @@ def _shape(tx_id: str, text: str | None, options: Options, envelope: bool, known
         "projection": own["projection"] if context else None,
         "context": context,
         "source_backed": _part(own, "preparation", "contract") == wire.TX_SOURCE_BACKED,
-        "records": known.spelt(records, codes["records"]) if records else [],
+        "events": known.events(records, codes["records"]) if records else [],
     }
 
 
@@ -394,13 +424,16 @@ def _member_bytes(name: str, value: object) -> bytes | None:
         return None
 
 
-def _joined(parts: dict[str, tuple[bytes | None, tuple]]) -> bytes | None:
-    """The logical bytes of a body from those of its members."""
+def _code(value: object) -> bytes | str:
+    """What names a member's value: marshal spells equal values of equal types alike."""
+    return value if isinstance(value, str) else marshal.dumps(value, 2)
+
+
+def _in_order(names: tuple[str, ...]) -> list[str] | None:
     try:
-        members = sorted((k.encode("utf-8"), raw) for k, (raw, _) in parts.items())
+        return sorted(names, key=lambda k: k.encode("utf-8"))
     except UnicodeEncodeError:
         return None
-    return None if any(raw is None for _, raw in members) else b"m%d:%s" % (len(members), b"".join(raw for _, raw in members))
 
 
 def host_records(rows: DataFrame) -> DataFrame:
@@ -412,13 +445,11 @@ def host_records(rows: DataFrame) -> DataFrame:
     names = schema.EVENTS.fieldNames()
 
     def run(batches):
-        text = pa.string()
-        ext = pa.list_(pa.struct([("name", text), ("value", text)]))
-        arrow = pa.schema([*((n, pa.int64() if n == "ordinal" else ext if n == "ext" else text) for n in names), ("faults", pa.list_(text))])
+        arrow = pa.schema([(names[0], pa.string()), (names[1], pa.int64()), *_HOST_FIELDS])
         known, held = _Known(Support()), {}
         for batch in batches:
             if batch.num_rows:
-                rows = [known.kept(held, t, len(t), lambda t=t: _host_fields(t)) for t in batch.column(2).to_pylist()]
+                rows = [known.kept(held, t, len(t), lambda t=t: _host_fields(json.loads(t))) for t in batch.column(2).to_pylist()]
                 columns = [batch.column(0), batch.column(1), *zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
@@ -426,9 +457,8 @@ def host_records(rows: DataFrame) -> DataFrame:
     return rows.select("stream_id", "ordinal", "json").mapInArrow(run, f"{fields}, faults array<string>")
 
 
-def _host_fields(text: str) -> tuple:
+def _host_fields(record: object) -> tuple:
     """The fields of EVENTS after the ordinal, and the faults."""
-    record = json.loads(text)
     if not isinstance(record, dict):
         return (*[None] * (len(schema.EVENTS.fields) - 3), [], ["AES_INVALID_EVENT"])
     nested = ("generics", "clarifiers")
@@ -437,29 +467,41 @@ def _host_fields(text: str) -> tuple:
     return (*row[2:-1], [{"name": k, "value": v} for k, v in row[-1]], faults)
 
 
+_JUDGED = ["tx_id", "found", "missing", "digest", "expected", "source_backed"]
+
+
 def inspect(docs: DataFrame, options: Options = Options(), artifacts: DataFrame | None = None, envelope: bool = True) -> DataFrame:
     """(tx_id, valid, supported, evidence_verified, provenance_verified, ready, actionable, codes, digest).
 
     ``actionable`` is always false: nothing here grants authority. ``codes`` lists the
     code of every finding, events' findings as AES_TRANSACTION_EVENT_INVALID.
     """
-    base = materialize(shaped(docs, options, envelope), "shaped")  # each document is walked once
-    streams = base.where("context").select(F.col("tx_id").alias("stream_id"), "profile", "projection")
-    exploded = base.where("context").select(F.col("tx_id").alias("stream_id"), F.posexplode("records").alias("ordinal", "json")).withColumn("ordinal", F.col("ordinal").cast("long"))
-    host = materialize(host_records(exploded), "host")
-    events = host.where("not array_contains(faults, 'AES_INVALID_EVENT')").select(*schema.EVENTS.fieldNames())
-    found = validate.validate(events, streams, options.limits, options.registered_event_fields).select("stream_id", "code")
-    found = found.unionByName(host.select("stream_id", F.explode("faults").alias("code")))
+    context, profile, projection = F.col("context"), F.col("profile"), F.col("projection")
+    told = shaped(docs, options, envelope).withColumn("alone", context & validate.alone_together(F.col("events"), profile, projection, options.limits))
+    sound = F.forall("events", lambda e: (F.size(e["faults"]) == 0) & validate.plainly_sound(options.limits, lambda name: e[name]))
+    apart = (context & ~(F.col("alone") & sound)) | (F.col("source_backed") & F.lit(artifacts is not None))
+    # each document is walked once; the events of those that are set apart are kept
+    told = told.withColumn("apart", apart)
+    base = materialize(told.withColumn("events", F.when(F.col("apart"), F.col("events"))), "shaped")
+    odd, plain = base.where("apart").drop("apart"), base.where("not apart").select(*_JUDGED)
+    streams = odd.where("context").select(F.col("tx_id").alias("stream_id"), "profile", "projection", "alone")
+    each = odd.where("context").select(F.col("tx_id").alias("stream_id"), F.posexplode("events").alias("ordinal", "event")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    events = each.where("not array_contains(event.faults, 'AES_INVALID_EVENT')").select("stream_id", "ordinal", "event.*").drop("faults")
+    found = validate.validate_told(events, streams, options.limits, options.registered_event_fields).select("stream_id", "code")
+    found = found.unionByName(each.select("stream_id", F.explode("event.faults").alias("code")))
     events_wrong = found.groupBy("stream_id").agg(F.count("*").alias("n_events_wrong"))
-    joined = base.join(events_wrong, base["tx_id"] == events_wrong["stream_id"], "left").drop("stream_id")
+    joined = odd.join(events_wrong, odd["tx_id"] == events_wrong["stream_id"], "left").drop("stream_id")
+    unaudited = {"audit_valid": F.lit(None).cast("boolean"), "audit_complete": F.lit(None).cast("boolean"), "audit_codes": F.lit(None).cast("array<string>")}
     if artifacts is not None:
-        backed = base.where("source_backed").select(F.col("tx_id").alias("stream_id"))
+        backed = odd.where("source_backed").select(F.col("tx_id").alias("stream_id"))
         own = events.join(backed, "stream_id", "left_semi")
         audited = provenance.summary(own, backed, artifacts, True, True).select(F.col("stream_id").alias("audit_id"), F.col("valid").alias("audit_valid"), F.col("complete").alias("audit_complete"))
         codes = provenance.audit(own, artifacts, True, True).groupBy("stream_id").agg(F.collect_list("code").alias("audit_codes"))
         joined = joined.join(audited, joined["tx_id"] == F.col("audit_id"), "left").join(codes, joined["tx_id"] == codes["stream_id"], "left").drop("stream_id")
     else:
-        joined = joined.withColumns({"audit_valid": F.lit(None).cast("boolean"), "audit_complete": F.lit(None).cast("boolean"), "audit_codes": F.lit(None).cast("array<string>")})
+        joined = joined.withColumns(unaudited)
+    own = ["n_events_wrong", *unaudited]
+    joined = plain.withColumns({"n_events_wrong": F.lit(0).cast("long")} | unaudited).unionByName(joined.select(*_JUDGED, *own))
     n = F.coalesce("n_events_wrong", F.lit(0))
     sound = (F.size("found") == 0) & (n == 0)
     # evidence is compared where the body itself is sound

@@ -295,6 +295,13 @@ def sound_together(events: Column, profile: Column, projection: Column, limits:
     return F.coalesce(context & few & single & ((profile == wire.PARTIAL_PROFILE) | reduce(Column.__and__, related)), F.lit(False))
 
 
+def alone_together(events: Column, profile: Column, projection: Column, limits: Limits) -> Column:
+    """Whether no check between events can find anything in a stream, by itself, whose events are the array ``events``; see ``_alone``."""
+    small = min(limits.max_events, limits.max_list_items, limits.max_tuple_items)
+    short = lambda e: e["header"].isNull() & (F.coalesce(F.octet_length(e["path"]), F.lit(0)) <= 2 * limits.max_value_nesting_depth)
+    return F.coalesce((profile == wire.PARTIAL_PROFILE) & projection.isNull() & (F.size(events) <= small) & F.forall(events, short), F.lit(False))
+
+
 def _alone(events: DataFrame, streams: DataFrame, limits: Limits) -> DataFrame:
     """(stream_id, profile, projection, alone): whether no check between events can find anything in a stream.
 
@@ -318,7 +325,11 @@ def validate(events: DataFrame, streams: DataFrame, limits: Limits = Limits(), r
     """
     if not streams.where(F.col("profile").eqNullSafe(wire.PARTIAL_PROFILE) & F.col("projection").isNull()).take(1):
         return _validate(events, streams, limits, registered)
-    told = materialize(_alone(events, streams, limits), "alone")
+    return validate_told(events, materialize(_alone(events, streams, limits), "alone"), limits, registered)
+
+
+def validate_told(events: DataFrame, told: DataFrame, limits: Limits = Limits(), registered: tuple[str, ...] = ()) -> DataFrame:
+    """The same for streams of which ``alone`` is known already (stream_id, profile, projection, alone)."""
     odd = events.where(~plainly_sound(limits)).join(told.where("alone").drop("alone"), "stream_id")
     found = event_diagnostics(materialize(addressed(odd), "odd"), limits, registered).select(*schema.DIAGNOSTICS.fieldNames())
     rest = told.where("not alone").drop("alone")

@@ -2,9 +2,12 @@ import copy
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline import schema, wire
 from strandline.operators import transactions as tx
+from strandline.operators import validate
+from strandline.plans import registry
 
 
 def body(**more):
@@ -152,3 +155,51 @@ def test_digests_are_not_judged(spark, monkeypatch):
     docs = [{"envelope": wire.TX_ENVELOPE, "body": b, "evidence": None} for b in (body(), body(id=1), {}, None, body(extra=["\u00e9"]))] + [[], "x"]
     want = {r.tx_id: r.digest for r in tx.shaped(table(spark, docs)).collect()}
     assert {r.tx_id: r.digest for r in tx.digests(table(spark, docs)).collect()} == want and sum(d is not None for d in want.values()) == 2
+
+
+EVENT = {"path": "$.a", "kind": "StringLiteral", "value": "x"}
+RECORDS = [
+    [EVENT], [], [EVENT, EVENT], [EVENT | {"identity": "i"}, EVENT | {"path": "$.b", "identity": "i"}], [EVENT | {"path": "$.a.b"}], [EVENT | {"path": "a"}], [EVENT | {"value": 1}, "x"],
+    [{"header": '$.["aeon:a"]', "kind": "StringLiteral", "value": "x"}], [EVENT | {"kind": "ObjectNode"}], [EVENT | {"x.own": "1"}], [EVENT, EVENT | {"path": "$.b.c"}], [EVENT | {"path": "$" + 300 * ".a"}],
+]
+
+
+def test_events_of_each_context(spark):
+    """Events judged where they are walked, and those set apart, against the validation of all of them."""
+    contexts = [(wire.PARTIAL_PROFILE, None), (wire.COMPLETE_PROFILE, None), (wire.PARTIAL_PROFILE, wire.DOCUMENT_PROJECTION), (wire.COMPLETE_PROFILE, wire.DOCUMENT_PROJECTION), ("other", None), (wire.PARTIAL_PROFILE, "other")]
+    docs = [body(profile=p, projection=j, records=r) for p, j in contexts for r in RECORDS]
+    rows = [(f"t{i}", n, json.dumps(r)) for i, d in enumerate(docs) for n, r in enumerate(d["records"])]
+    host = tx.host_records(spark.createDataFrame(rows, "stream_id string, ordinal long, json string"))
+    streams = spark.createDataFrame([(f"t{i}", d["profile"], d["projection"]) for i, d in enumerate(docs)], "stream_id string, profile string, projection string")
+    found = validate.validate(host.where("not array_contains(faults, 'AES_INVALID_EVENT')").drop("faults"), streams).select("stream_id", "code")
+    found = found.unionByName(host.select("stream_id", F.explode("faults").alias("code")))
+    want = {r.stream_id: r["count"] for r in found.groupBy("stream_id").count().collect()}
+    got = {r.tx_id: r.codes.count("AES_TRANSACTION_EVENT_INVALID") for r in tx.inspect(table(spark, docs), envelope=False).collect()}
+    assert got == {f"t{i}": want.get(f"t{i}", 0) for i in range(len(docs))} and 12 < len(want) < len(docs)
+
+
+def test_sound_events_stay_where_they_are(spark, monkeypatch):
+    """Only the events of documents that are not sound at sight leave the walk, and nothing else of them is written."""
+    written, told = [], validate.validate_told
+    for module in (tx, validate):
+        monkeypatch.setattr(module, "materialize", lambda df, tag, *more, f=module.materialize: written.append(tag) or f(df, tag, *more))
+    monkeypatch.setattr(validate, "validate_told", lambda events, *more: written.append(events.count()) or told(events, *more))
+    docs = [body(id=f"t{i}") for i in range(20)] + [body(records=[EVENT | {"kind": "ObjectNode"}])]
+    got = tx.inspect(table(spark, docs), tx.Options(support=SUPPORT), envelope=False)
+    assert written == ["shaped", 1, "odd"]
+    assert sorted((r.tx_id, r.valid) for r in got.collect()) == sorted((f"t{i}", i < 20) for i in range(21))
+
+
+def test_evidence_without_tables_of_documents(spark, monkeypatch):
+    """Digests go into the evidence in passing: no table of documents or digests, and no join of orders with their digests."""
+    plans = []
+    monkeypatch.setattr(registry, "materialize", lambda *more: pytest.fail("a table is written"))
+    monkeypatch.setattr(tx, "shaped", lambda docs, *more, f=tx.shaped: plans.append(docs._jdf.queryExecution().optimizedPlan().toString()) or f(docs, *more))
+    rows = registry.transaction_evidence(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count() and all(r.digest for r in rows)
+    assert "Join" not in plans[0]
+
+
+def test_digests_keep_other_columns(spark):
+    docs = table(spark, [{"envelope": wire.TX_ENVELOPE, "body": body(), "evidence": None}]).withColumn("k", F.lit(7).cast("long"))
+    assert [r.asDict() for r in tx.digests(docs).collect()] == [{"tx_id": "t0", "k": 7, "digest": tx.body_digest(body())}]
