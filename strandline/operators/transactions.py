@@ -490,7 +490,7 @@ def inspect(docs: DataFrame, options: Options = Options(), artifacts: DataFrame
     found = validate.validate_told(events, streams, options.limits, options.registered_event_fields).select("stream_id", "code")
     found = found.unionByName(each.select("stream_id", F.explode("event.faults").alias("code")))
     events_wrong = found.groupBy("stream_id").agg(F.count("*").alias("n_events_wrong"))
-    joined = odd.join(events_wrong, odd["tx_id"] == events_wrong["stream_id"], "left").drop("stream_id")
+    joined = odd.join(events_wrong.hint("merge"), odd["tx_id"] == events_wrong["stream_id"], "left").drop("stream_id")
     unaudited = {"audit_valid": F.lit(None).cast("boolean"), "audit_complete": F.lit(None).cast("boolean"), "audit_codes": F.lit(None).cast("array<string>")}
     if artifacts is not None:
         backed = odd.where("source_backed").select(F.col("tx_id").alias("stream_id"))

@@ -314,7 +314,7 @@ def _alone(events: DataFrame, streams: DataFrame, limits: Limits) -> DataFrame:
     )
     alone = (F.col("profile") == wire.PARTIAL_PROFILE) & F.col("projection").isNull() & F.coalesce((F.col("n") <= small) & (F.col("headers") == 0) & (F.coalesce("longest", F.lit(0)) <= 2 * limits.max_value_nesting_depth), F.col("n").isNull())
     partial = streams.select("stream_id", "profile", "projection")
-    return partial.join(met, "stream_id", "left").select("stream_id", "profile", "projection", F.coalesce(alone, F.lit(False)).alias("alone"))
+    return partial.join(met.hint("merge"), "stream_id", "left").select("stream_id", "profile", "projection", F.coalesce(alone, F.lit(False)).alias("alone"))
 
 
 def validate(events: DataFrame, streams: DataFrame, limits: Limits = Limits(), registered: tuple[str, ...] = ()) -> DataFrame:
@@ -329,8 +329,11 @@ def validate(events: DataFrame, streams: DataFrame, limits: Limits = Limits(), r
 
 
 def validate_told(events: DataFrame, told: DataFrame, limits: Limits = Limits(), registered: tuple[str, ...] = ()) -> DataFrame:
-    """The same for streams of which ``alone`` is known already (stream_id, profile, projection, alone)."""
-    odd = events.where(~plainly_sound(limits)).join(told.where("alone").drop("alone"), "stream_id")
+    """The same for streams of which ``alone`` is known already (stream_id, profile, projection, alone).
+
+    Joins with streams are shuffled: files that compress well look small enough to be broadcast whatever their rows.
+    """
+    odd = events.where(~plainly_sound(limits)).join(told.where("alone").drop("alone").hint("merge"), "stream_id")
     found = event_diagnostics(materialize(addressed(odd), "odd"), limits, registered).select(*schema.DIAGNOSTICS.fieldNames())
     rest = told.where("not alone").drop("alone")
     if not rest.take(1):

@@ -203,3 +203,19 @@ def test_evidence_without_tables_of_documents(spark, monkeypatch):
 def test_digests_keep_other_columns(spark):
     docs = table(spark, [{"envelope": wire.TX_ENVELOPE, "body": body(), "evidence": None}]).withColumn("k", F.lit(7).cast("long"))
     assert [r.asDict() for r in tx.digests(docs).collect()] == [{"tx_id": "t0", "k": 7, "digest": tx.body_digest(body())}]
+
+
+def test_nothing_is_broadcast_by_the_size_of_files(spark, monkeypatch):
+    """Tables with a row a document stay out of the driver, however small their files look."""
+    plans, threshold = [], "spark.sql.autoBroadcastJoinThreshold"
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    for module in (tx, validate):
+        monkeypatch.setattr(module, "materialize", lambda df, tag, *more, f=module.materialize: f(plan(df), tag, *more))
+    spark.conf.set(threshold, "1g")
+    try:
+        plan(tx.inspect(table(spark, [body(), body(records=[EVENT | {"kind": "ObjectNode"}])]), tx.Options(support=SUPPORT), envelope=False))
+        docs = tx.host_records(spark.createDataFrame([("t", 0, json.dumps(EVENT))], "stream_id string, ordinal long, json string")).drop("faults")
+        validate.validate(docs, spark.createDataFrame([("t", wire.PARTIAL_PROFILE, None)], "stream_id string, profile string, projection string"))
+    finally:
+        spark.conf.unset(threshold)
+    assert sum("Join" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
